@@ -1,0 +1 @@
+"""The inputs are batch tables only; there is no streaming operator to offer."""
