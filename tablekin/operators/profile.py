@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import Roles
@@ -66,10 +66,10 @@ def profile_table(tables: Sequence[tuple[str, DataFrame, Roles]]) -> DataFrame:
 
 
 def class_share_by_source(df: DataFrame, label: str, source: str) -> DataFrame:
-    """Rows ``(label, source, n, total, pct)``. The window runs over the small table of counts."""
+    """Rows ``(label, source, n, total, pct)``: counts joined with the totals of their source."""
     counts = df.groupBy(q(label), q(source)).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(q(source)))
-    return counts.withColumn("total", total).withColumn("pct", F.col("n") * 100.0 / F.col("total"))
+    totals = counts.groupBy(q(source)).agg(F.sum("n").alias("total"))
+    return counts.join(totals, source).withColumn("pct", F.col("n") * 100.0 / F.col("total"))
 
 
 def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,12 +110,12 @@ def compare_univariate(a: DataFrame, b: DataFrame, roles: Roles, bins: int = 10)
             F.count_if(F.col("side") == "b").alias("n_b"),
         )
     )
-    w = Window.partitionBy("column")
-    return counts.select(
+    totals = counts.groupBy("column").agg(F.sum("n_a").alias("_a"), F.sum("n_b").alias("_b"))
+    return counts.join(F.broadcast(totals), "column").select(  # one row per column of the table
         "column",
         "level",
         "n_a",
         "n_b",
-        F.try_divide("n_a", F.sum("n_a").over(w)).alias("share_a"),
-        F.try_divide("n_b", F.sum("n_b").over(w)).alias("share_b"),
+        F.try_divide("n_a", "_a").alias("share_a"),
+        F.try_divide("n_b", "_b").alias("share_b"),
     )
