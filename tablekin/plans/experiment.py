@@ -121,16 +121,21 @@ def _linear_trial(table: Indexed, roles: Roles, solver: str, cross_solver: str,
     by_split = lambda d, k: product_sums(d.select(*k, is_test, *map(q, columns)), columns, [*k, "is_test"], shift)
     of_a = materialize(by_split(table.df, []), "sums")
     of_b = materialize(by_split(sweep, keys), "sums")
-    whole = lambda d, k: _add_sums(d, k)
-    one = F.lit(1).alias("_one")
-    # the original's sums are two rows; they are attached to each tag
-    spread = lambda d: tags.select("*", one).join(F.broadcast(d.select("*", one)), "_one").drop("_one")
-    forth = linear_utility(spread(of_a), whole(of_b, keys), roles, columns, shift, keys, cross_solver)
-    back = linear_utility(of_b, spread(whole(of_a, [])), roles, columns, shift, keys, cross_solver)
+    forth = linear_utility(_attach(tags, of_a), _add_sums(of_b, keys), roles, columns, shift, keys, cross_solver)
+    back = linear_utility(of_b, _attach(tags, _add_sums(of_a, [])), roles, columns, shift, keys, cross_solver)
     name = lambda d, x, y: d.select(F.lit(x).alias("train_side"), F.lit(y).alias("test_side"), "*")
     return scores, name(forth, "a", "b").unionByName(name(back, "b", "a"))
 
 
+def _attach(tags: DataFrame, sums: DataFrame) -> DataFrame:
+    """Give every tag the original's sums: at most two rows, attached as literals."""
+    rows = sums.collect()
+    cell = lambda r: F.struct(
+        *[(F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).alias(c) for c, v in r.asDict().items()]
+    )
+    return tags.select("*", F.inline(F.array(*[cell(r) for r in rows])))
+
+
 def _add_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sums over both parts of a split."""
     part = lambda flag, c: F.max(F.when(F.col("is_test") == flag, F.col(c)))
