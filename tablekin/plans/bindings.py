@@ -237,3 +237,47 @@ def rnd(column, digits: int):
     """Rounded value without a negative zero."""
     value = F.round(q(column) if isinstance(column, str) else column, digits)
     return F.when(value == 0, 0.0).otherwise(value)
+
+
+# ---------------------------------------------------------------- smaller tables for the fitted models
+
+DOCS = Roles(("n_chars", "n_words", "n_lines", "lang", "quality", "toxic"), ("n_chars", "n_words", "n_lines"))
+DOC_SELECT = """
+SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(length(d.text) - length(replace(d.text, ' ', '')) AS DOUBLE) AS n_words,
+       CAST(length(d.text) - length(replace(d.text, chr(10), '')) AS DOUBLE) AS n_lines,
+       d.lang, CAST(l.quality AS {s}) AS quality, CAST(l.toxic AS {s}) AS toxic
+FROM {d} d JOIN {l} l ON d.doc_id = l.doc_id"""
+
+
+def coded_docs(spark: SparkSession, sf: str) -> Indexed:
+    """Labelled documents as numbers: lengths of the whole text, language and both labels."""
+    sql = DOC_SELECT.format(s="STRING", d="{d}", l="{l}")
+    docs = spark.sql(sql, d=table(spark, sf, "documents"), l=table(spark, sf, "labels"))
+    base = row_index(docs, ["doc_id"])
+    dictionary = fit_dictionary(base.df, DOCS.categorical)
+    coded = apply_dictionary(base.df.select("idx", *DOCS.columns), dictionary, DOCS.categorical)
+    return Indexed(materialize(coded, "docs"), base.n)
+
+
+PARTS = Roles(("size", "price", "brand", "kind"), ("size", "price"))
+
+
+def coded_parts(spark: SparkSession, sf: str) -> Indexed:
+    parts = table(spark, sf, "part").select(
+        "p_partkey",
+        F.col("p_size").cast("double").alias("size"),
+        F.col("p_retailprice").alias("price"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_type").alias("kind"),
+    )
+    base = row_index(parts, ["p_partkey"])
+    dictionary = fit_dictionary(base.df, PARTS.categorical)
+    coded = apply_dictionary(base.df.select("idx", *PARTS.columns), dictionary, PARTS.categorical)
+    return Indexed(materialize(coded, "parts"), base.n)
+
+
+PARTS_SQL = """parts AS (SELECT row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':0'), p_partkey) - 1 AS idx,
+   CAST(count(*) OVER () AS BIGINT) AS n, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price,
+   CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS DOUBLE) AS brand,
+   CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS kind FROM part)"""
