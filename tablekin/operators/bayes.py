@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from math import log, pi
+from math import pi
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import q
 
+EXPRESSION_TERMS = 32  # beyond it the generated method grows too large to be compiled well
 VAR_SMOOTHING = 1e-9  # share of the largest feature variance that is added to every variance
 
 
@@ -41,12 +44,41 @@ class NaiveBayes:
 
     def winner(self, scores: Sequence[Column]) -> Column:
         """Class with the highest score, the smaller code on a tie."""
-        cells = [F.struct(s.alias("s"), F.lit(-k).alias("k")) for s, k in zip(scores, self.classes)]
-        best = F.greatest(*cells) if len(cells) > 1 else cells[0]
-        return -best["k"]
+        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        cases = F.when(scores[0] == best, self.classes[0])
+        for s, k in zip(scores[1:], self.classes[1:]):
+            cases = cases.when(s == best, k)
+        return cases
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", self.winner([self.likelihood(c) for c in range(len(self.classes))]))
+        """Few terms run as one code-generated expression, many as one Arrow batch function."""
+        if len(self.classes) * len(self.features) <= EXPRESSION_TERMS:
+            return df.withColumn("prediction", self.winner([self.likelihood(c) for c in range(len(self.classes))]))
+        model = self
+
+        @F.pandas_udf(T.DoubleType())
+        def predicted(vectors: pd.Series) -> pd.Series:
+            out = [np.zeros(0)]
+            for start in range(0, len(vectors), model.chunk):
+                x = np.stack(vectors.to_numpy()[start : start + model.chunk])
+                out.append(model.best(model.start() + sum(model.terms(i, x[:, i]) for i in range(x.shape[1]))))
+            return pd.Series(np.concatenate(out))
+
+        return df.withColumn("prediction", predicted(F.array(*[q(f) for f in self.features])))
+
+    @property
+    def chunk(self) -> int:
+        return max(1, 200_000 // len(self.classes))
+
+    def start(self) -> np.ndarray:
+        return self.constants()[None, :]
+
+    def terms(self, i: int, x: np.ndarray) -> np.ndarray:
+        """Part of feature ``i`` in the score, rows × classes."""
+        return (x[:, None] - self.mean[None, :, i]) ** 2 * (-0.5 / self.var[None, :, i])
+
+    def best(self, scores: np.ndarray) -> np.ndarray:
+        return np.asarray(self.classes)[np.argmax(scores, axis=1)]
 
 
 def class_sums(df: DataFrame, columns: Sequence[str], targets: Sequence[str], by: Sequence[str] = (), shift: Sequence[float] = ()) -> DataFrame:
@@ -92,28 +124,34 @@ def gaussian_nb_all_targets(df: DataFrame, columns: Sequence[str], targets: Sequ
     return models
 
 
-def permutation_drop(model: NaiveBayes, pairs: DataFrame) -> DataFrame:
-    """Rows ``(feature, score)``: accuracy minus mean accuracy with the feature taken from the paired row.
+def permutation_drop(models: Sequence[NaiveBayes], pairs: DataFrame) -> DataFrame:
+    """Rows ``(target, feature, score)``: accuracy minus mean accuracy with the feature taken from the paired row.
 
     ``pairs`` holds each training row with a permuted partner (columns ``_p_<name>``), once per repetition.
-    All features are scored in one aggregate: a permuted feature only changes its own term of the sum.
+    A permuted feature only changes its own part of the score, so one pass over the batches scores all models and
+    features; a task returns one count of hits per model and feature.
     """
-    classes, features = range(len(model.classes)), model.features
-    terms = pairs.select(
-        q(model.target).alias("_y"),
-        *[model.likelihood(c).alias(f"_t{c}") for c in classes],
-        *[
-            (model.term(c, i, q(f"_p_{f}")) - model.term(c, i, q(f))).alias(f"_d{c}_{i}")
-            for c in classes
-            for i, f in enumerate(features)
-        ],
-    )
-    hit = lambda scores: (model.winner(scores) == F.col("_y")).cast("double")
-    hits = terms.select(
-        hit([F.col(f"_t{c}") for c in classes]).alias("_b"),
-        *[hit([F.col(f"_t{c}") + F.col(f"_d{c}_{i}") for c in classes]).alias(f"_h{i}") for i in range(len(features))],
-    )
-    cells = [
-        F.struct(F.lit(f).alias("feature"), (F.avg("_b") - F.avg(f"_h{i}")).alias("score")) for i, f in enumerate(features)
-    ]
-    return hits.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    columns = sorted({c for m in models for c in (m.target, *m.features)})
+    at = {c: i for i, c in enumerate(columns)}
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, hits = 0, [np.zeros(len(m.features) + 1, dtype=np.int64) for m in models]
+        for pdf in batches:
+            own = pdf[columns].to_numpy(dtype=float)
+            partner = pdf[[f"_p_{c}" for c in columns]].to_numpy(dtype=float)
+            n += len(own)
+            for m, hit in zip(models, hits):
+                for start in range(0, len(own), m.chunk):
+                    x, p = own[start : start + m.chunk], partner[start : start + m.chunk]
+                    y = x[:, at[m.target]]
+                    parts = [m.terms(i, x[:, at[f]]) for i, f in enumerate(m.features)]
+                    total = m.start() + sum(parts)
+                    hit[-1] += (m.best(total) == y).sum()
+                    for i, f in enumerate(m.features):
+                        hit[i] += (m.best(total - parts[i] + m.terms(i, p[:, at[f]])) == y).sum()
+        rows = [(m.target, f, int(h[-1] - h[i]), n) for m, h in zip(models, hits) for i, f in enumerate(m.features)]
+        yield pd.DataFrame(rows, columns=["target", "feature", "lost", "n"])
+
+    needed = pairs.select(*map(q, columns), *[q(f"_p_{c}") for c in columns])
+    counted = needed.mapInPandas(count, "target string, feature string, lost long, n long")
+    return counted.groupBy("target", "feature").agg((F.sum("lost") / F.sum("n")).alias("score"))

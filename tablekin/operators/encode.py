@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .clean import q
 from .index import sorted_index
 
@@ -28,12 +27,13 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> Dictionary:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in columns])
     values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
     ordered = sorted_index(values, ["column", "value"])
-    first = ordered.groupBy("column").agg(F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    sizes = {r["column"]: r["_size"] for r in first.collect()}
-    rows = ordered.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("idx") - F.col("_first")).cast("int").alias("code")
-    )
-    return Dictionary(materialize(rows, "dictionary"), sizes)
+    ends = ordered.groupBy("column").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("size")).collect()
+    sizes = {r["column"]: r["size"] for r in ends}
+    if not ends:
+        return Dictionary(ordered.select("column", "value", F.col("idx").cast("int").alias("code")), sizes)
+    first = F.create_map(*[F.lit(v) for r in ends for v in (r["column"], r["first"])])
+    rows = ordered.select("column", "value", (F.col("idx") - first[F.col("column")]).cast("int").alias("code"))
+    return Dictionary(rows, sizes)
 
 
 def apply_dictionary(df: DataFrame, dictionary: Dictionary, columns: Sequence[str], on_unseen: str = "error") -> DataFrame:

@@ -172,11 +172,17 @@ def run_parallel(tasks: Sequence[Callable[[], object]], width: int = 8) -> list:
 def fit_all_targets(df: DataFrame, roles, models: tuple[str, str], targets: Sequence[str] | None = None, **options) -> dict[str, Fitted]:
     """One model per target; the other columns are its features."""
     chosen = list(targets or roles.columns)
+    shared: dict[str, Fitted] = {}
+    if models[0] == "gaussian_nb" and (classes := [t for t in chosen if roles.is_categorical(t)]):
+        for t, m in gaussian_nb_all_targets(df, list(roles.columns), classes).items():
+            shared[t] = Fitted(t, m.features, m.predict, model=m)
 
     def one(t: str) -> Fitted:
+        if t in shared:
+            return shared[t]
         classifier = roles.is_categorical(t)
         name = models[0] if classifier else models[1]
-        extra = {k: v for k, v in options.items() if name in ("tree", "forest")}
+        extra = options if name in ("tree", "forest") else {}
         return FITTERS[name](df, t, roles.features(t), classifier, **extra)
 
     return dict(zip(chosen, run_parallel([lambda t=t: one(t) for t in chosen])))

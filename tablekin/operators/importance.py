@@ -6,6 +6,7 @@ Result rows: ``(target, feature, pos, rep, score)``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..roles import Roles
 from .bayes import NaiveBayes, permutation_drop
 from .clean import q
-from .estimators import FITTERS, METHODS, Fitted, assemble, run_parallel
+from .estimators import FITTERS, METHODS, Fitted, assemble, fit_all_targets, run_parallel
 from .index import Indexed, permuted, replicates, train_part
 from .linear import SOLVERS, column_means, fit_from_sums, product_sums, subtract_sums
 
@@ -39,54 +40,46 @@ def permutation_pairs(table: Indexed, columns: Sequence[str], repeats: int = REP
     return table.df.select("idx", *map(q, columns), F.inline(tags)).join(partners, "_src").drop("_src")
 
 
-def impurity_importance(fitted: Fitted, spark) -> DataFrame:
+def impurity_importance(fitted: Fitted) -> list[tuple[str, str, float]]:
     """Normalised impurity decrease of a tree or forest; it sums to 1, or is all 0 without a split."""
-    rows = list(zip(fitted.features, fitted.impurity))
-    return spark.createDataFrame(rows, "feature string, score double")
+    return [(fitted.target, f, s) for f, s in zip(fitted.features, fitted.impurity)]
 
 
-def permutation_importance(fitted: Fitted, table: Indexed, classifier: bool, repeats: int = REPEATS, first_seed: int = 100) -> DataFrame:
-    """Rows ``(feature, score)``: score on the training rows minus the mean score with the feature permuted.
+def permutation_importance(
+    fitted: Sequence[Fitted], table: Indexed, roles: Roles, repeats: int = REPEATS, first_seed: int = 100
+) -> list[tuple[str, str, float]]:
+    """``(target, feature, score)``: score on the training rows minus the mean score with the feature permuted.
 
-    The score is the accuracy or R². All variants of a row are tagged and predicted in one pass.
+    The score is the accuracy or R². Each row is tagged with one variant per permuted column; every model scores
+    the same variants, so all targets share one join and one pass.
     """
-    columns = [*fitted.features, fitted.target]
+    columns = list(roles.columns)
     pairs = permutation_pairs(table, columns, repeats, first_seed)
-    if isinstance(fitted.model, NaiveBayes):
-        return permutation_drop(fitted.model, pairs)
+    bayes = [f.model for f in fitted if isinstance(f.model, NaiveBayes)]
+    out = [(r["target"], r["feature"], r["score"]) for r in permutation_drop(bayes, pairs).collect()] if bayes else []
+    others = [f for f in fitted if not isinstance(f.model, NaiveBayes)]
+    if not others:
+        return out
     variants = F.array(
         *[
-            F.struct(
-                F.lit(j).alias("_variant"),
-                *[(q(f"_p_{f}") if i == j else q(f)).alias(f) for i, f in enumerate(fitted.features)],
-            )
-            for j in range(len(fitted.features))
+            F.struct(F.lit(j).alias("_variant"), *[(q(f"_p_{c}") if i == j else q(c)).alias(c) for i, c in enumerate(columns)])
+            for j in range(len(columns))
         ]
     )
-    y = q(fitted.target).alias("_y")
-    shuffled = fitted.predict(pairs.select(y, F.inline(variants)))
-    plain = fitted.predict(table.df.select(y, F.lit(-1).alias("_variant"), *map(q, fitted.features)))
-    error = F.pow(F.col("_y") - F.col("prediction"), 2)
-    value = F.avg((F.col("_y") == F.col("prediction")).cast("double")) if classifier else F.avg(error)
-    spread = F.var_pop("_y")
-    scored = (
-        shuffled.select("_variant", "_y", "prediction")
-        .unionByName(plain.select("_variant", "_y", "prediction"))
-        .groupBy("_variant")
-        .agg(value.alias("value"), spread.alias("spread"))
-    )
-    names = F.array(*[F.lit(f) for f in fitted.features])
-    # one row per feature plus the plain score: gathered into a map as long as the table is wide
-    gathered = scored.agg(
-        F.map_from_entries(F.collect_list(F.struct("_variant", "value"))).alias("m"), F.max("spread").alias("spread")
-    )
-    base = F.col("m")[F.lit(-1)]
-    drop = lambda j: (base - F.col("m")[j]) if classifier else F.coalesce(F.try_divide(F.col("m")[j] - base, F.col("spread")), F.lit(0.0))  # noqa: E731,E501
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(len(fitted.features) - 1)),
-        lambda j: F.struct(names[j].alias("feature"), drop(j).alias("score")),
-    )
-    return gathered.select(F.inline(cells))
+    rows = pairs.select(F.inline(variants)).unionByName(table.df.select(F.lit(-1).alias("_variant"), *map(q, columns)))
+    names = []
+    for k, f in enumerate(others):
+        rows = f.predict(rows).withColumnRenamed("prediction", f"_pred{k}")
+        y, p = q(f.target), F.col(f"_pred{k}")
+        value = F.avg((y == p).cast("double")) if roles.is_categorical(f.target) else 1 - F.try_divide(F.avg(F.pow(y - p, 2)), F.var_pop(y))
+        names.append(value.alias(f"_s{k}"))
+    scored = {r["_variant"]: r for r in rows.groupBy("_variant").agg(*names).collect()}
+    for k, f in enumerate(others):
+        base = scored[-1][f"_s{k}"]
+        for feature in f.features:
+            moved = scored[columns.index(feature)][f"_s{k}"]
+            out.append((f.target, feature, 0.0 if base is None or moved is None else base - moved))
+    return out
 
 
 def importance_by_moments(
@@ -133,32 +126,25 @@ def importance(
         models = METHODS[models]
     chosen = list(targets or roles.columns)
     spark = table.df.sparkSession
-    tasks, parts = [], []
+    by_moments = [t for t in chosen if not roles.is_categorical(t)] if models[1] in SOLVERS else []
+    by_fit = [t for t in chosen if t not in by_moments]
+    parts = []
+    if by_moments:
+        parts.append(importance_by_moments(table.df, table.n, roles, by_moments, models[1], reps, first_seed))
 
-    def one(target: str, rep: int) -> DataFrame:
-        classifier = roles.is_categorical(target)
-        name = models[0] if classifier else models[1]
+    def one(rep: int) -> list[tuple]:
         part = train_part(table, HELD_OUT, first_seed + rep)
-        extra = options if name in ("tree", "forest") else {}
-        fitted = FITTERS[name](part.df, target, roles.features(target), classifier, **extra)
-        if fitted.impurity is not None:
-            scores = impurity_importance(fitted, spark)
-        else:
-            scores = permutation_importance(fitted, part, classifier, repeats, 100 + 50 * rep)
-        rows = [(target, r["feature"], roles.position(r["feature"]), rep, r["score"]) for r in scores.collect()]
-        return spark.createDataFrame(rows, "target string, feature string, pos int, rep int, score double")
-
-    for name, classifier in ((models[0], True), (models[1], False)):
-        mine = [t for t in chosen if roles.is_categorical(t) == classifier]
-        if mine and name in SOLVERS and not classifier:
-            parts.append(importance_by_moments(table.df, table.n, roles, mine, name, reps, first_seed))
-        else:
-            tasks += [lambda t=t, r=r: one(t, r) for t in mine for r in range(reps)]
-    parts += run_parallel(tasks)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        fitted = list(fit_all_targets(part.df, roles, models, by_fit, **options).values())
+        scores = [s for f in fitted if f.impurity is not None for s in impurity_importance(f)]
+        rest = [f for f in fitted if f.impurity is None]
+        if rest:
+            scores += permutation_importance(rest, part, roles, repeats, 100 + 50 * rep)
+        return [(t, f, roles.position(f), rep, s) for t, f, s in scores]
+
+    if by_fit:
+        rows = [r for rep in run_parallel([lambda r=r: one(r) for r in range(reps)], 4) for r in rep]
+        parts.append(spark.createDataFrame(rows, "target string, feature string, pos int, rep int, score double"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def importance_mean(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

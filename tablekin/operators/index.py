@@ -35,7 +35,8 @@ def _hash(key: Sequence[str], seed: int) -> Column:
 
 def _bucket_counts(hashed: DataFrame, weight: Column) -> dict[str, int]:
     prefix = F.substring("_h", 1, MAX_HEX_DIGITS)
-    return {r["p"]: r["n"] for r in hashed.groupBy(prefix.alias("p")).agg(F.sum(weight).alias("n")).collect()}
+    counts = hashed.groupBy(prefix.alias("p")).agg(F.sum(weight).alias("n")).toPandas()
+    return {p: int(n) for p, n in zip(counts["p"], counts["n"])}
 
 
 def _offsets(counts: dict[str, int], digits: int) -> list[tuple[str, int]]:

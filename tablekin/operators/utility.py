@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import Roles
 from .clean import q
-from .estimators import FITTERS, run_parallel
+from .estimators import fit_all_targets, run_parallel
 from .index import Indexed, holdout_split
 from .linear import SOLVERS, column_means, errors_from_sums, product_sums
 
@@ -24,14 +25,14 @@ def mse(y: Column, prediction: Column) -> Column:
     return F.avg(F.pow(prediction - y, 2))
 
 
-def _rows(scored: DataFrame, keys: Sequence[str], higher_is_better: bool) -> DataFrame:
+def _rows(scored: DataFrame, keys: Sequence[str], higher_is_better: Column) -> DataFrame:
     return scored.select(
         *keys,
         "target",
         F.try_divide("other", "own").alias("ratio"),
         "own",
         "other",
-        F.lit(higher_is_better).alias("higher_is_better"),
+        higher_is_better.alias("higher_is_better"),
     )
 
 
@@ -56,7 +57,7 @@ def linear_utility(
     own = errors_from_sums(fit, train.where("is_test").drop("is_test"), columns, targets, shift, keys, solver)
     far = errors_from_sums(fit, other, columns, targets, shift, keys, solver)
     scored = own.withColumnRenamed("mse", "own").join(far.withColumnRenamed("mse", "other"), [*keys, "target"])
-    return _rows(scored, keys, False)
+    return _rows(scored, keys, F.lit(False))
 
 
 def utility_one_direction(
@@ -74,49 +75,37 @@ def utility_one_direction(
     ``other / own``, null where ``own`` is 0. Accuracy for categorical targets, squared error for the others.
     """
     split = holdout_split(x, share, seed)
+    columns = list(roles.columns)
+    train, held = split.where(~F.col("is_test")), split.where("is_test")
+    by_moments = [t for t in columns if not roles.is_categorical(t)] if models[1] in SOLVERS else []
+    by_fit = [t for t in columns if t not in by_moments]
     parts = []
-    continuous = [t for t in roles.columns if not roles.is_categorical(t)]
-    fitted_targets = [t for t in roles.columns if roles.is_categorical(t)]
-    if continuous and models[1] in SOLVERS:
-        columns = list(roles.columns)
+    if by_moments:
         shift = column_means(x.df, columns)
         sums = product_sums(split, columns, ["is_test"], shift)
-        parts.append(linear_utility(sums, product_sums(y, columns, (), shift), roles, continuous, shift, (), models[1]))
-    else:
-        fitted_targets = list(roles.columns)
-
-    def one(target: str) -> DataFrame:
-        classifier = roles.is_categorical(target)
-        name = models[0] if classifier else models[1]
-        extra = options if name in ("tree", "forest") else {}
-        fitted = FITTERS[name](split.where(~F.col("is_test")), target, roles.features(target), classifier, **extra)
-        wanted = list(roles.columns)
-        both = split.where("is_test").select(F.lit("own").alias("part"), *map(q, wanted)).unionByName(
-            y.select(F.lit("other").alias("part"), *map(q, wanted))
-        )
-        if name == "knn":
-            both = both.withColumn("idx", F.lit(None).cast("long"))
-        score = accuracy if classifier else mse
-        guessed = fitted.predict(both)
-        value = score(q(target), F.col("prediction"))
-        scored = guessed.groupBy("part").agg(value.alias("v"))
-        wide = scored.agg(
-            F.max(F.when(F.col("part") == "own", F.col("v"))).alias("own"),
-            F.max(F.when(F.col("part") == "other", F.col("v"))).alias("other"),
-        )
-        return _rows(wide.withColumn("target", F.lit(target)), (), classifier)
-
-    parts += run_parallel([lambda t=t: one(t) for t in fitted_targets])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts.append(linear_utility(sums, product_sums(y, columns, (), shift), roles, by_moments, shift, (), models[1]))
+    if by_fit:
+        rows = held.select(F.lit(True).alias("_own"), *map(q, columns)).unionByName(y.select(F.lit(False).alias("_own"), *map(q, columns)))
+        cells = []
+        for k, (target, fitted) in enumerate(fit_all_targets(train, roles, models, by_fit, **options).items()):
+            rows = fitted.predict(rows).withColumnRenamed("prediction", f"_pred{k}")
+            score = accuracy if roles.is_categorical(target) else mse
+            of = lambda own: score(F.when(F.col("_own") == own, q(target)), F.col(f"_pred{k}"))  # noqa: B023, E731
+            cells.append(F.struct(F.lit(target).alias("target"), of(True).alias("own"), of(False).alias("other")))
+        wide = rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        better = F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)
+        parts.append(_rows(wide, (), better))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def utility_both_directions(a: Indexed, b: Indexed, roles: Roles, models: tuple[str, str] = ("tree", "linear"), **options) -> DataFrame:
     """Rows of both directions, named by what was trained and what was scored."""
-    forth = utility_one_direction(a, b.df, roles, models, **options)
-    back = utility_one_direction(b, a.df, roles, models, **options)
+    forth, back = run_parallel(
+        [
+            lambda: utility_one_direction(a, b.df, roles, models, **options),
+            lambda: utility_one_direction(b, a.df, roles, models, **options),
+        ]
+    )
     return forth.select(F.lit("a").alias("train_side"), F.lit("b").alias("test_side"), "*").unionByName(
         back.select(F.lit("b").alias("train_side"), F.lit("a").alias("test_side"), "*")
     )

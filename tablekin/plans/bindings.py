@@ -44,12 +44,16 @@ def indexed_items(spark: SparkSession, sf: str) -> Indexed:
     return row_index(items(spark, sf), ["row_key"])
 
 
+def coded(df: DataFrame, key, roles: Roles) -> Indexed:
+    """``idx`` and the numeric columns of a table, categories as codes; written once."""
+    dictionary = fit_dictionary(df, roles.categorical)
+    base = row_index(df, key, keep=False)
+    out = apply_dictionary(base.df.select("idx", *roles.columns), dictionary, roles.categorical)
+    return Indexed(materialize(out, "coded"), base.n)
+
+
 def coded_items(spark: SparkSession, sf: str) -> Indexed:
-    """Numeric items: ``idx`` and all columns, categories as codes."""
-    base = indexed_items(spark, sf)
-    dictionary = fit_dictionary(base.df, ITEMS.categorical)
-    coded = apply_dictionary(base.df.select("idx", *ITEMS.columns), dictionary, ITEMS.categorical)
-    return Indexed(materialize(coded, "coded"), base.n)
+    return coded(items(spark, sf), ["row_key"], ITEMS)
 
 
 def coded_pair(spark: SparkSession, sf: str) -> tuple[Indexed, Indexed]:
@@ -254,10 +258,7 @@ def coded_docs(spark: SparkSession, sf: str) -> Indexed:
     """Labelled documents as numbers: lengths of the whole text, language and both labels."""
     sql = DOC_SELECT.format(s="STRING", d="{d}", l="{l}")
     docs = spark.sql(sql, d=table(spark, sf, "documents"), l=table(spark, sf, "labels"))
-    base = row_index(docs, ["doc_id"])
-    dictionary = fit_dictionary(base.df, DOCS.categorical)
-    coded = apply_dictionary(base.df.select("idx", *DOCS.columns), dictionary, DOCS.categorical)
-    return Indexed(materialize(coded, "docs"), base.n)
+    return coded(docs, ["doc_id"], DOCS)
 
 
 PARTS = Roles(("size", "price", "brand", "kind"), ("size", "price"))
@@ -271,10 +272,7 @@ def coded_parts(spark: SparkSession, sf: str) -> Indexed:
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("kind"),
     )
-    base = row_index(parts, ["p_partkey"])
-    dictionary = fit_dictionary(base.df, PARTS.categorical)
-    coded = apply_dictionary(base.df.select("idx", *PARTS.columns), dictionary, PARTS.categorical)
-    return Indexed(materialize(coded, "parts"), base.n)
+    return coded(parts, ["p_partkey"], PARTS)
 
 
 PARTS_SQL = """parts AS (SELECT row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':0'), p_partkey) - 1 AS idx,
