@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bayes import gaussian_nb_all_targets
 from .clean import q
@@ -69,14 +72,20 @@ def fit_forest(df, target, features, classifier, *, trees=100, max_depth=30, max
     )
 
 
+def _against_rest(single, df: DataFrame, target: str):
+    """One model per class, fitted side by side; two classes need only one."""
+    classes = int(df.agg(F.max(q(target))).first()[0]) + 1
+    return single if classes <= 2 else C.OneVsRest(classifier=single, parallelism=min(classes, 8), **_COLUMNS)
+
+
 def fit_logistic(df, target, features, classifier, *, strength=1.0, max_iter=100, **_):
     """L2 with weight ``1/strength`` on the sum of losses, one class against the rest."""
     n = df.count()
     single = C.LogisticRegression(regParam=1.0 / (strength * max(n, 1)), standardization=False, maxIter=max_iter, **_COLUMNS)
-    return _ml(C.OneVsRest(classifier=single, **_COLUMNS), df, target, features)
+    return _ml(_against_rest(single, df, target), df, target, features)
 
 
-def fit_svm(df, target, features, classifier, *, components=64, strength=1.0, seed=42, max_iter=50, **_):
+def fit_svm(df, target, features, classifier, *, components=64, strength=1.0, seed=42, max_iter=50, tol=1e-3, **_):
     """RBF machine approximated by random Fourier features (Rahimi and Recht 2007).
 
     The kernel width is 1 / (features × variance of all feature cells). Classes are separated one against the
@@ -97,22 +106,19 @@ def fit_svm(df, target, features, classifier, *, components=64, strength=1.0, se
     phase = draw.uniform(0, 2 * np.pi, size=components)
     scale = float(np.sqrt(2.0 / components))
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def lift(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, k))
+        return pd.Series(list(np.cos(x @ weights.T + phase) * scale))
+
     def prepare(d: DataFrame) -> DataFrame:
-        names = [f"_z{i}" for i in range(components)]
-        lifted = d.select(
-            "*",
-            *[
-                (F.cos(prediction(dict(zip(features, weights[i])), phase[i])) * scale).alias(names[i])
-                for i in range(components)
-            ],
-        )
-        return VectorAssembler(inputCols=names, outputCol="_x").transform(lifted).drop(*names)
+        return d.withColumn("_x", array_to_vector(lift(F.array(*[q(f).cast("double") for f in features]))))
 
     reg = 1.0 / (strength * max(moments["n"], 1))
     if classifier:
-        single = C.LinearSVC(regParam=reg, standardization=False, maxIter=max_iter, **_COLUMNS)
-        return _ml(C.OneVsRest(classifier=single, **_COLUMNS), df, target, features, prepare)
-    huber = R.LinearRegression(loss="huber", regParam=reg, standardization=False, maxIter=max_iter, **_COLUMNS)
+        single = C.LinearSVC(regParam=reg, standardization=False, maxIter=max_iter, tol=tol, **_COLUMNS)
+        return _ml(_against_rest(single, df, target), df, target, features, prepare)
+    huber = R.LinearRegression(loss="huber", regParam=reg, standardization=False, maxIter=max_iter, tol=tol, **_COLUMNS)
     return _ml(huber, df, target, features, prepare)
 
 

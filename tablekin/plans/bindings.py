@@ -9,6 +9,7 @@ from ..operators.index import Indexed, multiplier, offset, row_index, shuffle_co
 from ..operators.encode import apply_dictionary, fit_dictionary
 from ..operators.clean import q
 from ..operators.linear import column_means, product_sums, unpack
+from ..operators.rank import METRICS
 from ..roles import Roles
 from ..session import materialize
 
@@ -121,59 +122,88 @@ def correlation_scores(df: DataFrame, columns, by) -> DataFrame:
     return sums.mapInPandas(rows, f"{keys}, target string, feature string, pos int, score double")
 
 
-def run_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two sides of importance rows with a run number: both line states, one run per line number."""
-    df = items(spark, sf).select(F.col("line").cast("int").alias("run"), "linestatus", *CONTINUOUS)
-    scores = materialize(correlation_scores(df, CONTINUOUS, ["run", "linestatus"]), "scores")
+def keyed_scores(spark: SparkSession, sf: str, keys) -> tuple[DataFrame, DataFrame]:
+    """Importance rows of both line states, per line number (``run``) and return flag (``method``) as asked."""
+    df = items(spark, sf).select(
+        F.col("line").cast("int").alias("run"), F.col("returnflag").alias("method"), "linestatus", *CONTINUOUS
+    )
+    scores = materialize(correlation_scores(df, CONTINUOUS, [*keys, "linestatus"]), "scores")
     side = lambda s: scores.where(F.col("linestatus") == s).drop("linestatus")
     return side("F"), side("O")
 
 
-def _cells(p_from: str) -> str:
-    cells = [
-        f"SELECT run, linestatus, '{t}' AS target, '{f}' AS feature, {j} AS pos, round(abs(corr({t}, {f})), 9) AS score"
-        f" FROM {p_from} GROUP BY run, linestatus"
-        for t in CONTINUOUS
-        for j, f in enumerate(CONTINUOUS)
-        if f != t
-    ]
-    return " UNION ALL ".join(cells)
-
-
-RUN_SCORES_SQL = f"""{ITEMS_SQL},
-lined AS (SELECT CAST(line AS INTEGER) AS run, * FROM items),
-scores AS ({_cells('lined')}),
-pairs AS (SELECT a.run, a.target, a.feature, a.pos, a.score AS score_a, b.score AS score_b
-          FROM scores a JOIN scores b USING (run, target, feature) WHERE a.linestatus = 'F' AND b.linestatus = 'O'),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY run, target ORDER BY score_a DESC, pos) AS rank_a,
-                     row_number() OVER (PARTITION BY run, target ORDER BY score_b DESC, pos) AS rank_b,
-                     row_number() OVER (PARTITION BY run, target ORDER BY pos) AS place,
-                     count(*) OVER (PARTITION BY run, target) AS n FROM pairs),
-per_target AS (SELECT run, target, any_value(n) AS n,
+def run_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return keyed_scores(spark, sf, ["run"])
+
+
+def measures_sql(keys, pairs: str = "pairs") -> str:
+    """CTEs from ``pairs`` to ``measured`` (a column per measure) and ``long_scores``. Needs WITH RECURSIVE."""
+    k = "".join(f"{c}, " for c in keys)
+    x = "".join(f"x.{c}, " for c in keys)
+    kk = "".join(f"k.{c}, " for c in keys)
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in (*keys, "target"))
+    text = lambda r: f"string_agg(chr(CAST(32 + {r} AS INTEGER)), '' ORDER BY pos)"
+    far = "CASE WHEN i >= 1 AND x[1] >= 2 AND la[i + 1] = lb[x[1] - 1] AND la[i] = lb[x[1]] THEN p2[x[1] - 1] + 1 ELSE 1000000 END"
+    long = " UNION ALL ".join(f"SELECT {k}target, '{name}' AS metric, {m} AS value FROM measured" for m, name in METRICS.items())
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {k}target ORDER BY score_a DESC, pos) AS rank_a,
+                     row_number() OVER (PARTITION BY {k}target ORDER BY score_b DESC, pos) AS rank_b,
+                     row_number() OVER (PARTITION BY {k}target ORDER BY pos) AS place,
+                     count(*) OVER (PARTITION BY {k}target) AS n FROM {pairs}),
+per_target AS (SELECT {k}target, any_value(n) AS n,
     sum(rank_a / log2(n - rank_b + 2)) / sum(rank_b / log2(n - rank_b + 2)) AS ndcg,
     (avg(CAST(rank_a = rank_b AS INTEGER)) - 1.0 / any_value(n)) / (1 - 1.0 / any_value(n)) AS cohen_kappa,
-    1 - sum(power(score_a - score_b, 2)) / (var_pop(score_a) * count(*)) AS r2,
-    1 - levenshtein(string_agg(chr(CAST(32 + rank_a AS INTEGER)), '' ORDER BY pos),
-                    string_agg(chr(CAST(32 + rank_b AS INTEGER)), '' ORDER BY pos)) / CAST(any_value(n) AS DOUBLE) AS levenshtein,
-    jaro_winkler_similarity(string_agg(chr(CAST(32 + rank_a AS INTEGER)), '' ORDER BY pos),
-                    string_agg(chr(CAST(32 + rank_b AS INTEGER)), '' ORDER BY pos)) AS jaro_winkler,
+    CASE WHEN min(score_a) = max(score_a) THEN CASE WHEN sum(power(score_a - score_b, 2)) = 0 THEN 1.0 ELSE 0.0 END
+         ELSE 1 - sum(power(score_a - score_b, 2)) / (var_pop(score_a) * count(*)) END AS r2,
+    1 - levenshtein({text('rank_a')}, {text('rank_b')}) / CAST(any_value(n) AS DOUBLE) AS levenshtein,
+    jaro_winkler_similarity({text('rank_a')}, {text('rank_b')}) AS jaro_winkler,
     avg(CAST(rank_a = rank_b AS INTEGER)) AS hamming,
     string_agg(CAST(rank_a AS VARCHAR), '' ORDER BY pos) AS rank_join_a,
-    string_agg(CAST(rank_b AS VARCHAR), '' ORDER BY pos) AS rank_join_b
-    FROM ranked GROUP BY run, target),
-taus AS (SELECT x.run, x.target, sum(sg) / count(*) AS kendall_tau,
+    string_agg(CAST(rank_b AS VARCHAR), '' ORDER BY pos) AS rank_join_b,
+    list(CAST(rank_a AS BIGINT) ORDER BY pos) AS la, list(CAST(rank_b AS BIGINT) ORDER BY pos) AS lb
+    FROM ranked GROUP BY {k}target),
+taus AS (SELECT {x}x.target, sum(sg) / count(*) AS kendall_tau,
            (sum(sg * (1.0 / (n - xa + 1) + 1.0 / (n - ya + 1))) + sum(sg * (1.0 / (n - xb + 1) + 1.0 / (n - yb + 1))))
            / (2 * sum(1.0 / (n - xa + 1) + 1.0 / (n - ya + 1))) AS weighted_tau
-         FROM (SELECT x.run, x.target, x.n, x.rank_a AS xa, y.rank_a AS ya, x.rank_b AS xb, y.rank_b AS yb,
+         FROM (SELECT {x}x.target, x.n, x.rank_a AS xa, y.rank_a AS ya, x.rank_b AS xb, y.rank_b AS yb,
                       sign((x.rank_a - y.rank_a) * (x.rank_b - y.rank_b)) AS sg
-               FROM ranked x JOIN ranked y ON x.run = y.run AND x.target = y.target AND x.pos < y.pos) x
-         GROUP BY x.run, x.target),
-depths AS (SELECT x.run, x.target, x.n, greatest(x.place, y.place) AS depth
-           FROM ranked x JOIN ranked y ON x.run = y.run AND x.target = y.target AND x.rank_a = y.rank_b),
-overlap AS (SELECT run, target, sum(shared / CAST(d AS DOUBLE)) / any_value(n) AS rbo FROM (
-              SELECT k.run, k.target, any_value(k.n) AS n, k.place AS d, count(e.depth) AS shared
-              FROM ranked k LEFT JOIN depths e ON e.run = k.run AND e.target = k.target AND e.depth <= k.place
-              GROUP BY k.run, k.target, k.place) GROUP BY run, target)"""
+               FROM ranked x JOIN ranked y ON {same('x', 'y')} AND x.pos < y.pos) x
+         GROUP BY {x}x.target),
+depths AS (SELECT {x}x.target, x.n, greatest(x.place, y.place) AS depth
+           FROM ranked x JOIN ranked y ON {same('x', 'y')} AND x.rank_a = y.rank_b),
+overlap AS (SELECT {k}target, sum(shared / CAST(d AS DOUBLE)) / any_value(n) AS rbo FROM (
+              SELECT {kk}k.target, any_value(k.n) AS n, k.place AS d, count(e.depth) AS shared
+              FROM ranked k LEFT JOIN depths e ON {same('e', 'k')} AND e.depth <= k.place
+              GROUP BY {kk}k.target, k.place) GROUP BY {k}target),
+osa AS (SELECT {k}target, n, la, lb, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS p2, range(0, n + 1) AS p1 FROM per_target
+  UNION ALL
+  SELECT {k}target, n, la, lb, i + 1, p1, list_reduce(list_transform(range(1, n + 1), lambda j: [j]),
+     lambda acc, x: list_append(acc, least(acc[x[1]] + 1, p1[x[1] + 1] + 1,
+        p1[x[1]] + CASE WHEN la[i + 1] = lb[x[1]] THEN 0 ELSE 1 END, {far})), [i + 1])
+  FROM osa WHERE i < n),
+aligned AS (SELECT {k}target, 1 - p1[n + 1] / CAST(n AS DOUBLE) AS damerau FROM osa WHERE i = n),
+measured AS (SELECT * EXCLUDE (la, lb) FROM per_target JOIN taus USING ({k}target) JOIN overlap USING ({k}target)
+             JOIN aligned USING ({k}target)),
+long_scores AS ({long})"""
+
+
+def keyed_scores_sql(keys) -> str:
+    """CTE ``pairs`` of the importance rows that ``keyed_scores`` gives."""
+    k = "".join(f"{c}, " for c in keys)
+    cells = [
+        f"SELECT {k}linestatus, '{t}' AS target, '{f}' AS feature, {j} AS pos, round(abs(corr({t}, {f})), 9) AS score"
+        f" FROM lined GROUP BY {k}linestatus"
+        for t in CONTINUOUS
+        for j, f in enumerate(CONTINUOUS)
+        if f != t
+    ]
+    return f"""{ITEMS_SQL},
+lined AS (SELECT CAST(line AS INTEGER) AS run, returnflag AS method, * FROM items),
+scores AS ({' UNION ALL '.join(cells)}),
+pairs AS (SELECT {''.join(f'a.{c}, ' for c in keys)}a.target, a.feature, a.pos, a.score AS score_a, b.score AS score_b
+          FROM scores a JOIN scores b USING ({k}target, feature) WHERE a.linestatus = 'F' AND b.linestatus = 'O')"""
+
+
+RUN_SCORES_SQL = f"{keyed_scores_sql(['run'])},\n{measures_sql(['run'])}"
 
 
 # ---------------------------------------------------------------- SQL for models

@@ -297,23 +297,12 @@ def _pairs(spark, sf):
     return rank.pair_scores(a, b, ["run"])
 
 
-@query("ordinal_rank", f"WITH {RUN_SCORES_SQL} SELECT run, target, feature, pos, CAST(rank_a AS INTEGER) AS rank_a, CAST(rank_b AS INTEGER) AS rank_b FROM ranked")
+@query("ordinal_rank", f"WITH RECURSIVE {RUN_SCORES_SQL} SELECT run, target, feature, pos, CAST(rank_a AS INTEGER) AS rank_a, CAST(rank_b AS INTEGER) AS rank_b FROM ranked")
 def ordinal_rank(spark, sf):
     return rank.ordinal_rank(_pairs(spark, sf), ["run"]).select("run", "target", "feature", "pos", "rank_a", "rank_b")
 
 
-_MEASURES = {
-    "rank_ndcg": ("ndcg", "per_target"),
-    "rank_cohen_kappa": ("cohen_kappa", "per_target"),
-    "score_r2": ("r2", "per_target"),
-    "rank_levenshtein": ("levenshtein", "per_target"),
-    "rank_kendall_tau": ("kendall_tau", "taus"),
-    "rank_weighted_tau": ("weighted_tau", "taus"),
-    "rank_rbo": ("rbo", "overlap"),
-    "rank_jaro_winkler": ("jaro_winkler", "per_target"),
-    "rank_hamming": ("hamming", "per_target"),
-    "rank_damerau": ("damerau", None),
-}
+_QUERY_OF = {"r2": "score_r2"}
 
 
 def _measure(metric):
@@ -324,40 +313,28 @@ def _measure(metric):
     return run
 
 
-for _name, (_metric, _source) in _MEASURES.items():
-    _sql = _source and f"WITH {RUN_SCORES_SQL} SELECT run, target, {rounded(_metric, 9, 'value')} FROM {_source}"
-    query(_name, _sql)(_measure(_metric))
+for _metric in rank.METRICS:
+    _sql = f"WITH RECURSIVE {RUN_SCORES_SQL} SELECT run, target, {rounded(_metric, 9, 'value')} FROM measured"
+    query(_QUERY_OF.get(_metric, f"rank_{_metric}"), _sql)(_measure(_metric))
 
 
-@query("rank_join_string", f"WITH {RUN_SCORES_SQL} SELECT run, target, rank_join_a, rank_join_b FROM per_target")
+@query("rank_join_string", f"WITH RECURSIVE {RUN_SCORES_SQL} SELECT run, target, rank_join_a, rank_join_b FROM measured")
 def rank_join_string(spark, sf):
     return rank.score_ranks(_pairs(spark, sf), ["run"], metrics=["hamming"]).select("run", "target", "rank_join_a", "rank_join_b")
 
 
-_SQL_METRICS = [m for m in rank.METRICS if m != "damerau"]
-_LONG_SQL = " UNION ALL ".join(
-    f"SELECT run, target, '{rank.METRICS[m]}' AS metric, {m} AS value FROM measured" for m in _SQL_METRICS
-)
-MEASURED_SQL = f"""{RUN_SCORES_SQL},
-measured AS (SELECT * FROM per_target JOIN taus USING (run, target) JOIN overlap USING (run, target)),
-long_scores AS ({_LONG_SQL})"""
-
-
 def long_run_scores(spark, sf):
-    """All measures but the one SQL has no function for."""
-    return rank.long_scores(rank.score_ranks(_pairs(spark, sf), ["run"], metrics=_SQL_METRICS), ["run"], _SQL_METRICS)
+    return rank.compare_importances(*run_scores(spark, sf), ["run"])
 
 
-@query("score_aggregate", f"WITH {MEASURED_SQL} SELECT run, metric, {rounded('avg(value)', 9, 'value')} FROM long_scores GROUP BY run, metric")
+@query("score_aggregate", f"WITH RECURSIVE {RUN_SCORES_SQL} SELECT run, metric, {rounded('avg(value)', 9, 'value')} FROM long_scores GROUP BY run, metric")
 def score_aggregate(spark, sf):
     return rank.score_aggregate(long_run_scores(spark, sf), ["run"]).withColumn("value", rnd("value", 9))
 
 
-@query("compare_importances", f"WITH {MEASURED_SQL} SELECT run, target, metric, {rounded('value', 9, 'value')} FROM long_scores")
+@query("compare_importances", f"WITH RECURSIVE {RUN_SCORES_SQL} SELECT run, target, metric, {rounded('value', 9, 'value')} FROM long_scores")
 def compare_importances(spark, sf):
-    a, b = run_scores(spark, sf)
-    rows = rank.compare_importances(a, b, ["run"])
-    return rows.where(F.col("metric") != rank.METRICS["damerau"]).withColumn("value", rnd("value", 9))
+    return long_run_scores(spark, sf).withColumn("value", rnd("value", 9))
 
 
 # ---------------------------------------------------------------- cross utility

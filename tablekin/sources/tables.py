@@ -60,9 +60,10 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
 
     Target names share a level with ``aggregated`` and ``cross``, so that level is read as raw text and split.
     """
+    name = r"([^/_=]+)_([^/]+?)\.json(?:/[^/]*)?$"  # a file of that name, or a folder with one file
     docs = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/_]+)_([^/]+)\.json$", 1).alias("method"),
-        F.regexp_extract(F.input_file_name(), r"([^/_]+)_([^/]+)\.json$", 2).alias("dataset"),
+        F.regexp_extract(F.input_file_name(), name, 1).alias("method"),
+        F.regexp_extract(F.input_file_name(), name, 2).alias("dataset"),
         F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("runs"),
     )
     runs = docs.select("method", "dataset", F.explode("runs").alias("run", "text")).withColumn(
@@ -80,6 +81,47 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def nest_results(scores: DataFrame, cross: DataFrame, keys: Sequence[str] = ("method", "dataset")) -> DataFrame:
+    """Long score and cross rows to a row per run in the shape ``read_results_json`` gives.
+
+    ``scores`` holds ``(keys…, run, target, metric, value)``, ``cross`` ``(keys…, run, type, column, ratio, own, other)``.
+    A run holds one entry per target, so it is as large as the compared tables are wide.
+    """
+    run = [*keys, "run"]
+    entry = lambda k, v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(k), v))))
+    by_target = scores.groupBy(*run, "target").agg(entry("metric", F.col("value").alias("value")).alias("results"))
+    targets = by_target.groupBy(*run).agg(entry("target", F.struct("results").alias("r")).alias("targets"))
+    means = scores.groupBy(*run, "metric").agg(F.avg("value").alias("value"))
+    aggregated = means.groupBy(*run).agg(entry("metric", F.col("value")).alias("aggregated"))
+    triples = cross.select(*run, "type", "column", F.array("ratio", "own", "other").alias("t"))
+    of = lambda name: F.map_from_entries(
+        F.sort_array(F.collect_list(F.when(F.col("type") == name, F.struct("column", "t"))))
+    ).alias(name)
+    both = triples.groupBy(*run).agg(of("real_synth"), of("synth_real"))
+    mean = lambda m, c: F.aggregate(F.col(m)[c], F.lit(0.0), lambda s, x: s + x)
+    ratio = F.transform(F.map_keys("synth_real"), lambda c: mean("synth_real", c) / mean("real_synth", c))
+    crossed = both.select(*run, F.struct("real_synth", "synth_real", ratio.alias("aggregated")).alias("cross"))
+    return targets.join(aggregated, run).join(crossed, run)
+
+
+def write_results_json(nested: DataFrame, path: str) -> None:
+    """One JSON document per method and dataset, in a folder ``<method>_<dataset>.json``."""
+    text = F.concat(
+        F.lit('{"aggregated": '),
+        F.to_json("aggregated"),
+        F.lit(', "cross": '),
+        F.to_json("cross"),
+        F.lit(", "),
+        F.substr(F.to_json("targets"), F.lit(2)),
+    )
+    runs = nested.select("method", "dataset", F.concat(F.lit('"'), F.col("run"), F.lit('": '), text).alias("text"))
+    docs = runs.groupBy("method", "dataset").agg(F.array_join(F.sort_array(F.collect_list("text")), ", ").alias("body"))
+    named = docs.select(
+        F.format_string("%s_%s.json", "method", "dataset").alias("name"), F.concat(F.lit("{"), "body", F.lit("}")).alias("value")
+    )
+    named.write.partitionBy("name").text(path)
+
+
 def write_results(rows: DataFrame, path: str, by: Sequence[str] = ("dataset", "method"), mode: str = "errorifexists") -> None:
     """Long result rows as Parquet, one folder per dataset and method."""
     rows.write.mode(mode).partitionBy(*by).parquet(path)
