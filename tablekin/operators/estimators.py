@@ -55,15 +55,15 @@ def _ml(estimator, df: DataFrame, target: str, features: Sequence[str], prepare=
 _COLUMNS = dict(featuresCol="_x", labelCol="_label")
 
 
-def fit_tree(df, target, features, classifier, *, max_depth=30, max_bins=64, min_rows=1, seed=42, bins_at_least=0):
+def fit_tree(df, target, features, classifier, *, max_depth=30, max_bins=64, min_rows=1, seed=42, **_):
     kind = C.DecisionTreeClassifier if classifier else R.DecisionTreeRegressor
     return _ml(
-        kind(maxDepth=max_depth, maxBins=max(max_bins, bins_at_least), minInstancesPerNode=min_rows, seed=seed, maxMemoryInMB=1024, **_COLUMNS),
+        kind(maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_rows, seed=seed, maxMemoryInMB=1024, **_COLUMNS),
         df, target, features,
     )
 
 
-def fit_forest(df, target, features, classifier, *, trees=100, max_depth=30, max_bins=64, seed=42):
+def fit_forest(df, target, features, classifier, *, trees=100, max_depth=30, max_bins=64, seed=42, **_):
     kind = C.RandomForestClassifier if classifier else R.RandomForestRegressor
     subset = "sqrt" if classifier else "all"
     return _ml(

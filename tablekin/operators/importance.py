@@ -100,8 +100,8 @@ def importance_by_moments(
     columns = list(roles.columns)
     shift = column_means(df, columns)
     total = product_sums(df, columns, by, shift)
-    tagged = replicates(Indexed(df.select("idx", *by, *map(q, columns)), n), reps, HELD_OUT, first_seed)
-    held = tagged.where("is_test").withColumnRenamed("rep", rep_name)
+    rows = Indexed(df.select("idx", *by, *map(q, columns)), n)
+    held = replicates(rows, reps, HELD_OUT, first_seed, rep_name).where("is_test")
     sums = subtract_sums(total, product_sums(held, columns, [*by, rep_name], shift), by)
     fitted = fit_from_sums(sums, columns, targets, shift, [*by, rep_name], solver)
     return fitted.select(*by, "target", "feature", "pos", rep_name, "score")

@@ -175,13 +175,13 @@ def train_part(table: Indexed, share: float, seed: int) -> Indexed:
     return Indexed(moved.where(F.col("idx") >= 0), table.n - held)
 
 
-def replicates(table: Indexed, reps: int, share: float = 0.05, first_seed: int = 0) -> DataFrame:
-    """``reps`` copies tagged ``rep`` with their own ``is_test``; no cross join, no new sort."""
+def replicates(table: Indexed, reps: int, share: float = 0.05, first_seed: int = 0, name: str = "rep") -> DataFrame:
+    """``reps`` copies tagged ``rep`` (or ``name``) with their own ``is_test``; no cross join, no new sort."""
     held = test_size(table.n, share)
     idx = F.col("idx")
     tags = F.array(
         *[
-            F.struct(F.lit(r).alias("rep"), (permuted(idx, first_seed + r, table.n) < held).alias("is_test"))
+            F.struct(F.lit(r).alias(name), (permuted(idx, first_seed + r, table.n) < held).alias("is_test"))
             for r in range(reps)
         ]
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clean import q
 from ..operators.encode import apply_dictionary, fit_dictionary
-from ..operators.estimators import METHODS
+from ..operators.estimators import METHODS, run_parallel
 from ..operators.importance import importance, importance_by_moments, importance_mean
 from ..operators.index import Indexed, column_shuffle_sweep, permuted, sample_columns, shuffle_columns, sweep_seed, test_size
 from ..operators.linear import SOLVERS, column_means, product_sums
@@ -50,11 +51,14 @@ def compare_datasets(
     The cross part always uses ``cross_models``, whatever model ranks the features.
     """
     a, b = encode_pair(a, b, roles)
-    scores = compare_importances(
-        mean_importances(a, roles, models, reps, repeats, seed, **options),
-        mean_importances(b, roles, models, reps, repeats, seed, **options),
+    first, second, cross = run_parallel(
+        [
+            lambda: mean_importances(a, roles, models, reps, repeats, seed, **options),
+            lambda: mean_importances(b, roles, models, reps, repeats, seed, **options),
+            lambda: utility_both_directions(a, b, roles, cross_models, **options),
+        ]
     )
-    return scores, utility_both_directions(a, b, roles, cross_models, **options)
+    return compare_importances(first, second), cross
 
 
 def summary(scores: DataFrame, cross: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -86,19 +90,19 @@ def shuffle_trial(
         return _linear_trial(table, roles, models[1], cross_models[1], max_columns, reps, inner)
     base, _ = encode_pair(table, table, roles)
     original = materialize(mean_importances(base, roles, models, inner, repeats, **options), "importance")
-    scores = cross = None
-    for run in range(max_columns + 1):
-        for rep in range(reps):
-            chosen = sample_columns(roles.columns, run, rep)
-            copy = shuffle_columns(base, chosen, sweep_seed(run, rep))
-            copy = Indexed(materialize(copy.df, "shuffled"), copy.n) if chosen else copy
-            s = compare_importances(original, mean_importances(copy, roles, models, inner, repeats, **options))
-            c = utility_both_directions(base, copy, roles, cross_models, **options)
-            tag = lambda d: materialize(d.select(F.lit(run).alias("run"), F.lit(rep).alias("rep"), "*"), "trial")
-            s, c = tag(s), tag(c)
-            scores = s if scores is None else scores.unionByName(s)
-            cross = c if cross is None else cross.unionByName(c)
-    return scores, cross
+
+    def one(run: int, rep: int) -> tuple[DataFrame, DataFrame]:
+        chosen = sample_columns(roles.columns, run, rep)
+        copy = shuffle_columns(base, chosen, sweep_seed(run, rep))
+        copy = Indexed(materialize(copy.df, "shuffled"), copy.n) if chosen else copy
+        scores = compare_importances(original, mean_importances(copy, roles, models, inner, repeats, **options))
+        cross = utility_both_directions(base, copy, roles, cross_models, **options)
+        tag = lambda d: materialize(d.select(F.lit(run).alias("run"), F.lit(rep).alias("rep"), "*"), "trial")
+        return tag(scores), tag(cross)
+
+    runs = [lambda k=k, r=r: one(k, r) for k in range(max_columns + 1) for r in range(reps)]
+    scores, cross = zip(*run_parallel(runs, 4))
+    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, cross)
 
 
 def _linear_trial(table: Indexed, roles: Roles, solver: str, cross_solver: str, max_columns: int, reps: int, inner: int):
@@ -159,24 +163,24 @@ def trial_mean(summaries: DataFrame, keys: Sequence[str] = ("run", "metric")) ->
 
 def method_sweep(table: Indexed, roles: Roles, methods: Sequence[str] = tuple(METHODS), **trial) -> DataFrame:
     """Trial summaries ``(method, run, rep, metric, value)`` of several methods."""
-    out = None
-    for method in methods:
+
+    def one(method: str) -> DataFrame:
         scores, cross = shuffle_trial(table, roles, METHODS[method], **trial)
-        rows = summary(scores, cross, ["run", "rep"]).select(F.lit(method).alias("method"), "run", "rep", "metric", "value")
-        rows = materialize(rows, "method")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        rows = summary(scores, cross, ["run", "rep"])
+        return materialize(rows.select(F.lit(method).alias("method"), "run", "rep", "metric", "value"), "method")
+
+    return reduce(DataFrame.unionByName, run_parallel([lambda m=m: one(m) for m in methods], 3))
 
 
 def generator_sweep(real: Mapping[str, Indexed], synthetic: Mapping[tuple[str, str], Indexed], roles: Mapping[str, Roles], **options) -> DataFrame:
     """Rows ``(generator, dataset, metric, value)``: real tables against the tables each generator made of them."""
-    out = None
-    for (generator, dataset), made in synthetic.items():
-        scores, cross = compare_datasets(real[dataset], made, roles[dataset], **options)
-        rows = summary(scores, cross).select(F.lit(generator).alias("generator"), F.lit(dataset).alias("dataset"), "metric", "value")
-        rows = materialize(rows, "generator")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    def one(generator: str, dataset: str) -> DataFrame:
+        scores, cross = compare_datasets(real[dataset], synthetic[generator, dataset], roles[dataset], **options)
+        tags = [F.lit(generator).alias("generator"), F.lit(dataset).alias("dataset")]
+        return materialize(summary(scores, cross).select(*tags, "metric", "value"), "generator")
+
+    return reduce(DataFrame.unionByName, run_parallel([lambda k=k: one(*k) for k in synthetic], 4))
 
 
 def repetition_sweep(table: Indexed, roles: Roles, repetitions: Sequence[int] = (5, 10, 15, 20, 25, 30, 35), **trial) -> DataFrame:

@@ -88,7 +88,7 @@ def nest_results(scores: DataFrame, cross: DataFrame, keys: Sequence[str] = ("me
     A run holds one entry per target, so it is as large as the compared tables are wide.
     """
     run = [*keys, "run"]
-    entry = lambda k, v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(k), v))))
+    entry = lambda k, v: F.map_from_entries(F.collect_list(F.struct(F.col(k), v)))
     by_target = scores.groupBy(*run, "target").agg(entry("metric", F.col("value").alias("value")).alias("results"))
     targets = by_target.groupBy(*run).agg(entry("target", F.struct("results").alias("r")).alias("targets"))
     means = scores.groupBy(*run, "metric").agg(F.avg("value").alias("value"))
