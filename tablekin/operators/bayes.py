@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clean import q
+from .linear import centred, column_means
 
 EXPRESSION_TERMS = 32  # beyond it the generated method grows too large to be compiled well
 VAR_SMOOTHING = 1e-9  # share of the largest feature variance that is added to every variance
@@ -84,21 +85,21 @@ class NaiveBayes:
 def class_sums(df: DataFrame, columns: Sequence[str], targets: Sequence[str], by: Sequence[str] = (), shift: Sequence[float] = ()) -> DataFrame:
     """Rows ``(by…, target, code, n, s, ss)`` for all targets: one scan, partial sums before the shuffle."""
     tags = F.array(*[F.struct(F.lit(t).alias("target"), q(t).alias("code")) for t in targets])
-    x = [q(c) - F.lit(m) for c, m in zip(columns, shift)]
+    x = [f"_{i}" for i in range(len(columns))]
     return (
-        df.select(*by, *[v.alias(f"_{i}") for i, v in enumerate(x)], F.inline(tags))
+        df.select(*by, *[F.expr(f"{centred(c, m)} AS {v}") for v, c, m in zip(x, columns, shift)], F.inline(tags))
         .groupBy(*by, "target", "code")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(f"_{i}") for i in range(len(x))]).alias("s"),
-            F.array(*[F.sum(F.col(f"_{i}") * F.col(f"_{i}")) for i in range(len(x))]).alias("ss"),
+            F.expr("count(1) AS n"),
+            F.expr(f"array({', '.join(f'sum({v})' for v in x)}) AS s"),
+            F.expr(f"array({', '.join(f'sum({v} * {v})' for v in x)}) AS ss"),
         )
     )
 
 
 def gaussian_nb_all_targets(df: DataFrame, columns: Sequence[str], targets: Sequence[str]) -> dict[str, NaiveBayes]:
     """One model per categorical target. A model holds classes × features numbers."""
-    shift = [float(v or 0.0) for v in df.agg(*[F.avg(q(c)) for c in columns]).first()]
+    shift = column_means(df, columns)
     by_target: dict[str, list] = {t: [] for t in targets}
     for r in class_sums(df, columns, targets, shift=shift).collect():
         by_target[r["target"]].append(r)

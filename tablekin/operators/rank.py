@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import sequence_similarity
@@ -66,71 +66,56 @@ def rank_lists(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda t, x: t + x)
+# Pieces of SQL text; one text per measure keeps planning short.
+_SUM = "aggregate({}, 0D, (t, x) -> t + x)"
+_SAME = "CAST(size(filter(zip_with(ra, rb, (x, y) -> x = y), e -> e)) AS DOUBLE) / n"
+_MEAN = f"{_SUM.format('sa')} / n"
+_HARMONIC = _SUM.format("transform(sequence(1, n), i -> 1D / i)")
+# per position: concordant minus discordant partners in the same pair of lists
+CONCORDANCE = (
+    "transform(arrays_zip(ra, rb), c -> aggregate(arrays_zip(ra, rb), 0D,"
+    " (t, d) -> t + signum(CAST((c.ra - d.ra) * (c.rb - d.rb) AS DOUBLE))))"
+)
 
 
-def _harmonic(n: Column) -> Column:
-    return _sum(F.transform(F.sequence(F.lit(1), n), lambda i: 1.0 / i))
+def _text(ranks: str) -> str:
+    return f"array_join(transform({ranks}, r -> char(CAST(r + 32 AS BIGINT))), '')"
 
 
-def _item_order(ranks: Column) -> Column:
+def _item_order(ranks: str) -> str:
     """Feature positions in the order of their rank."""
-    return F.transform(F.sequence(F.lit(1), F.size(ranks)), lambda r: F.array_position(ranks, r).cast("int"))
+    return f"transform(sequence(1, n), r -> CAST(array_position({ranks}, r) AS INT))"
 
 
-def _ndcg(gain: Column, by: Column) -> Column:
-    discount = lambda r: 1.0 / F.log2(F.size(by) - r + 2.0)
-    got = _sum(F.zip_with(gain, by, lambda g, r: g * discount(r)))
-    return F.try_divide(got, _sum(F.transform(by, lambda r: r * discount(r))))
-
-
-def _concordance(a: Column, b: Column) -> Column:
-    """Per position: concordant minus discordant partners in the same pair of lists."""
-    cells = F.arrays_zip(a.alias("x"), b.alias("y"))
-    return F.transform(
-        cells,
-        lambda c: F.aggregate(
-            cells, F.lit(0.0), lambda t, d: t + F.signum((c["x"] - d["x"]) * (c["y"] - d["y"]).cast("double"))
-        ),
-    )
-
-
-def measure_expressions(mode: str = "reference") -> dict[str, Column]:
-    """The measures as expressions on a row of ``rank_lists``.
+def measure_expressions(mode: str = "reference") -> dict[str, str]:
+    """The measures as SQL text on a row of ``rank_lists`` with the concordance ``s``.
 
     ``reference`` weights and orders by rank numbers in column order, as published; ``top_weighted`` gives the
     most important feature the largest weight and compares features in the order of their rank.
     """
-    ra, rb, n = F.col("ra"), F.col("rb"), F.col("n")
     if mode == "reference":
-        ga, gb, la, lb = ra, rb, ra, rb
+        ga, gb, la, lb = "ra", "rb", "ra", "rb"
     elif mode == "top_weighted":
-        ga, gb = (F.transform(r, lambda x: n + 1 - x) for r in (ra, rb))
-        la, lb = F.col("la"), F.col("lb")
+        ga, gb = (f"transform({r}, x -> n + 1 - x)" for r in ("ra", "rb"))
+        la, lb = "la", "lb"
     else:
         raise ValueError(mode)
-    same = F.size(F.filter(F.zip_with(ra, rb, lambda x, y: x == y), lambda e: e)).cast("double") / n
-    mean = _sum(F.col("sa")) / n
-    spread = _sum(F.transform("sa", lambda x: (x - mean) * (x - mean)))
-    error = _sum(F.zip_with("sa", "sb", lambda x, y: (x - y) * (x - y)))
-    constant = F.array_max("sa") == F.array_min("sa")
-    s = F.col("s")
-    weighted = lambda g: _sum(F.zip_with(s, g, lambda c, r: c / (n - r + 1)))
-    text = lambda ranks: F.array_join(F.transform(ranks, lambda r: F.char((r + 32).cast("long"))), "")
-    shared = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda d: F.size(F.array_intersect(F.slice(la, 1, d), F.slice(lb, 1, d))) / d.cast("double"),
-    )
+    discount = "log2(n - r + 2D)"
+    error = _SUM.format("zip_with(sa, sb, (x, y) -> (x - y) * (x - y))")
+    spread = _SUM.format(f"transform(sa, x -> (x - {_MEAN}) * (x - {_MEAN}))")
+    weighted = lambda g: _SUM.format(f"zip_with(s, {g}, (c, r) -> c / (n - r + 1))")
+    shared = f"size(array_intersect(slice({la}, 1, d), slice({lb}, 1, d)))"
     return {
-        "ndcg": _ndcg(ga, gb),
-        "cohen_kappa": F.try_divide(same - 1.0 / n, 1.0 - 1.0 / n),
-        "r2": F.when(constant, F.when(error == 0, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide(error, spread)),
-        "levenshtein": F.when(n <= CHARACTER_LIMIT, 1.0 - F.levenshtein(text(la), text(lb)) / n),
-        "kendall_tau": F.try_divide(_sum(s), n * (n - 1.0)),
-        "weighted_tau": F.try_divide(weighted(ga) + weighted(gb), 2.0 * (n - 1.0) * _harmonic(n)),
-        "rbo": _sum(shared) / n,
-        "hamming": same,
+        "ndcg": f"try_divide({_SUM.format(f'zip_with({ga}, {gb}, (g, r) -> g / {discount})')},"
+        f" {_SUM.format(f'transform({gb}, r -> r / {discount})')})",
+        "cohen_kappa": f"try_divide({_SAME} - 1D / n, 1D - 1D / n)",
+        "r2": f"CASE WHEN array_max(sa) = array_min(sa) THEN CASE WHEN {error} = 0 THEN 1D ELSE 0D END"
+        f" ELSE 1D - try_divide({error}, {spread}) END",
+        "levenshtein": f"CASE WHEN n <= {CHARACTER_LIMIT} THEN 1D - levenshtein({_text(la)}, {_text(lb)}) / CAST(n AS DOUBLE) END",
+        "kendall_tau": f"try_divide({_SUM.format('s')}, n * (n - 1D))",
+        "weighted_tau": f"try_divide({weighted(ga)} + {weighted(gb)}, 2D * (n - 1D) * {_HARMONIC})",
+        "rbo": _SUM.format(f"transform(sequence(1, n), d -> {shared} / CAST(d AS DOUBLE))") + " / n",
+        "hamming": _SAME,
     }
 
 
@@ -138,24 +123,21 @@ def score_ranks(pairs: DataFrame, keys: Sequence[str] = (), mode: str = "referen
     """One row per ``(keys…, target)`` with a column per measure and the joined rank strings."""
     wanted = list(metrics or METRICS)
     rows = rank_lists(ordinal_rank(pairs, keys), keys)
+    la, lb = "ra", "rb"
     if mode == "top_weighted":
-        rows = rows.withColumns({"la": _item_order(F.col("ra")), "lb": _item_order(F.col("rb"))})
-    la, lb = ("la", "lb") if mode == "top_weighted" else ("ra", "rb")
+        la, lb = "la", "lb"
+        rows = rows.withColumns({la: F.expr(_item_order("ra")), lb: F.expr(_item_order("rb"))})
     exprs = measure_expressions(mode)
-    rows = rows.withColumn("s", _concordance(F.col("ra"), F.col("rb")))
+    if {"kendall_tau", "weighted_tau"} & set(wanted):
+        rows = rows.withColumn("s", F.expr(CONCORDANCE))
     if {"damerau", "jaro_winkler", "levenshtein"} & set(wanted):
         # the UDF runs once per target; its edit distance serves only lists too long for one character per rank
         rows = rows.withColumn("u", sequence_similarity(la, lb))
-        exprs["levenshtein"] = F.coalesce(exprs["levenshtein"], F.col("u.levenshtein"))
-        exprs["damerau"] = F.col("u.damerau")
-        exprs["jaro_winkler"] = F.col("u.jaro_winkler")
-    return rows.select(
-        *keys,
-        "target",
-        *[exprs[m].alias(m) for m in wanted],
-        F.array_join(F.col("ra").cast("array<string>"), "").alias("rank_join_a"),
-        F.array_join(F.col("rb").cast("array<string>"), "").alias("rank_join_b"),
-    )
+        exprs["levenshtein"] = f"coalesce({exprs['levenshtein']}, u.levenshtein)"
+        exprs["damerau"] = "u.damerau"
+        exprs["jaro_winkler"] = "u.jaro_winkler"
+    joined = [f"array_join(CAST({r} AS ARRAY<STRING>), '') AS rank_join_{s}" for r, s in (("ra", "a"), ("rb", "b"))]
+    return rows.select(*keys, "target", *[F.expr(f"{exprs[m]} AS {m}") for m in wanted], *map(F.expr, joined))
 
 
 def long_scores(scores: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] | None = None) -> DataFrame:
