@@ -138,8 +138,8 @@ def permutation_drop(models: Sequence[NaiveBayes], pairs: DataFrame) -> DataFram
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, hits = 0, [np.zeros(len(m.features) + 1, dtype=np.int64) for m in models]
         for pdf in batches:
-            own = pdf[columns].to_numpy(dtype=float)
-            partner = pdf[[f"_p_{c}" for c in columns]].to_numpy(dtype=float)
+            both = pdf.to_numpy(dtype=float)
+            own, partner = both[:, : len(columns)], both[:, len(columns) :]
             n += len(own)
             for m, hit in zip(models, hits):
                 for start in range(0, len(own), m.chunk):
@@ -153,6 +153,6 @@ def permutation_drop(models: Sequence[NaiveBayes], pairs: DataFrame) -> DataFram
         rows = [(m.target, f, int(h[-1] - h[i]), n) for m, h in zip(models, hits) for i, f in enumerate(m.features)]
         yield pd.DataFrame(rows, columns=["target", "feature", "lost", "n"])
 
-    needed = pairs.select(*map(q, columns), *[q(f"_p_{c}") for c in columns])
+    needed = pairs.select(*[q(c).alias(f"_{i}") for i, c in enumerate([*columns, *[f"_p_{c}" for c in columns]])])
     counted = needed.mapInPandas(count, "target string, feature string, lost long, n long")
     return counted.groupBy("target", "feature").agg((F.sum("lost") / F.sum("n")).alias("score"))

@@ -53,8 +53,10 @@ def align_columns(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = No
 
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null becomes the column mean. The means are one row of one pass; filling is a projection."""
-    means = df.agg(*[F.avg(q(c)).alias(c) for c in columns]).first().asDict()
-    return df.fillna({c: float(m) for c, m in means.items() if m is not None})
+    means = dict(zip(columns, df.agg(*[F.avg(q(c)) for c in columns]).first()))
+    return df.select(
+        *[F.coalesce(q(c), F.lit(float(means[c]))).alias(c) if means.get(c) is not None else q(c) for c in df.columns]
+    )
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -42,7 +42,8 @@ def product_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 
 def _product_sums_batched(df: DataFrame, columns: Sequence[str], by: Sequence[str], shift: Sequence[float]) -> DataFrame:
     """Wide tables: each task keeps one product matrix per group, then the matrices are added up."""
-    columns, by, shift = list(columns), list(by), np.asarray(shift)
+    by, shift = list(by), np.asarray(shift)
+    plain = [f"_{i}" for i in range(len(columns))]  # batch functions cannot address names with dots
     upper = np.triu_indices(len(columns))
     cells = T.StructType(
         [f for f in df.select(*by).schema.fields]
@@ -54,7 +55,7 @@ def _product_sums_batched(df: DataFrame, columns: Sequence[str], by: Sequence[st
         for pdf in batches:
             groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
             for key, part in groups:
-                x = part[columns].to_numpy(dtype=float) - shift
+                x = part[plain].to_numpy(dtype=float) - shift
                 v = np.concatenate([x.sum(axis=0), (x.T @ x)[upper]])
                 held = total.setdefault(key if isinstance(key, tuple) else (key,), [0, 0.0])
                 held[0] += len(x)
@@ -62,7 +63,7 @@ def _product_sums_batched(df: DataFrame, columns: Sequence[str], by: Sequence[st
         rows = [(*k, n, v) for k, (n, v) in total.items()]
         yield pd.DataFrame(rows, columns=[*by, "n", "v"])
 
-    parts = df.select(*by, *map(q, columns)).mapInPandas(partial, cells)
+    parts = df.select(*by, *[q(c).alias(p) for c, p in zip(columns, plain)]).mapInPandas(partial, cells)
     p = len(columns)
     summed = (
         parts.select(*by, "n", F.posexplode("v").alias("i", "x"))

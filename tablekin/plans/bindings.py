@@ -11,7 +11,7 @@ from ..operators.clean import q
 from ..operators.linear import column_means, product_sums, unpack
 from ..operators.rank import METRICS
 from ..roles import Roles
-from ..session import materialize
+from ..session import materialize, spread
 
 import pandas as pd
 
@@ -30,7 +30,7 @@ SHUFFLED = ("price", "discount", "returnflag")
 
 ITEM_SELECT = """
 SELECT concat_ws('|', CAST(l_orderkey AS {s}), CAST(l_partkey AS {s}), CAST(l_suppkey AS {s}), CAST(l_linenumber AS {s}),
-         CAST(CAST(l_quantity AS DECIMAL(18,2)) AS {s}), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS {s})) AS row_key,
+         CAST(CAST(l_quantity AS BIGINT) AS {s}), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS {s})) AS row_key,
        l_quantity AS quantity, l_extendedprice / 1000 AS price, l_discount AS discount, l_tax AS tax,
        l_extendedprice * (1 - l_discount) / 1000 AS net, l_extendedprice / l_quantity / 1000 AS unit_price,
        CAST(l_linenumber AS {s}) AS line, l_linestatus AS linestatus, l_returnflag AS returnflag
@@ -38,7 +38,8 @@ FROM {t}"""
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(ITEM_SELECT.format(s="STRING", t="{t}"), t=table(spark, sf, "lineitem"))
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    return spark.sql(ITEM_SELECT.format(s="STRING", t="{t}"), t=spread(table(spark, sf, "lineitem").select(*used)))
 
 
 def indexed_items(spark: SparkSession, sf: str) -> Indexed:
@@ -46,7 +47,11 @@ def indexed_items(spark: SparkSession, sf: str) -> Indexed:
 
 
 def coded(df: DataFrame, key, roles: Roles) -> Indexed:
-    """``idx`` and the numeric columns of a table, categories as codes; written once."""
+    """``idx`` and the numeric columns of a table, categories as codes.
+
+    The derived columns are written once; each of the three passes then reads only the columns it needs.
+    """
+    df = materialize(df, "source")
     dictionary = fit_dictionary(df, roles.categorical)
     base = row_index(df, key, keep=False)
     out = apply_dictionary(base.df.select("idx", *roles.columns), dictionary, roles.categorical)
