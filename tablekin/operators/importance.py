@@ -148,7 +148,8 @@ def importance(
 
 
 def importance_mean(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return rows.groupBy(*keys, "target", "feature", "pos").agg(F.avg("score").alias("score"))
+    """Mean over the repetitions, to twelve digits, so that equal means tie whatever order they were added in."""
+    return rows.groupBy(*keys, "target", "feature", "pos").agg(F.round(F.avg("score"), 12).alias("score"))
 
 
 def importance_variance(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -102,7 +102,7 @@ def group_index(df: DataFrame, within: Sequence[str], key: Sequence[str], seed:
 
     A group is numbered in hash buckets, so a group with a third of all rows is still many window partitions.
     """
-    hashed = df.withColumn("_h", _hash(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    hashed = df.withColumn("_h", _hash(key, seed)).withColumn("_b", F.substring("_h", 1, MAX_HEX_DIGITS))
     cells = hashed.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

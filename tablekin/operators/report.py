@@ -19,18 +19,16 @@ def flatten_results(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``cross`` (struct with the maps ``real_synth``, ``synth_real`` of triples and the array ``aggregated``).
     The first element of a triple is the ratio; ``aggregated`` gives the metric ``ratio_rs_sr``.
     """
-    targets = results.select(*keys, "run", F.explode("targets").alias("target", "r"))
-    metrics = targets.select(*keys, "run", F.explode("r.results").alias("metric", "value"), "target")
-    parts = metrics.select(*keys, "run", "metric", "target", "value")
-    for name in ("real_synth", "synth_real"):
-        triples = results.select(*keys, "run", F.explode(f"cross.{name}").alias("target", "triple"))
-        parts = parts.unionByName(
-            triples.select(*keys, "run", F.lit(name).alias("metric"), "target", F.col("triple")[0].alias("value"))
-        )
-    ratios = results.select(*keys, "run", F.explode("cross.aggregated").alias("value"))
-    return parts.unionByName(
-        ratios.select(*keys, "run", F.lit("ratio_rs_sr").alias("metric"), F.lit(None).cast("string").alias("target"), "value")
-    )
+    cell = "named_struct('metric', {}, 'target', {}, 'value', {})"
+    of_target = cell.format("m.key", "t.key", "m.value")
+    metrics = f"flatten(transform(map_entries(targets), t -> transform(map_entries(t.value.results), m -> {of_target})))"
+    ratios = [
+        f"transform(map_entries(cross.{name}), t -> {cell.format(repr(name), 't.key', 't.value[0]')})"
+        for name in ("real_synth", "synth_real")
+    ]
+    quotient = cell.format("'ratio_rs_sr'", "CAST(NULL AS STRING)", "v")
+    cells = f"concat({metrics}, {', '.join(ratios)}, transform(cross.aggregated, v -> {quotient}))"
+    return results.select(*keys, "run", F.inline(F.expr(cells)))
 
 
 def explode_melt(wide: DataFrame, ids: Sequence[str], lists: Sequence[str]) -> DataFrame:
@@ -91,20 +89,9 @@ def series_offset(df: DataFrame, series: str, code: str = "code", step: float =
 
 def extract_cross(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows ``(keys…, run, type, column, ratio, own, other)`` of both directions."""
-    out = None
-    for name in ("real_synth", "synth_real"):
-        triples = results.select(*keys, "run", F.explode(f"cross.{name}").alias("column", "t"))
-        rows = triples.select(
-            *keys,
-            "run",
-            F.lit(name).alias("type"),
-            "column",
-            F.col("t")[0].alias("ratio"),
-            F.col("t")[1].alias("own"),
-            F.col("t")[2].alias("other"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    cell = "named_struct('type', '{}', 'column', t.key, 'ratio', t.value[0], 'own', t.value[1], 'other', t.value[2])"
+    sides = [f"transform(map_entries(cross.{s}), t -> {cell.format(s)})" for s in ("real_synth", "synth_real")]
+    return results.select(*keys, "run", F.inline(F.expr(f"concat({', '.join(sides)})")))
 
 
 def group_mean_std_by(df: DataFrame, groupings: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..roles import Roles
 from .clean import q
@@ -36,6 +37,12 @@ def _rows(scored: DataFrame, keys: Sequence[str], higher_is_better: Column) -> D
     )
 
 
+def _local(sums: DataFrame) -> DataFrame:
+    """The one or two rows of ungrouped sums under a join key; taken once, so no table is read again."""
+    rows = [(0, *r) for r in sums.collect()]
+    return sums.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_k", T.IntegerType()), *sums.schema.fields]))
+
+
 def linear_utility(
     train: DataFrame,
     other: DataFrame,
@@ -50,8 +57,7 @@ def linear_utility(
     ``train`` holds sums by ``(keys…, is_test)``, ``other`` sums by ``keys``.
     """
     if not keys:
-        tag = lambda d: d.withColumn("_one", F.lit(1))
-        return linear_utility(tag(train), tag(other), roles, targets, shift, ["_one"], solver).drop("_one")
+        return linear_utility(_local(train), _local(other), roles, targets, shift, ["_k"], solver).drop("_k")
     columns = list(roles.columns)
     fit = train.where(~F.col("is_test")).drop("is_test")
     own = errors_from_sums(fit, train.where("is_test").drop("is_test"), columns, targets, shift, keys, solver)

@@ -44,7 +44,7 @@ def _compare_sql() -> str:
     return (
         f"WITH RECURSIVE {BOTH_SQL},\n" + ",\n".join(a_ctes + b_ctes)
         + f",\nmean_a AS ({mean(a)}),\nmean_b AS ({mean(b)}),\n"
-        + "pairs AS (SELECT a.target, a.feature, a.pos, round(a.score, 9) AS score_a, round(b.score, 9) AS score_b FROM mean_a a JOIN mean_b b USING (target, feature)),\n"
+        + "pairs AS (SELECT a.target, a.feature, a.pos, round(a.score, 12) AS score_a, round(b.score, 12) AS score_b FROM mean_a a JOIN mean_b b USING (target, feature)),\n"
         + measures_sql(())
         + "\nSELECT target, metric, "
         + rounded("value", 5, "value")
@@ -106,7 +106,7 @@ train_b AS ({mixed}), train_a AS ({plain}),
 {inverse_sql('train_a', _P, ('inner_rep',), 'inv_a')},
 score_b AS (SELECT run, rep, target, feature, pos, avg(score) AS score FROM ({linear_importance_sql('inv_b', _P, _P, keys)}) GROUP BY ALL),
 score_a AS (SELECT target, feature, pos, avg(score) AS score FROM ({linear_importance_sql('inv_a', _P, _P, ('inner_rep',))}) GROUP BY ALL),
-pairs AS (SELECT b.run, b.rep, target, feature, b.pos, round(a.score, 9) AS score_a, round(b.score, 9) AS score_b FROM score_a a JOIN score_b b USING (target, feature)),
+pairs AS (SELECT b.run, b.rep, target, feature, b.pos, round(a.score, 12) AS score_a, round(b.score, 12) AS score_b FROM score_a a JOIN score_b b USING (target, feature)),
 {measures_sql(('run', 'rep'))},
 held_a AS (SELECT *, {permuted_sql('idx', 42)} < ceil(n * 0.2) AS is_test FROM indexed),
 held_b AS (SELECT *, {permuted_sql('idx', 42)} < ceil(n * 0.2) AS is_test FROM sweep),
@@ -165,14 +165,14 @@ SWEEP_REPS = (1, 2)
 @query(
     "repetition_sweep",
     f"""WITH RECURSIVE {_trial_ctes(1, max(SWEEP_REPS), INNER)}, tagged AS ({' UNION ALL '.join(f"SELECT {r} AS n_reps, * FROM trial WHERE rep < {r}" for r in SWEEP_REPS)})
-SELECT n_reps, run, metric, {rounded('avg(value)', 5, 'value')}, {rounded('var_pop(value)', 7, 'variance')} FROM tagged GROUP BY n_reps, run, metric""",
+SELECT n_reps, run, metric, {rounded('avg(value)', 5, 'value')}, {rounded('var_pop(value)', 4, 'variance')} FROM tagged GROUP BY n_reps, run, metric""",
 )
 def repetition_sweep_query(spark, sf):
     rows = repetition_sweep(
         _numbers(spark, sf), NUMBERS, SWEEP_REPS, models=("gaussian_nb", "linear"), max_columns=1, inner_reps=INNER, cross_models=FAST
     )
     means = rows.groupBy("n_reps", "run", "metric").agg(rnd(F.avg("value"), 5).alias("value"))
-    variances = report.variance_by_reps(rows).withColumn("variance", rnd("variance", 7))
+    variances = report.variance_by_reps(rows).withColumn("variance", rnd("variance", 4))
     return means.join(variances, ["n_reps", "run", "metric"])
 
 
