@@ -278,10 +278,10 @@ def importance_mean(spark, sf):
 @query(
     "importance_variance",
     f"WITH RECURSIVE {CODED_SQL},\n" + ",\n".join(_LINEAR_CTES)
-    + f"\nSELECT target, feature, pos, round(var_pop(score), 9) AS variance FROM ({_LINEAR_SELECT}) GROUP BY target, feature, pos",
+    + f"\nSELECT target, feature, pos, round(var_pop(score), 6) AS variance FROM ({_LINEAR_SELECT}) GROUP BY target, feature, pos",
 )
 def importance_variance(spark, sf):
-    return importance.importance_variance(_linear_rows(spark, sf)).withColumn("variance", rnd("variance", 9))
+    return importance.importance_variance(_linear_rows(spark, sf)).withColumn("variance", rnd("variance", 6))
 
 
 @query("shap_mean_importance")
