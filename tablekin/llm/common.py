@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # fixed values: the ASCII white space [\x20\x09-\x0D], which bytes.split() also uses
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -23,6 +24,16 @@ def free_name(columns: Iterable[str], base: str) -> str:
     return base
 
 
+def plain_names(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The table with all columns but ``keep`` called c0, c1, ..., so that a table made from it can have any other names."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in keep else f"c{k}") for k, c in enumerate(df.columns)])
+
+
+def own_names(df: DataFrame, like: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns of ``like`` from a table made from ``plain_names(like)``."""
+    return df.select(*[F.col(c if c in keep else f"c{k}").alias(c) for k, c in enumerate(like.columns)])
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions of a shuffle; operators deal packed rows to as many buckets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import cover, free_name, spans_of, text_bytes
+from tablekin.llm.common import cover, own_names, plain_names, spans_of, text_bytes
 from tablekin.llm.fm_index import END, MOST_SYMBOLS, FmIndex
 
 # fixed values: bytes that make words; the others part them
@@ -169,17 +169,11 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[i
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with n_words, spans (merged word ranges that items cover) and items (ids, sorted as numbers).
 
-    The new columns get other names if ``docs`` has such columns. With more than one block of items, documents are put
-    together by a row key made of all their columns, so that repeated rows need no id.
+    ``docs`` must not have columns of these names. With more than one block of items, documents are put together by all
+    their columns, so that repeated rows need no id.
     """
-    names = {n: free_name(docs.columns, n) for n in ("n_words", "spans", "items")}
     field = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {t}" for c, t in field.items()), "n_words long", f"spans {SPANS}", "items array<long>"])
-    if set(names) != set(names.values()):
-        inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") if c != "text" else F.col("text") for k, c in enumerate(docs.columns)])
-        found = find_contamination(inner, benchmark, window, block_bytes)
-        back = [F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
-        return found.select(*back, *[F.col(n).alias(new) for n, new in names.items()])
     parts = [docs.mapInArrow(_search(block, window), schema) for block in item_blocks(benchmark, block_bytes)]
     if len(parts) == 1:
         return parts[0]
@@ -220,3 +214,24 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(raw[at : places[a][0]])
         at = places[b - 1][1]
     return b"".join([*out, raw[at:]]).decode()
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """``docs`` without contaminated rows (hit words are 1 / ``share`` of all or more) and, in the others, without the spans."""
+    plain = plain_names(docs)
+    found = find_contamination(plain, benchmark, window)
+    hit = n_hit()
+    clean = found.filter(~((hit > 0) & (share * hit >= F.col("n_words"))))
+    return own_names(clean.select(*plain.columns, "spans").mapInArrow(_cut, plain.schema), docs)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column("spans").to_pylist()
+        names = [n for n in batch.schema.names if n != "spans"]
+        columns = {n: batch.column(n) for n in names}
+        if any(spans):
+            text = batch.column("text").to_pylist()
+            cut = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(text, spans, strict=True)]
+            columns["text"] = pa.array(cut, batch.schema.field("text").type)
+        yield pa.record_batch(columns)

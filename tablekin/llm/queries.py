@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import decontaminate, line_dedup, quality_rules, sentencepiece_bpe
+from tablekin.llm import decontaminate, line_dedup, near_dup, quality_rules, sentencepiece_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_documents(documents(spark, sf_dir))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return scored.select(*base, F.round("quality", 6).alias("quality"))
+
+
+@query(
+    "op9_jaccard_join",
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT sh FROM s GROUP BY sh HAVING count(*) > 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM (SELECT * FROM s SEMI JOIN common USING (sh)) a
+      JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+b AS MATERIALIZED (SELECT x AS u, y AS v FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT DISTINCT u AS doc_id, u AS via FROM b UNION SELECT r.doc_id, b.v FROM r JOIN b ON r.via = b.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(via) AS component_id FROM r GROUP BY doc_id) g USING (doc_id)""",
+)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_groups(documents(spark, sf_dir))
