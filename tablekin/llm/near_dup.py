@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -137,23 +137,26 @@ def _summary(size: int):
     return run
 
 
-def _signatures(shingles: np.ndarray, limit: Threshold, boundary: int, hot: np.ndarray, hot_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subset and prefix signatures of a set, and the places (in the hot list) of the hot shingles of its prefix."""
-    n, out, places = len(shingles), [], np.zeros(0, np.int64)
+def _signatures(shingles: np.ndarray, limit: Threshold, boundary: int, hot: np.ndarray, hot_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subset and prefix signatures of a set, how far on in the prefix each stands (in 255ths of the set, rounded down),
+    and the places in the hot list of the prefix's hot shingles, -1 elsewhere."""
+    n, out, far, places = len(shingles), [], [], []
     if n <= boundary:
         each = mix64(shingles)
         total = each.sum(dtype=np.uint64)
         for a, b, c in limit.subsets(n, boundary):
             left_out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
             out.append(mix64((total - each[left_out].sum(1, dtype=np.uint64)) ^ np.uint64((a << 40) + (b << 8) + 1)))
+            far.append(np.zeros(len(left_out), np.int64))
+            places.append(np.full(len(left_out), -1))
     if n >= limit.smallest(boundary + 1):
         at = np.minimum(np.searchsorted(hot, shingles), max(0, len(hot) - 1))
         place = np.where(hot[at] == shingles, hot_place[at], -1) if len(hot) else np.full(n, -1)
         first = np.lexsort((shingles, place))[: limit.prefix(n)]
         out.append(mix64(shingles[first]))
-        places = place[first]
-        places = places[places >= 0]
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), places
+        far.append(np.arange(len(first)) * 255 // n)
+        places.append(place[first])
+    return np.concatenate(out), np.concatenate(far), np.concatenate(places)
 
 
 def _enter(size: int, limit: Threshold, boundary: int, hot: np.ndarray, count: np.ndarray, buckets: int, blocks: int):
@@ -164,21 +167,23 @@ def _enter(size: int, limit: Threshold, boundary: int, hot: np.ndarray, count: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _chunks(batches, size):
-            signatures, owners, everywhere = [], [], []
             short = _short(list(sets))
+            signatures, owners, fars, everywhere = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for k, shingles in enumerate(sets.values()):
-                own, places = _signatures(shingles, limit, boundary, values, place)
-                if len(long_ := places[~gathered[places]]):
-                    own = np.setdiff1d(own, mix64(hot[long_]))
+                own, far, places = _signatures(shingles, limit, boundary, values, place)
+                long_ = (places >= 0) & ~gathered[places]
+                if long_.any():
                     everywhere.append(k)
-                signatures.append(own)
-                owners.append(np.full(len(own), k))
-            sig, owner = np.concatenate([*signatures, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
+                signatures.append(own[~long_])
+                fars.append(far[~long_])
+                owners.append(np.full(len(signatures[-1]), k))
+            sig, owner, far = np.concatenate(signatures), np.concatenate(owners), np.concatenate(fars).astype(np.uint8)
+            size_class = np.array([_size_class(len(x)) for x in sets.values()], np.uint8)
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            sig, owner, bounds = sig[by], short[owner[by]], np.searchsorted(bucket[by], np.arange(buckets + 1))
+            columns, bounds = (sig[by], short[owner[by]], size_class[owner[by]], far[by]), np.searchsorted(bucket[by], np.arange(buckets + 1))
             used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-            payload = [_pack(sig[bounds[b] : bounds[b + 1]], owner[bounds[b] : bounds[b + 1]]) for b in used]
+            payload = [_pack(*(x[bounds[b] : bounds[b + 1]] for x in columns)) for b in used]
             kind = [0] * len(used)
             if everywhere:
                 used, payload, kind = [*used, int(short[everywhere[0]] % np.uint64(buckets))], [*payload, short[everywhere].tobytes()], [*kind, 1]
@@ -187,65 +192,103 @@ def _enter(size: int, limit: Threshold, boundary: int, hot: np.ndarray, count: n
     return run
 
 
-def _pack(sig: np.ndarray, owner: np.ndarray) -> bytes:
-    """Five bytes of each signature (the bucket has more of it), then the classes."""
-    return sig.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() + owner.tobytes()
+#: Sizes within a factor of STEP fall into one size class.
+STEP, LAST_CLASS = 1.05, 255
+ENTRY = np.dtype([("sig", "u1", 5), ("owner", "<u8"), ("size", "u1"), ("far", "u1")])
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 13
-    sig = np.zeros((n, 8), np.uint8)
-    sig[:, 3:] = np.frombuffer(raw, np.uint8, 5 * n).reshape(n, 5)
-    return sig.view(np.uint64)[:, 0], np.frombuffer(raw[5 * n :], np.uint64)
+def _size_class(n: int) -> int:
+    return min(LAST_CLASS, int(log(n) / log(STEP) + 1e-9))
 
 
-def _meet(blocks: int):
+def _pack(sig: np.ndarray, owner: np.ndarray, size: np.ndarray, far: np.ndarray) -> bytes:
+    """Entries of a bucket, with five bytes of each signature (the bucket has more of it)."""
+    out = np.empty(len(sig), ENTRY)
+    out["sig"] = sig.view(np.uint8).reshape(-1, 8)[:, 3:]
+    out["owner"], out["size"], out["far"] = owner, size, far
+    return out.tobytes()
+
+
+class Fit:
+    """Whether two entries of a list can belong to similar sets, by their rounded sizes and places.
+
+    The sizes differ by a factor of the threshold at most; and if the list is the first that both sets stand in, what
+    follows in either set is at least the needed overlap.
+    """
+
+    def __init__(self, percent: int):
+        t = percent / 100
+        self.apart = int(log(1 / t) / log(STEP)) + 1
+        share = t / (1 + t)
+        self.far = np.full(2 * self.apart + 1, 255)
+        for d in range(-self.apart, self.apart + 1):  # of two entries, the other one's size class is d higher
+            ratio = STEP ** (d - 1)  # the other set is at least so many times as large
+            self.far[d + self.apart] = int(255 * (1 - share * (1 + ratio)) + 2)
+
+    def __call__(self, size_a, far_a, size_b, far_b):
+        d = size_b.astype(np.int64) - size_a
+        near = np.abs(d) <= self.apart
+        d = np.clip(d, -self.apart, self.apart)
+        capped = (size_a == LAST_CLASS) | (size_b == LAST_CLASS)
+        fits = near & (far_a <= self.far[d + self.apart]) & (far_b <= self.far[self.apart - d])
+        return fits | (capped & (near | (np.minimum(size_a, size_b) + self.apart >= LAST_CLASS)))
+
+
+def _meet(blocks: int, percent: int):
     """Routes (class, block) of the classes that stand in one list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, owners, routes = [], [], []
+        entries, routes = [np.zeros(0, ENTRY)], []
         for batch in batches:
             for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if kind == 1:
                     owner = np.frombuffer(raw, np.uint64)
                     routes.append((owner, np.full(len(owner), EVERY_BLOCK)))
                 else:
-                    sig, owner = _unpack(raw)
-                    signatures.append(sig)
-                    owners.append(owner)
-        if signatures:
-            routes += _routes(np.concatenate(signatures), np.concatenate(owners), blocks)
-        if routes:
-            pairs = np.unique(np.stack([np.concatenate([r[0] for r in routes]).view(np.int64), np.concatenate([r[1] for r in routes])], 1), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(pairs[:, 1].astype(np.int32))], ["short", "block"])
+                    entries.append(np.frombuffer(raw, ENTRY))
+        routes += _routes(np.concatenate(entries), blocks, Fit(percent))
+        pairs = np.unique(np.stack([np.concatenate([r[0] for r in routes]).view(np.int64), np.concatenate([r[1] for r in routes])], 1), axis=0)
+        yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(pairs[:, 1].astype(np.int32))], ["short", "block"])
 
     return run
 
 
-def _routes(sig: np.ndarray, owner: np.ndarray, blocks: int, few: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each member of a list goes to the blocks of the later members; all stay in their own block too."""
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
+def _routes(entries: np.ndarray, blocks: int, fit: Fit, few: int = 16, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each member of a list goes to the blocks of the later members that fit it; these stay in their own block."""
+    sig = np.zeros((len(entries), 8), np.uint8)
+    sig[:, 3:] = entries["sig"]
+    sig = sig.view(np.uint64)[:, 0]
+    order = np.lexsort((entries["owner"], sig))
+    sig, owner, size, far = (x[order] for x in (sig, entries["owner"], entries["size"], entries["far"]))
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-    sig, owner = sig[new], owner[new]
-    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    sig, owner, size, far = sig[new], owner[new], size[new], far[new]
+    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)])
     sizes = np.diff(np.append(starts, len(sig)))
     starts, sizes = starts[sizes > 1], sizes[sizes > 1]
     block = block_of(owner, blocks)
-    out = []
+    out, stay = [], np.zeros(len(sig), bool)
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        fits = fit(size[a], far[a], size[b], far[b])
+        out.append((owner[a[fits]], block[b[fits]]))
+        stay[b[fits]] = True
+
     for step in range(1, few):
         own = (sizes > step) & (sizes <= few)
         at = np.repeat(starts[own], sizes[own] - step) + _counting(sizes[own] - step)
-        out.append((owner[at], block[at + step]))
-    for a, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
-        mine = block[a : a + n]  # ascending, as blocks are ranges of the classes' order
-        for b in np.unique(mine):
-            before = int(np.searchsorted(mine, b, "right")) - 1
-            out.append((owner[a : a + before], np.full(before, b)))
-    members = np.unique(owner[np.repeat(starts, sizes) + _counting(sizes)])
-    out.append((members, np.full(len(members), OWN_BLOCK)))
-    return out
+        meet(at, at + step)
+    for first, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+        later = np.arange(first, first + n)
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(block[first : first + n]) > 0)))  # blocks ascend, as owners do
+        for a in range(first, first + n, rows):
+            own = later[a - first : a - first + rows]
+            fits = fit(size[own][:, None], far[own][:, None], size[later], far[later]) & (own[:, None] < later)
+            stay[later[fits.any(0)]] = True
+            x, b = np.nonzero(np.logical_or.reduceat(fits, heads, axis=1))
+            out.append((owner[own[x]], block[later[heads[b]]]))
+    staying = np.unique(owner[stay])
+    return [*out, (staying, np.full(len(staying), OWN_BLOCK))]
 
 
 def _counting(sizes: np.ndarray) -> np.ndarray:
@@ -265,11 +308,12 @@ def _send(size: int, blocks: int):
                 if set_digest(shingles) != want:
                     continue  # another text with this id
                 own = int(block_of(_short([want]), blocks)[0])
+                stays = [own] if OWN_BLOCK in to or EVERY_BLOCK in to else []
                 to = range(own, blocks) if EVERY_BLOCK in to else [b for b in to if b >= 0]
-                block += [own, *to]
-                role += [0] + [1] * len(to)
-                cls += [want] * (1 + len(to))
-                sets += [shingles.tobytes()] * (1 + len(to))
+                block += [*stays, *to]
+                role += [0] * len(stays) + [1] * len(to)
+                cls += [want] * (len(stays) + len(to))
+                sets += [shingles.tobytes()] * (len(stays) + len(to))
             yield pa.record_batch([pa.array(block, pa.int32()), pa.array(role, pa.int32()), pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["block", "role", "cls", "shingles"])
 
     return run
@@ -352,7 +396,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
 
     entries = mine.mapInArrow(_enter(size, limit, boundary, values, seen, width, blocks), "bucket int, kind int, payload binary")
     routes = (
-        entries.repartitionById(width, F.col("bucket")).mapInArrow(_meet(blocks), "short long, block int")
+        entries.repartitionById(width, F.col("bucket")).mapInArrow(_meet(blocks, percent), "short long, block int")
         .groupBy("short").agg(F.collect_set("block").alias("blocks"))
     )
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
