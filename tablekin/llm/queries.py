@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import decontaminate, line_dedup, near_dup, quality_rules, sentencepiece_bpe
+from tablekin.llm import decontaminate, line_dedup, near_dup, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +121,26 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(via) AS componen
 )
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(documents(spark, sf_dir))
+
+
+@query(
+    "op5_substring_dedup",
+    """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS turn FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS pos FROM r WHERE turn > 1),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT u.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY u.pos) FILTER (g.pos IS NULL) AS kept
+      FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.pos = g.pos GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
