@@ -73,3 +73,31 @@ def cover(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + lengths, n), -1)
     return np.cumsum(steps[:n]) > 0
+
+
+#: Rows of one kind on their way to a bucket, packed into one value.
+PACKED = "bucket int, payload binary"
+
+
+def pack_rows(bucket: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Structured rows packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bounds = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+    return pa.record_batch(
+        [pa.array(used, pa.int32()), pa.array([rows[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary())], ["bucket", "payload"]
+    )
+
+
+def unpack_rows(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    """All rows of a task's buckets."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(raw, kind) for b in batches for raw in b.column("payload").to_pylist())])
+
+
+def group_starts(rows: np.ndarray, keys: tuple[str, ...]) -> np.ndarray:
+    """First row of each run of equal keys."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= rows[k][1:] != rows[k][:-1]
+    return np.flatnonzero(new)

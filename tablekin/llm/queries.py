@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import decontaminate, line_dedup, near_dup, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup
+from tablekin.llm import (
+    decontaminate,
+    html_extract,
+    license_scan,
+    line_dedup,
+    lm_score,
+    near_dup,
+    quality_rules,
+    sentencepiece_bpe,
+    substring_dedup,
+    suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +155,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source and the language are their directories."""
+    docs = documents(spark, sf_dir)
+    return license_scan.scan_licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round("mean_log_prob", 6).alias("mean_log_prob"))
+
+
+@query("op7_html_extract")
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
