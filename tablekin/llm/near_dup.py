@@ -3,13 +3,14 @@
 Documents become sets of word shingles; equal sets are one class. The overlap that two sets need follows from their
 sizes. Light sets (few shingles) list every subset of the size that a partner of each possible size has to share with
 them. Heavy sets, and light ones within reach of a heavy partner, are entered in inverted lists under the shingles of
-their prefix, rarest first. The boundary between light and heavy is where the cost of both, by the sizes that occur, is
+their prefix, rarest first as far as counted. The boundary between light and heavy is where the cost of both, by the sizes that occur, is
 least. Sets that meet under a subset or in a list are routed to blocks of classes, where the inverted lists of the block
 are scanned and the overlaps counted exactly. Linked classes form components.
 
 Every set is sent to the blocks in which it may have a larger partner (by digest), never paired with each of them, and a
-block returns spanning links only. Frequent shingles are found by a summary of bounded size and come last in every
-prefix; the few whose lists are longer than the number of blocks are not gathered: their sets go to all later blocks.
+block returns spanning links only. The most frequent shingles come last in every prefix (any order gives the same links;
+this one keeps lists short); those whose lists would be longer than the number of blocks are not gathered: their sets go
+to all later blocks.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component. Texts with fewer words than a shingle have one shingle. Rows with equal sets, repeated rows too, are in one
@@ -28,15 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import mix64, shuffle_width, text_bytes
+from tablekin.llm.common import PACKED, group_starts, mix64, pack_rows, shuffle_width, text_bytes, unpack_rows
 from tablekin.llm.components import connected_components
 from tablekin.llm.shingles import WordHash, shingle_set
 from tablekin.session import materialize
 
 #: Shingles that a task holds at a time, and that a block of classes has on average.
-CHUNK, BLOCK = 1 << 22, 1 << 19
-#: Shingles in at least LOCAL sets of a chunk enter the summary, of which the HOT_MOST most frequent order the prefixes.
-LOCAL, HOT_MOST = 8, 1 << 17
+CHUNK, BLOCK = 1 << 22, 1 << 20
+#: Shingles in the lowest COUNTED of the hash range are counted over all sets (prefixes hardly reach further); of those in
+#: at least OFTEN sets, the HOT_MOST most frequent come last in the prefixes' order. This bounds what is broadcast.
+COUNTED, OFTEN, HOT_MOST = 0.32, 3, 1 << 19
 #: Largest size that the cost model considers light.
 LIGHT_MOST = 24
 EVERY_BLOCK, OWN_BLOCK = -1, -2
@@ -115,28 +117,40 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
         yield rows, sets
 
 
-SUMMARY = "doc_id long, n long, cls binary, shingle long, seen long"
+SUMMARY = "doc_id long, n long, cls binary, bucket int, payload binary"
 
 
-def _summary(size: int):
+def _summary(size: int, buckets: int):
+    """A row for each document, and the low shingles of a chunk's sets packed by bucket (five bytes of each)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _chunks(batches, size):
             doc, n, cls = (list(x) for x in zip(*rows, strict=True))
-            value, seen = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = seen >= LOCAL
-            k = int(often.sum())
-            columns = [
-                pa.array(doc + [None] * k, pa.int64()),
-                pa.array(n + [None] * k, pa.int64()),
-                pa.array(cls + [None] * k, pa.binary()),
-                pa.array([None] * len(doc) + value[often].view(np.int64).tolist(), pa.int64()),
-                pa.array([None] * len(doc) + seen[often].tolist(), pa.int64()),
-            ]
-            yield pa.record_batch(columns, ["doc_id", "n", "cls", "shingle", "seen"])
+            top = np.uint64(int(COUNTED * 2**64))
+            low = np.concatenate([np.zeros(0, np.uint64), *(s[: np.searchsorted(s, top)] for s in sets.values())])
+            bucket = (low % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((low, bucket))
+            low, bounds = low[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+            used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+            payload = [low[bounds[b] : bounds[b + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for b in used]
+            rest, lead = [None] * len(used), [None] * len(doc)
+            columns = [doc + rest, n + rest, cls + rest, lead + used, lead + payload]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "cls", "bucket", "payload"])
 
     return run
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading five bytes of the shingles of a bucket that stand in at least OFTEN sets, and in how many."""
+    parts = [np.frombuffer(raw, np.uint8).reshape(-1, 5) for batch in batches for raw in batch.column("payload").to_pylist()]
+    if parts:
+        value = np.zeros((sum(map(len, parts)), 8), np.uint8)
+        value[:, :5] = np.concatenate(parts)
+        value, seen = np.unique(value.view(np.int64)[:, 0], return_counts=True)
+        yield pa.record_batch([pa.array(value[seen >= OFTEN]), pa.array(seen[seen >= OFTEN])], ["shingle", "seen"])
+
+
 def _signatures(shingles: np.ndarray, limit: Threshold, boundary: int, hot: np.ndarray, hot_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Subset and prefix signatures of a set, how far on in the prefix each stands (in 255ths of the set, rounded down),
     and the places in the hot list of the prefix's hot shingles, -1 elsewhere."""
@@ -150,8 +164,9 @@ def _signatures(shingles: np.ndarray, limit: Threshold, boundary: int, hot: np.n
             far.append(np.zeros(len(left_out), np.int64))
             places.append(np.full(len(left_out), -1))
     if n >= limit.smallest(boundary + 1):
-        at = np.minimum(np.searchsorted(hot, shingles), max(0, len(hot) - 1))
-        place = np.where(hot[at] == shingles, hot_place[at], -1) if len(hot) else np.full(n, -1)
+        lead = (shingles >> np.uint64(24)).astype(np.int64)
+        at = np.minimum(np.searchsorted(hot, lead), max(0, len(hot) - 1))
+        place = np.where(hot[at] == lead, hot_place[at], -1) if len(hot) else np.full(n, -1)
         first = np.lexsort((shingles, place))[: limit.prefix(n)]
         out.append(mix64(shingles[first]))
         far.append(np.arange(len(first)) * 255 // n)
@@ -234,8 +249,11 @@ class Fit:
         return fits | (capped & (near | (np.minimum(size_a, size_b) + self.apart >= LAST_CLASS)))
 
 
-def _meet(blocks: int, percent: int):
-    """Routes (class, block) of the classes that stand in one list."""
+ROUTE = np.dtype([("short", "<u8"), ("block", "<i4")])
+
+
+def _meet(blocks: int, percent: int, buckets: int):
+    """Routes (class, block) of the classes that stand in one list, on their way to their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, routes = [np.zeros(0, ENTRY)], []
@@ -247,12 +265,28 @@ def _meet(blocks: int, percent: int):
                 else:
                     entries.append(np.frombuffer(raw, ENTRY))
         routes += _routes(np.concatenate(entries), blocks, Fit(percent))
-        pairs = np.unique(np.stack([np.concatenate([r[0] for r in routes]).view(np.int64), np.concatenate([r[1] for r in routes])], 1), axis=0)
-        yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(pairs[:, 1].astype(np.int32))], ["short", "block"])
+        rows = np.zeros(sum(len(r[0]) for r in routes), ROUTE)
+        rows["short"] = np.concatenate([r[0] for r in routes])
+        rows["block"] = np.concatenate([r[1] for r in routes])
+        rows = _unique_routes(rows)
+        yield pack_rows((rows["short"] % np.uint64(buckets)).astype(np.int64), rows, buckets)
 
     return run
 
 
+def _unique_routes(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows["block"], rows["short"]))]
+    return rows[group_starts(rows, ("short", "block"))]
+
+
+def _class_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each class."""
+    rows = _unique_routes(unpack_rows(batches, ROUTE))
+    starts = group_starts(rows, ("short",))
+    blocks = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(np.ascontiguousarray(rows["block"])))
+    yield pa.record_batch([pa.array(rows["short"][starts].view(np.int64)), blocks], ["short", "blocks"])
+
+
 def _routes(entries: np.ndarray, blocks: int, fit: Fit, few: int = 16, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each member of a list goes to the blocks of the later members that fit it; these stay in their own block."""
     sig = np.zeros((len(entries), 8), np.uint8)
@@ -308,27 +342,47 @@ def _send(size: int, blocks: int):
                 if set_digest(shingles) != want:
                     continue  # another text with this id
                 own = int(block_of(_short([want]), blocks)[0])
-                stays = [own] if OWN_BLOCK in to or EVERY_BLOCK in to else []
-                to = range(own, blocks) if EVERY_BLOCK in to else [b for b in to if b >= 0]
-                block += [*stays, *to]
-                role += [0] * len(stays) + [1] * len(to)
-                cls += [want] * (len(stays) + len(to))
-                sets += [shingles.tobytes()] * (len(stays) + len(to))
+                stays, every = OWN_BLOCK in to, EVERY_BLOCK in to
+                asks = range(own, blocks) if every else [b for b in to if b >= 0]
+                roles = {b: ASKS for b in asks}
+                if stays or every:
+                    roles[own] = STAYS_AND_ASKS if own in roles else STAYS
+                block += roles.keys()
+                role += roles.values()
+                cls += [want] * len(roles)
+                sets += [_narrow(shingles)] * len(roles)
             yield pa.record_batch([pa.array(block, pa.int32()), pa.array(role, pa.int32()), pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["block", "role", "cls", "shingles"])
 
     return run
 
 
+STAYS, STAYS_AND_ASKS, ASKS = 0, 1, 2
+
+
+def _narrow(shingles: np.ndarray) -> bytes:
+    """Six bytes of each shingle, for the count of an overlap."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 class Block:
     """Inverted lists of the sets that stay in a block."""
 
     def __init__(self, limit: Threshold):
-        self.limit, self.sets, self.values = limit, {}, None
+        self.limit, self.sets, self.asks, self.values = limit, {}, {}, None
 
-    def add(self, cls: bytes, shingles: np.ndarray) -> None:
+    def add(self, cls: bytes, shingles: np.ndarray, asks: bool) -> None:
         self.sets[cls] = shingles
+        if asks:
+            self.asks[cls] = shingles
 
-    def close(self) -> None:
+    def close(self) -> list[tuple[bytes, bytes]]:
+        """Make the lists; links of the sets that stay and ask."""
         self.cls = list(self.sets)
         self.sizes = np.array([len(s) for s in self.sets.values()], np.int64)
         every = np.concatenate([*self.sets.values(), np.zeros(0, np.uint64)])
@@ -338,6 +392,7 @@ class Block:
         self.stop = np.append(self.start[1:], len(every))
         self.group = np.arange(len(self.cls))
         self.sets = {}
+        return [x for cls, shingles in self.asks.items() for x in self.links(cls, shingles)]
 
     def links(self, cls: bytes, shingles: np.ndarray) -> list[tuple[bytes, bytes]]:
         """Links of a set to one member of each group that it is linked with; the groups become one."""
@@ -356,7 +411,7 @@ class Block:
 
 
 def _scan(percent: int):
-    """Rows come by block, the sets that stay before those that were sent."""
+    """Rows come by block, the sets that stay before those that only ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit, now, block = Threshold(percent), None, Block(Threshold(percent))
@@ -364,14 +419,15 @@ def _scan(percent: int):
             found: list[tuple[bytes, bytes]] = []
             for b, role, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "role", "cls", "shingles")), strict=True):
                 if b != now:
+                    found += block.close() if block.values is None else []
                     now, block = b, Block(limit)
-                shingles = np.frombuffer(raw, np.uint64)
-                if role == 0:
-                    block.add(cls, shingles)
+                if role == ASKS:
+                    found += block.close() if block.values is None else []
+                    found += block.links(cls, _wide(raw))
                 else:
-                    if block.values is None:
-                        block.close()
-                    found += block.links(cls, shingles)
+                    block.add(cls, _wide(raw), role == STAYS_AND_ASKS)
+            yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
+        if block.values is None and (found := block.close()):
             yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
 
     return run
@@ -381,14 +437,11 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
     """(doc_id, n_shingles, component_id) of every row: documents are linked if their Jaccard similarity is at least ``percent`` %."""
     limit, width = Threshold(percent), shuffle_width(docs)
     mine = docs.select("doc_id", "text")
-    summary = materialize(mine.mapInArrow(_summary(size), SUMMARY), "shingles")
+    summary = materialize(mine.mapInArrow(_summary(size, width), SUMMARY), "shingles")
     members = summary.filter("n is not null").select("doc_id", "n", "cls")
-    hot = (
-        summary.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-        .orderBy(F.desc("seen"), "shingle").limit(HOT_MOST).collect()
-    )
-    values = np.array([r["shingle"] for r in reversed(hot)], np.int64).view(np.uint64)
-    seen = np.array([r["seen"] for r in reversed(hot)], np.int64)
+    counted = summary.filter("bucket is not null").select("bucket", "payload").repartitionById(width, F.col("bucket"))
+    hot = counted.mapInArrow(_frequent, "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST).toPandas()
+    values, seen = (hot[c].to_numpy(np.int64)[::-1].copy() for c in ("shingle", "seen"))
     total = members.agg(F.sum("n")).first()[0] or 0
     few = members.filter(F.col("n").between(1, LIGHT_MOST + LIGHT_MOST // 2)).groupBy("n").count().collect()
     boundary = limit.boundary({r["n"]: r["count"] for r in few})
@@ -396,8 +449,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
 
     entries = mine.mapInArrow(_enter(size, limit, boundary, values, seen, width, blocks), "bucket int, kind int, payload binary")
     routes = (
-        entries.repartitionById(width, F.col("bucket")).mapInArrow(_meet(blocks, percent), "short long, block int")
-        .groupBy("short").agg(F.collect_set("block").alias("blocks"))
+        entries.repartitionById(width, F.col("bucket")).mapInArrow(_meet(blocks, percent, width), PACKED)
+        .repartitionById(width, F.col("bucket")).mapInArrow(_class_routes, "short long, blocks array<int>")
     )
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     short = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
