@@ -23,15 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import mix64, shuffle_width
+from tablekin.llm.common import PACKED, group_starts, mix64, pack_rows, shuffle_width, unpack_rows
 from tablekin.llm.shingles import WordHash, window_hashes
 
 PLACE_BITS = 24
+#: A run of a document; known: 1 if its chunk has another with the minimiser, 2 on its way to its document.
 RUN = np.dtype([("sig", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("windows", "<u2"), ("known", "u1")])
 ITEM = np.dtype([("sig", "<u8"), ("start", "<u4"), ("windows", "<u2")])
 #: A string in a bucket: its document, its rank among documents, its first unit, whether it is known to occur again.
-HEAD = np.dtype([("rank", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("length", "<u4"), ("again", "u1")])
-SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
+HEAD = np.dtype([("sig", "<u8"), ("rank", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("length", "<u4"), ("again", "u1")])
+SPAN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<u4"), ("end", "<u4")])
+#: Strings of several minimisers are solved together up to so many bytes.
+TOGETHER = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257))
 
@@ -135,15 +138,6 @@ def _chunks(rows: Iterator[tuple], windows: Windows) -> Iterator[list[tuple[tupl
         yield held
 
 
-def _bucketed(bucket: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    rows, bounds = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-    used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-    return pa.record_batch(
-        [pa.array(used, pa.int32()), pa.array([rows[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary())], ["bucket", "payload"]
-    )
-
-
 def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
@@ -177,34 +171,43 @@ def _enter(windows: Windows, buckets: int):
             by_sig = rows[lead]
             bucket = np.concatenate([by_sig["sig"] % np.uint64(buckets), by_doc["k1"].view(np.uint64) % np.uint64(buckets)]).astype(np.int64)
             by_doc["known"] = 2
-            yield _bucketed(bucket, np.concatenate([by_sig, by_doc]), buckets)
+            yield pack_rows(bucket, np.concatenate([by_sig, by_doc]), buckets)
 
     return run
 
 
-def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose minimiser another run has too, by document."""
-    parts = [np.frombuffer(raw, RUN) for (raw,) in _columns(batches, "payload")]
-    if not parts:
-        return
-    rows = np.concatenate(parts)
-    told, rows = rows[rows["known"] == 2], rows[rows["known"] < 2]
-    rows = rows[np.lexsort((rows["start"], rows["k2"], rows["k1"], rows["sig"]))]
-    same = (rows["sig"][1:] == rows["sig"][:-1]) & (
-        (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1]) | (rows["start"][1:] != rows["start"][:-1])
-    )
-    group = np.cumsum(np.concatenate(([True], rows["sig"][1:] != rows["sig"][:-1]))) - 1 if len(rows) else np.zeros(0, np.int64)
-    several = np.zeros(int(group[-1]) + 1 if len(rows) else 0, bool)
-    several[group[1:][same]] = True
-    rows = np.concatenate([told, rows[several[group] & (rows["known"] == 0)]])
-    rows = rows[np.lexsort((rows["k2"], rows["k1"]))]
-    new = np.flatnonzero(np.concatenate(([True], (rows["k1"][1:] != rows["k1"][:-1]) | (rows["k2"][1:] != rows["k2"][:-1])))[: len(rows)])
-    items = np.zeros(len(rows), ITEM)
-    for name in ITEM.names:
-        items[name] = rows[name]
-    bounds = np.append(new, len(rows))
-    payload = [items[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-    yield pa.record_batch([pa.array(rows["k1"][new]), pa.array(rows["k2"][new]), pa.array(payload, pa.binary())], ["k1", "k2", "items"])
+def _company(buckets: int):
+    """Runs whose minimiser another run has too, on their way to their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = unpack_rows(batches, RUN)
+        told, rows = rows[rows["known"] == 2], rows[rows["known"] < 2]
+        rows = rows[np.lexsort((rows["start"], rows["k2"], rows["k1"], rows["sig"]))]
+        rows = rows[group_starts(rows, ("sig", "k1", "k2", "start"))]
+        starts = group_starts(rows, ("sig",))
+        alone = np.zeros(len(rows), bool)
+        alone[starts[np.diff(np.append(starts, len(rows))) == 1]] = True
+        rows = np.concatenate([told, rows[~alone & (rows["known"] == 0)]])
+        yield pack_rows((rows["k1"].view(np.uint64) % np.uint64(buckets)).astype(np.int64), rows, buckets)
+
+    return run
+
+
+def _gather(kind: np.dtype, values: np.dtype, name: str):
+    """Packed values of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = unpack_rows(batches, kind)
+        rows = rows[np.lexsort((rows["start"], rows["k2"], rows["k1"]))]
+        starts = group_starts(rows, ("k1", "k2"))
+        own = np.zeros(len(rows), values)
+        for field in values.names:
+            own[field] = rows[field]
+        bounds = np.append(starts, len(rows)).tolist()
+        payload = [own[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        yield pa.record_batch([pa.array(rows["k1"][starts]), pa.array(rows["k2"][starts]), pa.array(payload, pa.binary())], ["k1", "k2", name])
+
+    return run
 
 
 def _send(windows: Windows, buckets: int, all_go: bool):
@@ -227,11 +230,11 @@ def _send(windows: Windows, buckets: int, all_go: bool):
                     places = sorted(set(places))
                 several = len(places) > 1
                 sig = signature[string]
-                heads.setdefault(sig % buckets, []).append((*places[0][:4], len(string), several))
+                heads.setdefault(sig % buckets, []).append((sig, *places[0][:4], len(string), several))
                 strings.setdefault(sig % buckets, []).append(string)
                 for rank, k1, k2, start, n in places if several and all_go else places[1:]:
                     b = k1 % buckets
-                    heads.setdefault(b, []).append((rank, k1, k2, start, n, 2))
+                    heads.setdefault(b, []).append((0, rank, k1, k2, start, n, 2))
                     strings.setdefault(b, [])
             used = sorted(heads)
             payload = [squeeze(len(heads[b]).to_bytes(8, "little") + np.array(heads[b], HEAD).tobytes() + b"".join(strings[b])) for b in used]
@@ -239,18 +242,17 @@ def _send(windows: Windows, buckets: int, all_go: bool):
 
         for rank, k1, k2, packed, text in _columns(batches, "rank", "k1", "k2", "items", "text"):
             units = windows.units(text)
-            for items in packed:
-                for sig, start, count in np.frombuffer(items, ITEM).tolist():
-                    end = start + count + windows.size - 1
-                    string = windows.pack(units, start, end)
-                    places = held.get(string)
-                    if places is None:
-                        held[string] = [(rank, k1, k2, start, end)]
-                        signature[string] = sig
-                        size += len(string)
-                    else:
-                        places.append((rank, k1, k2, start, end))
-                    size += 100
+            for sig, start, count in np.frombuffer(packed, ITEM).tolist():
+                end = start + count + windows.size - 1
+                string = windows.pack(units, start, end)
+                places = held.get(string)
+                if places is None:
+                    held[string] = [(rank, k1, k2, start, end)]
+                    signature[string] = sig
+                    size += len(string)
+                else:
+                    places.append((rank, k1, k2, start, end))
+                size += 200
             if size >= 1 << 24:
                 yield out()
                 held, signature, size = {}, {}, 0
@@ -260,45 +262,68 @@ def _send(windows: Windows, buckets: int, all_go: bool):
     return run
 
 
-def _solve(solver: Solver):
+def _solve(solver: Solver, buckets: int, all_go: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze = zstandard.ZstdDecompressor().decompress
-        heads, strings, told = [], [], []
+        heads, strings, spans = [np.zeros(0, HEAD)], [], [np.zeros(0, SPAN)]
         for (raw,) in _columns(batches, "payload"):
             raw = unsqueeze(raw)
             n = int.from_bytes(raw[:8], "little")
             own = np.frombuffer(raw, HEAD, n, 8)
-            told.append(own[own["again"] == 2])
-            own = own[own["again"] < 2]
+            told, own = own[own["again"] == 2], own[own["again"] < 2]
+            spans.append(_as_spans(told, told["start"], told["length"]))
             end = 8 + n * HEAD.itemsize + np.cumsum(own["length"].astype(np.int64))
             strings += [raw[e - k : e] for e, k in zip(end.tolist(), own["length"].tolist(), strict=True)]
             heads.append(own)
-        if not heads:
-            return
-        told, heads = np.concatenate(told), np.concatenate(heads)
-        k1, k2, spans = told["k1"].tolist(), told["k2"].tolist(), [s.tobytes() for s in np.stack([told["start"], told["length"]], 1)]
-        if len(heads):
-            # a document's run comes once, however often its row is repeated
-            order = np.lexsort((~heads["again"].astype(bool), heads["start"], heads["k2"], heads["k1"]))
-            twin = np.zeros(len(heads), bool)
-            twin[order[1:]] = np.all([heads[c][order[1:]] == heads[c][order[:-1]] for c in ("k1", "k2", "start")], 0)
-            keep = np.flatnonzero(~twin)
-            heads, strings = heads[keep], [strings[k] for k in keep]
-            for k, found in solver(heads, strings):
-                k1.append(int(heads["k1"][k]))
-                k2.append(int(heads["k2"][k]))
-                spans.append(found.astype("<u4").tobytes())
-        yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(spans, pa.binary())], ["k1", "k2", "spans"])
+        head, found = np.concatenate(heads), []
+        # by minimiser; a document's run comes once, however often its row is repeated
+        order = np.lexsort((~head["again"].astype(bool), head["start"], head["k2"], head["k1"], head["rank"], head["sig"]))
+        order = order[group_starts(head[order], ("sig", "rank", "k1", "k2", "start"))]
+        head, strings = head[order], [strings[k] for k in order.tolist()]
+        starts = np.append(group_starts(head, ("sig",)), len(head)).tolist()
+        a = 0
+        for at, end in zip(starts, starts[1:], strict=False):
+            if end == len(head) or int(head["length"][a:end].sum()) >= TOGETHER:
+                found += _distinct(head[a:end], strings[a:end], solver, all_go)
+                a = end
+        for k, (start, end) in found:
+            spans.append(_as_spans(np.repeat(k, len(start)), start, end))
+        rows = np.concatenate(spans)
+        yield pack_rows((rows["k1"].view(np.uint64) % np.uint64(buckets)).astype(np.int64), rows, buckets)
 
     return run
 
 
-def merge_spans(packed: list[bytes] | None) -> np.ndarray:
+def _as_spans(heads: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(heads), SPAN)
+    out["k1"], out["k2"], out["start"], out["end"] = heads["k1"], heads["k2"], start, end
+    return out
+
+
+def _distinct(heads: np.ndarray, strings: list[bytes], solver: Solver, all_go: bool) -> Iterator[tuple[np.ndarray, tuple]]:
+    """Spans of all strings; equal ones are solved once, as the first of them."""
+    first: dict[bytes, int] = {}
+    heads = heads.copy()
+    # of equal strings the first by document and start stands for all; heads come in that order within a minimiser
+    lead = [first.setdefault(s, k) for k, s in enumerate(strings)]
+    units = [s.count(b" ") + 1 for s in strings] if not all_go else heads["length"].tolist()
+    for k, to in enumerate(lead):
+        if k != to:
+            if all_go and not heads["again"][to]:
+                heads["again"][to] = 1
+                yield heads[to : to + 1], (heads["start"][to : to + 1], heads["start"][to : to + 1] + np.uint32(units[to]))
+            if not heads["again"][k] or not all_go:
+                yield heads[k : k + 1], (heads["start"][k : k + 1], heads["start"][k : k + 1] + np.uint32(units[k]))
+    own = list(first.values())
+    for k, found in solver(heads[own], [strings[k] for k in own]):
+        yield heads[own[k] : own[k] + 1], (found[:, 0], found[:, 1])
+
+
+def merge_spans(packed: bytes | None) -> np.ndarray:
     """Maximal runs of units (start, end) that the spans cover."""
     if not packed:
         return np.zeros((0, 2), np.int64)
-    spans = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in packed]).astype(np.int64)
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    spans = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)  # by start
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
     return np.stack([spans[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], 1)
@@ -313,17 +338,17 @@ def repeated_spans(docs: DataFrame, windows: Windows, solver: Solver, all_go: bo
         F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text").alias("k1"),
         F.xxhash64(F.lit(2), "text", "doc_id", F.col("text").isNull()).alias("k2"),
     )
-    packed = "bucket int, payload binary"
+    bucket, part = F.col("bucket"), np.dtype([("start", "<u4"), ("end", "<u4")])
     company = (
-        keyed.select("k1", "k2", "text").mapInArrow(_enter(windows, width), packed).repartitionById(width, F.col("bucket"))
-        .mapInArrow(_company, "k1 long, k2 long, items binary")
-        .groupBy("k1", "k2").agg(F.collect_list("items").alias("items"))
+        keyed.select("k1", "k2", "text").mapInArrow(_enter(windows, width), PACKED).repartitionById(width, bucket)
+        .mapInArrow(_company(width), PACKED).repartitionById(width, bucket)
+        .mapInArrow(_gather(RUN, ITEM, "items"), "k1 long, k2 long, items binary")
     )
     rank = F.coalesce("doc_id", F.lit(-(2**63))).alias("rank")
     found = (
         keyed.join(company, ["k1", "k2"]).select(rank, "k1", "k2", "items", "text")
-        .mapInArrow(_send(windows, width, all_go), packed).repartitionById(width, F.col("bucket"))
-        .mapInArrow(_solve(solver), "k1 long, k2 long, spans binary")
-        .groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
+        .mapInArrow(_send(windows, width, all_go), PACKED).repartitionById(width, bucket)
+        .mapInArrow(_solve(solver, width, all_go), PACKED).repartitionById(width, bucket)
+        .mapInArrow(_gather(SPAN, part, "spans"), "k1 long, k2 long, spans binary")
     )
     return keyed.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans")

@@ -182,7 +182,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeated_bytes(docs: DataFrame, size: int = 400, gram: int = 64) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, size: int = 400, gram: int = 160) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, text, kept_sha256) without the repeated strings of ``size`` bytes."""
     spans = repeated_spans(docs, Windows(False, size, gram), mark_repeated(size), all_go=True)
     return spans.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, text string, kept_sha256 string")
