@@ -45,6 +45,14 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield (text.as_py() or "").encode()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, for work that needs several times the memory of its rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts; a null is the empty text."""
     return [t or "" for t in column.to_pylist()]

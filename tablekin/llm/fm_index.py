@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Most symbols of a shard: two ranks and a position fit one 64-bit sort key.
-MOST_SYMBOLS = 1 << 20
+MOST_SYMBOLS = 1 << 19
 END = 0
 
 

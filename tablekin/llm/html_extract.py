@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekin.llm.common import texts
+from tablekin.session import materialize
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
@@ -293,8 +294,8 @@ def train(sources: list[str], rounds: int = 60) -> Model:
 def fit(pages: DataFrame, sample: int = 300) -> Model:
     """The model from at most ``sample`` labelled pages; which ones depends on their html only."""
     named = pages.select("html").filter(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    rows = named.select("html", F.xxhash64("html").alias("h")).filter(F.length("html") < 200_000).orderBy("h", "html").limit(sample).collect()
-    return train([r["html"] for r in rows])
+    first = named.select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample)
+    return train(sorted(r["html"] for r in materialize(first, "labelled").collect()))
 
 
 def _extract(model: Model):

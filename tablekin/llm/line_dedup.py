@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import ASCII_SPACE, HOT_SHARE
+from tablekin.llm.common import ASCII_SPACE, HOT_SHARE, slices
 from tablekin.session import materialize
 
 PAIRS = "doc_id long, h1 long, h2 long"
@@ -46,7 +46,7 @@ def split_batch(texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
 
 def _pairs(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             offsets, _, keys = split_batch(batch.column("text"))
             ids, out_ids, out = batch.column("doc_id").to_pylist(), [], []
             for k, doc in enumerate(ids):
@@ -64,7 +64,7 @@ def _pairs(min_chars: int):
 
 def _clean(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             offsets, lines, keys = split_batch(batch.column("text"))
             drops, n_lines, n_dropped, kept = batch.column("drops").to_pylist(), [], [], []
             for k, drop in enumerate(drops):

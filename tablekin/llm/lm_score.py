@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tablekin.llm.common import PACKED, shuffle_width, text_bytes
 from tablekin.llm.shingles import WordHash
+from tablekin.session import materialize
 
 LENGTHS = 16
 SIDES = (-2, -1, 1, 2)
@@ -108,10 +109,10 @@ def vocabulary(docs: DataFrame, words: int, classes: int) -> Vocabulary:
     """Counts over all texts; at most ``words`` words reach the driver."""
     width = shuffle_width(docs)
     packed = docs.select("text").mapInArrow(_counts(width), PACKED).repartitionById(width, F.col("bucket"))
-    counted = packed.mapInArrow(_top(words), "word binary, length int, n long, types long").persist()
-    top = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(words).select("word", "n").collect()
+    counted = materialize(packed.mapInArrow(_top(words), "word binary, length int, n long, types long"), "words")
+    best = counted.filter("word is not null").select("word", "n").orderBy(F.desc("n"), "word").limit(words)
+    top = sorted(materialize(best, "vocabulary").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     lengths = counted.filter("word is null").groupBy("length").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
-    counted.unpersist()
     n = np.array([r["n"] for r in top], np.int64)
     tokens, types = np.zeros(LENGTHS + 1, np.int64), np.zeros(LENGTHS + 1, np.int64)
     for r in lengths:

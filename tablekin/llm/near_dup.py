@@ -26,6 +26,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,10 @@ from tablekin.llm.shingles import WordHash, shingle_set
 from tablekin.session import materialize
 
 #: Shingles that a task holds at a time, and that a block of classes has on average.
-CHUNK, BLOCK = 1 << 22, 1 << 20
+CHUNK, BLOCK = 1 << 21, 1 << 20
 #: Shingles in the lowest COUNTED of the hash range are counted over all sets (prefixes hardly reach further); of those in
 #: at least OFTEN sets, the HOT_MOST most frequent come last in the prefixes' order. This bounds what is broadcast.
-COUNTED, OFTEN, HOT_MOST = 0.32, 3, 1 << 19
+COUNTED, OFTEN, HOT_MOST = 0.3, 3, 1 << 19
 #: Largest size that the cost model considers light.
 LIGHT_MOST = 24
 EVERY_BLOCK, OWN_BLOCK = -1, -2
@@ -85,6 +86,19 @@ class Threshold:
         return min(range(most + 1), key=cost)
 
 
+def squeeze(values: np.ndarray, less: int) -> bytes:
+    """Sorted numbers without their ``less`` lowest bytes; like bytes stand together, as the high ones hardly change."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, less:].T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unsqueeze(raw: bytes, less: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8 - less, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, less:] = planes.T
+    return out.view(np.uint64)[:, 0]
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
@@ -121,7 +135,7 @@ SUMMARY = "doc_id long, n long, cls binary, bucket int, payload binary"
 
 
 def _summary(size: int, buckets: int):
-    """A row for each document, and the low shingles of a chunk's sets packed by bucket (five bytes of each)."""
+    """A row for each document, and the low shingles of a chunk's sets packed by bucket (the leading five bytes of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _chunks(batches, size):
@@ -132,7 +146,7 @@ def _summary(size: int, buckets: int):
             by = np.lexsort((low, bucket))
             low, bounds = low[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
             used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-            payload = [low[bounds[b] : bounds[b + 1]].view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for b in used]
+            payload = [squeeze(low[bounds[b] : bounds[b + 1]], 3) for b in used]
             rest, lead = [None] * len(used), [None] * len(doc)
             columns = [doc + rest, n + rest, cls + rest, lead + used, lead + payload]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -143,11 +157,9 @@ def _summary(size: int, buckets: int):
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leading five bytes of the shingles of a bucket that stand in at least OFTEN sets, and in how many."""
-    parts = [np.frombuffer(raw, np.uint8).reshape(-1, 5) for batch in batches for raw in batch.column("payload").to_pylist()]
+    parts = [unsqueeze(raw, 3) >> np.uint64(24) for batch in batches for raw in batch.column("payload").to_pylist()]
     if parts:
-        value = np.zeros((sum(map(len, parts)), 8), np.uint8)
-        value[:, :5] = np.concatenate(parts)
-        value, seen = np.unique(value.view(np.int64)[:, 0], return_counts=True)
+        value, seen = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
         yield pa.record_batch([pa.array(value[seen >= OFTEN]), pa.array(seen[seen >= OFTEN])], ["shingle", "seen"])
 
 
@@ -350,7 +362,7 @@ def _send(size: int, blocks: int):
                 block += roles.keys()
                 role += roles.values()
                 cls += [want] * len(roles)
-                sets += [_narrow(shingles)] * len(roles)
+                sets += [squeeze(shingles, 2)] * len(roles)
             yield pa.record_batch([pa.array(block, pa.int32()), pa.array(role, pa.int32()), pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["block", "role", "cls", "shingles"])
 
     return run
@@ -359,17 +371,6 @@ def _send(size: int, blocks: int):
 STAYS, STAYS_AND_ASKS, ASKS = 0, 1, 2
 
 
-def _narrow(shingles: np.ndarray) -> bytes:
-    """Six bytes of each shingle, for the count of an overlap."""
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64)[:, 0]
-
-
 class Block:
     """Inverted lists of the sets that stay in a block."""
 
@@ -423,9 +424,9 @@ def _scan(percent: int):
                     now, block = b, Block(limit)
                 if role == ASKS:
                     found += block.close() if block.values is None else []
-                    found += block.links(cls, _wide(raw))
+                    found += block.links(cls, unsqueeze(raw, 2))
                 else:
-                    block.add(cls, _wide(raw), role == STAYS_AND_ASKS)
+                    block.add(cls, unsqueeze(raw, 2), role == STAYS_AND_ASKS)
             yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
         if block.values is None and (found := block.close()):
             yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
@@ -440,7 +441,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
     summary = materialize(mine.mapInArrow(_summary(size, width), SUMMARY), "shingles")
     members = summary.filter("n is not null").select("doc_id", "n", "cls")
     counted = summary.filter("bucket is not null").select("bucket", "payload").repartitionById(width, F.col("bucket"))
-    hot = counted.mapInArrow(_frequent, "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST).toPandas()
+    top = counted.mapInArrow(_frequent, "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
+    hot = materialize(top, "hot").orderBy(F.desc("seen"), "shingle").toPandas()  # written: a collect would take HOT_MOST rows of each task
     values, seen = (hot[c].to_numpy(np.int64)[::-1].copy() for c in ("shingle", "seen"))
     total = members.agg(F.sum("n")).first()[0] or 0
     few = members.filter(F.col("n").between(1, LIGHT_MOST + LIGHT_MOST // 2)).groupBy("n").count().collect()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import ASCII_SPACE, cover, texts
+from tablekin.llm.common import ASCII_SPACE, cover, slices, texts
 from tablekin.session import materialize
 
 # fixed values: characters that count as symbols
@@ -160,7 +160,7 @@ def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         counts = _rows(batch)
         columns = {"doc_id": batch.column("doc_id")} | {n: pa.array(v) for n, v in counts.items()}
         yield pa.record_batch(columns | {"base_failed": pa.array(base_failed(counts)), "code": pa.array(vote_codes(counts))})
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     good = [c for c, p in quality_model(rate_documents(docs)).items() if p >= 0.5]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = _rows(batch)
             yield batch.filter(pa.array(~base_failed(counts) & np.isin(vote_codes(counts), good)))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tablekin.llm.common import texts
+from tablekin.llm.common import slices, texts
 
 MARK = "▁"
 NONE = 2**31 - 1
@@ -36,7 +36,7 @@ SHORT, WIDTHS = 40, (6, 9, 12, 16, 24, 40)
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file; ``cache`` units are remembered."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         kinds = {i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "piece" for i in range(size)}
@@ -207,6 +207,10 @@ class Vocabulary:
             if decoded != u.replace(MARK, " "):
                 self.odd[u] = decoded
 
+    def forget(self) -> None:
+        """Drop the units that were met: the task's memory belongs to the next one."""
+        self.known, self.older, self.odd = {}, {}, {}
+
     def _compare(self, units: list[str], encoded: dict[str, list[int]]) -> None:
         """The library's ids of the units must be the same."""
         for u, ids in zip(units, self.library.encode([u[1:] for u in units], num_threads=1), strict=True):
@@ -222,7 +226,7 @@ def vocabulary(path: str) -> Vocabulary:
 def _encode(path: str, with_ids: bool, per_check: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             size, ids_sha, decoded_sha, all_ids = [], [], [], []
             docs, at, of = texts(batch.column("text")), 0, batch.column("doc_id")
             while at < len(docs):
@@ -246,6 +250,7 @@ def _encode(path: str, with_ids: bool, per_check: int):
             if with_ids:
                 columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.record_batch(columns, names)
+        v.forget()
 
     return run
 

@@ -13,7 +13,7 @@ _MULTIPLIERS = mix64(np.arange(1, 65)) | np.uint64(1)
 class WordHash(dict):
     """64-bit hash of a word, remembered for words met before; forgets all beyond ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
