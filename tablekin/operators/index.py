@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import cache
 from dataclasses import dataclass
 from math import ceil, log
 
@@ -139,6 +140,7 @@ def sorted_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+@cache
 def multiplier(seed: int, n: int = 0) -> int:
     """The ``seed``-th prime above one million that does not divide ``n``."""
     found, candidate = -1, 1_000_000
@@ -203,8 +205,12 @@ def shuffle_columns(table: Indexed, columns: Sequence[str], seed: int = 1) -> In
     return Indexed(moved.select(*map(q, order)), table.n)
 
 
+SWEEP_SEEDS = 100  # seeds below are for holdouts, replicates and single shuffles
+
+
 def sweep_seed(run: int, rep: int) -> int:
-    return 10 + 7 * run + rep
+    """A seed of its own for each cell of a sweep: the cells are numbered along diagonals."""
+    return SWEEP_SEEDS + (run + rep) * (run + rep + 1) // 2 + rep
 
 
 def column_shuffle_sweep(table: Indexed, columns: Sequence[str], max_columns: int, reps: int) -> DataFrame:

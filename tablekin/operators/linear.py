@@ -20,8 +20,12 @@ WIDE_AGGREGATE_COLUMNS = 12  # beyond it the product sums exceed one code-genera
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> list[float]:
-    row = df.agg(*[F.avg(q(c)) for c in columns]).first()
-    return [float(v or 0.0) for v in row]
+    """Means of the columns; a null cell is an error, as sums that skip it would give a wrong model."""
+    row = df.agg(*[F.avg(q(c)) for c in columns], *[F.count_if(q(c).isNull()) for c in columns]).first()
+    missing = [c for c, n in zip(columns, row[len(columns) :]) if n]
+    if missing:
+        raise ValueError(f"null cells in {missing}: impute or filter them first")
+    return [float(v or 0.0) for v in row[: len(columns)]]
 
 
 def centred(column: str, mean: float) -> str:

@@ -92,7 +92,10 @@ class NearestNeighbours:
             .drop("_r")
         )
         points = materialize(points, "points")
-        self.n = points.count()
+        gap = F.exists("_v", lambda x: x.isNull()) | F.col("y").isNull()
+        self.n, missing = points.agg(F.count(F.lit(1)), F.count_if(gap)).first()
+        if missing:
+            raise ValueError(f"{missing} rows with null cells in {target} or its features: impute or filter them first")
         cells = min(MAX_CELLS, max(1, ceil(self.n / CELL_POINTS)))
         share = min(1.0, max(1_000, cells * SAMPLES_PER_CELL) / max(self.n, 1))
         picked = F.pmod(F.xxhash64("idx"), F.lit(1_000_000)) < int(share * 1_000_000)

@@ -18,7 +18,7 @@ from .registry import query
 
 # ---------------------------------------------------------------- sources and sinks
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 ORDERS_SQL = f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"
 
 

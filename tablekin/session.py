@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """Session for tests and benches; a cluster brings its own."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g", scratch: str | None = None) -> SparkSession:
+    """Session for tests and benches; a cluster brings its own. ``scratch`` becomes ``spark.checkpoint.dir``."""
+    builder = SparkSession.builder if scratch is None else SparkSession.builder.config("spark.checkpoint.dir", scratch)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("tablekin")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -14,14 +14,14 @@ def text_schema(columns: Sequence[str], kind: T.DataType | None = None) -> T.Str
 
 
 def read_headerless(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Delimited file without a header; names and types come from the schema."""
-    return spark.read.schema(schema).option("header", False).option("sep", sep).csv(path)
+    """Delimited file without a header; names and types come from the schema, a cell that does not fit fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("header", False).option("sep", sep).csv(path)
 
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """CSV with a header and an unnamed leading row index, which is dropped."""
     full = T.StructType([T.StructField("_c0", T.StringType()), *schema.fields])
-    read = spark.read.schema(full).option("header", True).option("enforceSchema", True).option("sep", sep)
+    read = spark.read.schema(full).option("mode", "FAILFAST").option("header", True).option("enforceSchema", True).option("sep", sep)
     return read.csv(path).drop("_c0")
 
 
