@@ -19,7 +19,12 @@ from .registry import query
 # ---------------------------------------------------------------- sources and sinks
 
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-ORDERS_SQL = f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"
+ORDERS_SQL = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders"
+
+
+def _with_date_text(df):
+    """The date as text, which both engines print alike."""
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _orders(spark, sf):
@@ -30,14 +35,14 @@ def _orders(spark, sf):
 def read_headerless(spark, sf):
     df, path = _orders(spark, sf), scratch_path(spark, "csv")
     src.write_csv(df, path, header=False)
-    return src.read_headerless(spark, path, df.schema)
+    return _with_date_text(src.read_headerless(spark, path, df.schema))
 
 
 @query("read_indexed_csv", ORDERS_SQL)
 def read_indexed_csv(spark, sf):
     df, path = _orders(spark, sf), scratch_path(spark, "csv")
     src.write_csv(df.withColumn("row_no", F.monotonically_increasing_id()), path, index="row_no")
-    return src.read_indexed_csv(spark, path, df.schema)
+    return _with_date_text(src.read_indexed_csv(spark, path, df.schema))
 
 
 @query("read_typed", "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part")
