@@ -146,10 +146,10 @@ def permutation_drop(models: Sequence[NaiveBayes], pairs: DataFrame) -> DataFram
                     x, p = own[start : start + m.chunk], partner[start : start + m.chunk]
                     y = x[:, at[m.target]]
                     parts = [m.terms(i, x[:, at[f]]) for i, f in enumerate(m.features)]
-                    total = m.start() + sum(parts)
-                    hit[-1] += (m.best(total) == y).sum()
+                    hit[-1] += (m.best(m.start() + sum(parts)) == y).sum()
                     for i, f in enumerate(m.features):
-                        hit[i] += (m.best(total - parts[i] + m.terms(i, p[:, at[f]])) == y).sum()
+                        moved = [*parts[:i], m.terms(i, p[:, at[f]]), *parts[i + 1 :]]
+                        hit[i] += (m.best(m.start() + sum(moved)) == y).sum()
         rows = [(m.target, f, int(h[-1] - h[i]), n) for m, h in zip(models, hits) for i, f in enumerate(m.features)]
         yield pd.DataFrame(rows, columns=["target", "feature", "lost", "n"])
 

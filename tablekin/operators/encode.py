@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from .clean import q
 from .index import sorted_index
 
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Dictionary:
@@ -43,8 +41,6 @@ def apply_dictionary(df: DataFrame, dictionary: Dictionary, columns: Sequence[st
         codes = dictionary.rows.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").cast("double").alias("_code")
         )
-        if dictionary.sizes.get(c, 0) <= BROADCAST_ROWS:
-            codes = F.broadcast(codes)
         joined = df.join(codes, q(c).cast("string") == F.col("_value"), "left")
         if on_unseen == "error":
             problem = F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), q(c).cast("string")))

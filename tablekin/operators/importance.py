@@ -92,14 +92,17 @@ def importance_by_moments(
     first_seed: int = 0,
     by: Sequence[str] = (),
     rep_name: str = "rep",
+    shift: Sequence[float] | None = None,
+    total: DataFrame | None = None,
 ) -> DataFrame:
     """All targets, groups and repetitions from one pass over the table and one over the rows held out.
 
-    The sums of a training part are the sums of the table minus those of the few rows held out.
+    The sums of a training part are the sums of the table minus those of the few rows held out. ``total`` holds the
+    sums of the table around ``shift`` if they are known already.
     """
     columns = list(roles.columns)
-    shift = column_means(df, columns)
-    total = product_sums(df, columns, by, shift)
+    shift = list(shift) if shift is not None else column_means(df, columns)
+    total = product_sums(df, columns, by, shift) if total is None else total
     rows = Indexed(df.select("idx", *by, *map(q, columns)), n)
     held = replicates(rows, reps, HELD_OUT, first_seed, rep_name).where("is_test")
     sums = subtract_sums(total, product_sums(held, columns, [*by, rep_name], shift), by)

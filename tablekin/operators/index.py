@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from functools import cache
 from dataclasses import dataclass
+from functools import cache
+from itertools import count, islice
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,16 +142,21 @@ def sorted_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 @cache
-def multiplier(seed: int, n: int = 0) -> int:
-    """The ``seed``-th prime above one million that does not divide ``n``."""
-    found, candidate = -1, 1_000_000
-    while found < seed:
+def _prime(place: int) -> int:
+    """The primes above one million, counted from 0."""
+    candidate = _prime(place - 1) + 1 if place else 1_000_001
+    while not all(candidate % d for d in range(2, int(candidate**0.5) + 1)):
         candidate += 1
-        if all(candidate % d for d in range(2, int(candidate**0.5) + 1)) and (n == 0 or n % candidate):
-            found += 1
     return candidate
 
 
+@cache
+def multiplier(seed: int, n: int = 0) -> int:
+    """The ``seed``-th prime above one million that does not divide ``n``."""
+    fitting = (p for p in map(_prime, count()) if n == 0 or n % p)
+    return next(islice(fitting, seed, None))
+
+
 def offset(seed: int) -> int:
     return (seed + 1) * 7919
 

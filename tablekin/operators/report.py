@@ -72,12 +72,10 @@ def relabel(df: DataFrame, column: str, labels: Mapping[str, str]) -> DataFrame:
 
 def category_code(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """0-based code of the sorted distinct values, -1 for a missing one. The values of a report axis are few and numbered apart."""
-    from .encode import BROADCAST_ROWS
     from .index import sorted_index
 
     levels = sorted_index(df.select(q(column)).where(q(column).isNotNull()).distinct(), [column]).withColumnRenamed("idx", out)
-    small = levels.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(levels) if small else levels, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
+    return df.join(levels, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
 
 
 def series_offset(df: DataFrame, series: str, code: str = "code", step: float = 0.03) -> DataFrame:

@@ -58,6 +58,12 @@ def coded(df: DataFrame, key, roles: Roles) -> Indexed:
     return Indexed(materialize(out, "coded"), base.n)
 
 
+def coded_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The coded items without row numbers, for models that neither split nor shuffle."""
+    rows = items(spark, sf).select(*ITEMS.columns)
+    return apply_dictionary(rows, fit_dictionary(rows, ITEMS.categorical), ITEMS.categorical)
+
+
 def coded_items(spark: SparkSession, sf: str) -> Indexed:
     return coded(items(spark, sf), ["row_key"], ITEMS)
 
@@ -285,12 +291,12 @@ DOC_SELECT = """
 SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
        CAST(length(d.text) - length(replace(d.text, ' ', '')) AS DOUBLE) AS n_words,
        CAST(length(d.text) - length(replace(d.text, chr(10), '')) AS DOUBLE) AS n_lines,
-       d.lang, CAST(l.quality AS {s}) AS quality, CAST(l.toxic AS {s}) AS toxic
-FROM {d} d JOIN {l} l ON d.doc_id = l.doc_id"""
+       coalesce(d.lang, 'none') AS lang, coalesce(CAST(l.quality AS {s}), 'none') AS quality, coalesce(CAST(l.toxic AS {s}), 'none') AS toxic
+FROM {d} d LEFT JOIN {l} l ON d.doc_id = l.doc_id"""
 
 
 def coded_docs(spark: SparkSession, sf: str) -> Indexed:
-    """Labelled documents as numbers: lengths of the whole text, language and both labels."""
+    """All documents as numbers: lengths of the whole text, language and both labels; a missing label is a level of its own."""
     sql = DOC_SELECT.format(s="STRING", d="{d}", l="{l}")
     docs = spark.sql(sql, d=table(spark, sf, "documents"), l=table(spark, sf, "labels"))
     return coded(docs, ["doc_id"], DOCS)
@@ -299,15 +305,34 @@ def coded_docs(spark: SparkSession, sf: str) -> Indexed:
 PARTS = Roles(("size", "price", "brand", "kind"), ("size", "price"))
 
 
-def coded_parts(spark: SparkSession, sf: str) -> Indexed:
-    parts = table(spark, sf, "part").select(
+#: Six numbers of a part, none a function of the others.
+SHAPES = Roles(*[("size", "price", "brand", "first_word", "second_word", "kind")] * 2)
+SHAPE_SELECT = """
+SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, CAST(substr(p_brand, 7) AS DOUBLE) AS brand,
+       CAST(length(split_part(p_name, ' ', 1)) AS DOUBLE) AS first_word,
+       CAST(length(split_part(p_name, ' ', 2)) AS DOUBLE) AS second_word, CAST(length(p_type) AS DOUBLE) AS kind
+FROM {t}"""
+SHAPES_SQL = f"""indexed AS (SELECT row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':0'), p_partkey) - 1 AS idx,
+   CAST(count(*) OVER () AS BIGINT) AS n, * EXCLUDE (p_partkey) FROM ({SHAPE_SELECT.format(t='part')}))"""
+
+
+def part_shapes(spark: SparkSession, sf: str) -> Indexed:
+    shapes = row_index(spark.sql(SHAPE_SELECT.format(t="{t}"), t=table(spark, sf, "part")), ["p_partkey"])
+    return Indexed(shapes.df.drop("p_partkey"), shapes.n)
+
+
+def part_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(
         "p_partkey",
         F.col("p_size").cast("double").alias("size"),
         F.col("p_retailprice").alias("price"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("kind"),
     )
-    return coded(parts, ["p_partkey"], PARTS)
+
+
+def coded_parts(spark: SparkSession, sf: str) -> Indexed:
+    return coded(part_rows(spark, sf), ["p_partkey"], PARTS)
 
 
 PARTS_SQL = """parts AS (SELECT row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':0'), p_partkey) - 1 AS idx,

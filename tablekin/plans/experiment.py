@@ -106,25 +106,23 @@ def shuffle_trial(
 
 
 def _linear_trial(table: Indexed, roles: Roles, solver: str, cross_solver: str, max_columns: int, reps: int, inner: int):
+    """The shuffled copies pass by twice, for the sums of their split parts and of the rows held out; only sums are written."""
     columns, keys = list(roles.columns), ["run", "rep"]
     shift = column_means(table.df, columns)
     sweep = column_shuffle_sweep(Indexed(table.df.select("idx", *map(q, columns)), table.n), columns, max_columns, reps)
-    sweep = materialize(sweep, "sweep")
-    a = importance_mean(
-        importance_by_moments(table.df, table.n, roles, columns, solver, inner, rep_name="inner"), ()
-    )
-    b = importance_mean(
-        importance_by_moments(sweep, table.n, roles, columns, solver, inner, by=keys, rep_name="inner"), keys
-    )
-    tags = b.select(*keys).distinct()
-    a_tagged = a.join(b.select(*keys, "target", "feature"), ["target", "feature"])
-    scores = compare_importances(a_tagged, b, keys)
-
     held = test_size(table.n, HELD_OUT)
     is_test = (permuted(F.col("idx"), 42, table.n) < held).alias("is_test")
     by_split = lambda d, k: product_sums(d.select(*k, is_test, *map(q, columns)), columns, [*k, "is_test"], shift)
     of_a = materialize(by_split(table.df, []), "sums")
     of_b = materialize(by_split(sweep, keys), "sums")
+    means = lambda d, of, k: importance_mean(
+        importance_by_moments(d, table.n, roles, columns, solver, inner, 0, k, "inner", shift, _add_sums(of, k)), k
+    )
+    a, b = means(table.df, of_a, []), materialize(means(sweep, of_b, keys), "importance")
+    tags = b.select(*keys).distinct()
+    a_tagged = a.join(b.select(*keys, "target", "feature"), ["target", "feature"])
+    scores = compare_importances(a_tagged, b, keys)
+
     forth = linear_utility(_attach(tags, of_a), _add_sums(of_b, keys), roles, columns, shift, keys, cross_solver)
     back = linear_utility(of_b, _attach(tags, _add_sums(of_a, [])), roles, columns, shift, keys, cross_solver)
     name = lambda d, x, y: d.select(F.lit(x).alias("train_side"), F.lit(y).alias("test_side"), "*")

@@ -11,8 +11,8 @@ from ..roles import Roles, split_roles
 from ..session import scratch_path
 from ..sources import tables as src
 from .bindings import (
-    CATEGORICAL, CODED_SQL, CONTINUOUS, INDEXED_SQL, ITEMS, ITEMS_SQL, PAIR_SQL, SHUFFLED,
-    coded_items, indexed_items, items, number_items, permuted_sql, rnd, rounded, shuffled, shuffled_sql, table,
+    CATEGORICAL, CODED_SQL, CONTINUOUS, INDEXED_SQL, ITEMS, ITEMS_SQL, PAIR_SQL, SHAPES, SHAPES_SQL, SHUFFLED,
+    coded_items, indexed_items, items, part_shapes, permuted_sql, rnd, rounded, shuffled, shuffled_sql, table,
 )
 from .registry import query
 
@@ -283,12 +283,12 @@ def holdout_split(spark, sf):
     "replicates",
     f"WITH {INDEXED_SQL} "
     + " UNION ALL ".join(
-        f"SELECT {r} AS rep, idx, {permuted_sql('idx', r)} < ceil(n * 0.05) AS is_test FROM indexed" for r in range(3)
+        f"SELECT {r} AS rep, idx, {permuted_sql('idx', r)} < ceil(n * 0.05) AS is_test FROM indexed" for r in range(5)
     ),
 )
 def replicates(spark, sf):
     base = indexed_items(spark, sf)
-    return index.replicates(index.Indexed(base.df.select("idx"), base.n), 3).select("rep", "idx", "is_test")
+    return index.replicates(index.Indexed(base.df.select("idx"), base.n), 5).select("rep", "idx", "is_test")
 
 
 def _sample_rows():
@@ -359,12 +359,10 @@ def _sweep_sql(runs: int, reps: int, source: str, columns) -> str:
 
 @query(
     "column_shuffle_sweep",
-    f"WITH {INDEXED_SQL}, sweep AS ({_sweep_sql(2, 2, 'indexed', CONTINUOUS)}) SELECT run, rep, idx, {', '.join(CONTINUOUS)} FROM sweep",
+    f"WITH {SHAPES_SQL}, sweep AS ({_sweep_sql(6, 20, 'indexed', SHAPES.columns)}) SELECT run, rep, idx, {', '.join(SHAPES.columns)} FROM sweep",
 )
 def column_shuffle_sweep(spark, sf):
-    return index.column_shuffle_sweep(
-        index.Indexed((base := number_items(spark, sf)).df.drop("row_key"), base.n), CONTINUOUS, 2, 2
-    )
+    return index.column_shuffle_sweep(part_shapes(spark, sf), SHAPES.columns, len(SHAPES.columns), 20)
 
 
 # ---------------------------------------------------------------- profiles

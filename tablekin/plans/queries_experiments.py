@@ -8,41 +8,44 @@ from ..operators import index, report, synth
 from ..operators.index import Indexed
 from ..session import materialize
 from .bindings import (
-    CATEGORICAL, CONTINUOUS, DOCS, INDEXED_SQL, ITEMS, NUMBERS, PAIR_SQL, PARTS, SHUFFLED,
-    coded_docs, coded_pair, coded_parts, correlation_scores, indexed_items, inverse_sql, linear_importance_sql, measures_sql,
-    number_items, permuted_sql, rnd, rounded, shuffled,
+    DOCS, ITEMS, PAIR_SQL, PARTS, PARTS_SQL, SHAPES, SHAPES_SQL,
+    coded_docs, coded_pair, coded_parts, correlation_scores, inverse_sql, linear_importance_sql, measures_sql, part_rows,
+    part_shapes, permuted_sql, rnd, rounded, shuffled, shuffled_sql,
 )
 from .experiment import (
     compare_datasets, generator_sweep, last_repetition, method_sweep, multi_dataset_ratio, repetition_sweep, shuffle_trial,
     summary, trial_mean,
 )
 from .queries_data import _sweep_sql
-from .queries_models import BOTH_SQL, FAST, linear_reps_sql, nb_importance_sql
+from .queries_models import FAST, both_sql, linear_reps_sql, nb_importance_sql, utility_ctes
 from .registry import query
 
 # ---------------------------------------------------------------- two tables
 
-COMPARE_REPS, COMPARE_REPEATS = 2, 1
+COMPARE_REPS, COMPARE_REPEATS = 10, 15
+MOVED = ("price", "brand")
+_FORTH, _ = utility_ctes("forth", "parts", "mixed", PARTS.columns, PARTS.categorical)
+_BACK, _ = utility_ctes("back", "mixed", "parts", PARTS.columns, PARTS.categorical)
 
 
 def _importance_sql(name: str, source: str) -> tuple[list[str], str]:
     """CTEs and select of the importance rows of a mixed table: naive Bayes and least squares."""
-    ctes, select = linear_reps_sql(f"{name}_l", source, ITEMS.columns, CONTINUOUS, COMPARE_REPS)
+    ctes, select = linear_reps_sql(f"{name}_l", source, PARTS.columns, PARTS.continuous, COMPARE_REPS)
     selects = [f"SELECT target, feature, pos, rep, score FROM ({select})"]
     for r in range(COMPARE_REPS):
-        for t in CATEGORICAL:
-            c, s = nb_importance_sql(f"{name}_{t}_{r}", source, t, ITEMS.columns, r, COMPARE_REPEATS)
+        for t in PARTS.categorical:
+            c, s = nb_importance_sql(f"{name}_{t}_{r}", source, t, PARTS.columns, r, COMPARE_REPEATS)
             ctes += c
             selects.append(s)
     return ctes, " UNION ALL ".join(selects)
 
 
 def _compare_sql() -> str:
-    a_ctes, a = _importance_sql("ia", "coded")
+    a_ctes, a = _importance_sql("ia", "parts")
     b_ctes, b = _importance_sql("ib", "mixed")
     mean = lambda s: f"SELECT target, feature, pos, avg(score) AS score FROM ({s}) GROUP BY target, feature, pos"
     return (
-        f"WITH RECURSIVE {BOTH_SQL},\n" + ",\n".join(a_ctes + b_ctes)
+        f"WITH RECURSIVE {PARTS_SQL},\n{shuffled_sql('parts', 'mixed', PARTS.columns, MOVED)},\n{both_sql(_FORTH, _BACK)},\n" + ",\n".join(a_ctes + b_ctes)
         + f",\nmean_a AS ({mean(a)}),\nmean_b AS ({mean(b)}),\n"
         + "pairs AS (SELECT a.target, a.feature, a.pos, round(a.score, 12) AS score_a, round(b.score, 12) AS score_b FROM mean_a a JOIN mean_b b USING (target, feature)),\n"
         + measures_sql(())
@@ -54,13 +57,13 @@ def _compare_sql() -> str:
 
 @query("compare_datasets", _compare_sql())
 def compare_datasets_query(spark, sf):
-    """Items against a copy with three columns shuffled together: all ten measures and the cross value per target."""
+    """Parts against a copy with two columns shuffled together: all ten measures and the cross value per target."""
     from ..operators.utility import cross_aggregate
 
-    base = indexed_items(spark, sf)
-    base = Indexed(base.df.select("idx", *ITEMS.columns), base.n)
+    parts = index.row_index(part_rows(spark, sf), ["p_partkey"])
+    parts = Indexed(parts.df.select("idx", *PARTS.columns), parts.n)
     scores, cross = compare_datasets(
-        base, shuffled(base, SHUFFLED), ITEMS, FAST, reps=COMPARE_REPS, repeats=COMPARE_REPEATS, cross_models=FAST
+        parts, shuffled(parts, MOVED), PARTS, FAST, reps=COMPARE_REPS, repeats=COMPARE_REPEATS, cross_models=FAST
     )
     cc = cross_aggregate(cross).select("target", F.lit("cross").alias("metric"), F.col("cc_reference").alias("value"))
     return scores.unionByName(cc).withColumn("value", rnd("value", 5))
@@ -70,14 +73,14 @@ def compare_datasets_query(spark, sf):
 def compare_datasets_tree(spark, sf):
     """The published pairing: trees rank the features, a tree and least squares measure utility."""
     docs = coded_docs(spark, sf)
-    scores, cross = compare_datasets(docs, shuffled(docs, ["n_chars", "toxic"]), DOCS, ("tree", "tree"), reps=2)
+    scores, cross = compare_datasets(docs, shuffled(docs, ["n_chars", "toxic"]), DOCS, ("tree", "tree"), reps=COMPARE_REPS)
     return summary(scores, cross)
 
 
 # ---------------------------------------------------------------- shuffle trials
 
-RUNS, REPS, INNER = 2, 2, 2
-_P = NUMBERS.columns
+RUNS, REPS, INNER = 6, 10, 10
+_P = SHAPES.columns
 
 
 def _trial_ctes(runs: int, reps: int, inner: int) -> str:
@@ -100,7 +103,7 @@ def _trial_ctes(runs: int, reps: int, inner: int) -> str:
         f" JOIN (SELECT i.run, i.rep, avg(power({errors(t)}, 2)) AS other FROM indexed r, inv_tb i GROUP BY i.run, i.rep) v USING (run, rep)"
         for t, c in enumerate(_P)
     )
-    return f"""{INDEXED_SQL}, sweep AS ({_sweep_sql(runs, reps, 'indexed', _P)}),
+    return f"""{SHAPES_SQL}, sweep AS ({_sweep_sql(runs, reps, 'indexed', _P)}),
 train_b AS ({mixed}), train_a AS ({plain}),
 {inverse_sql('train_b', _P, keys, 'inv_b')},
 {inverse_sql('train_a', _P, ('inner_rep',), 'inv_a')},
@@ -119,13 +122,8 @@ trial AS (SELECT run, rep, metric, avg(value) AS value FROM long_scores GROUP BY
   UNION ALL SELECT run, rep, 'cross', avg(cc) FROM cross_cc GROUP BY run, rep)"""
 
 
-def _numbers(spark, sf):
-    base = number_items(spark, sf)
-    return Indexed(base.df.drop("row_key"), base.n)
-
-
 def _trial(spark, sf):
-    scores, cross = shuffle_trial(_numbers(spark, sf), NUMBERS, ("gaussian_nb", "linear"), RUNS, REPS, INNER, cross_models=FAST)
+    scores, cross = shuffle_trial(part_shapes(spark, sf), SHAPES, ("gaussian_nb", "linear"), RUNS, REPS, INNER, cross_models=FAST)
     return summary(scores, cross, ["run", "rep"])
 
 
@@ -159,17 +157,17 @@ def shuffle_trial_mean(spark, sf):
     )
 
 
-SWEEP_REPS = (1, 2)
+SWEEP_REPS = (5, 10, 15, 20, 25, 30, 35)
 
 
 @query(
     "repetition_sweep",
-    f"""WITH RECURSIVE {_trial_ctes(1, max(SWEEP_REPS), INNER)}, tagged AS ({' UNION ALL '.join(f"SELECT {r} AS n_reps, * FROM trial WHERE rep < {r}" for r in SWEEP_REPS)})
+    f"""WITH RECURSIVE {_trial_ctes(RUNS, max(SWEEP_REPS), INNER)}, tagged AS ({' UNION ALL '.join(f"SELECT {r} AS n_reps, * FROM trial WHERE rep < {r}" for r in SWEEP_REPS)})
 SELECT n_reps, run, metric, {rounded('avg(value)', 5, 'value')}, {rounded('var_pop(value)', 4, 'variance')} FROM tagged GROUP BY n_reps, run, metric""",
 )
 def repetition_sweep_query(spark, sf):
     rows = repetition_sweep(
-        _numbers(spark, sf), NUMBERS, SWEEP_REPS, models=("gaussian_nb", "linear"), max_columns=1, inner_reps=INNER, cross_models=FAST
+        part_shapes(spark, sf), SHAPES, SWEEP_REPS, models=("gaussian_nb", "linear"), max_columns=RUNS, inner_reps=INNER, cross_models=FAST
     )
     means = rows.groupBy("n_reps", "run", "metric").agg(rnd(F.avg("value"), 5).alias("value"))
     variances = report.variance_by_reps(rows).withColumn("variance", rnd("variance", 4))
@@ -199,6 +197,15 @@ def resize_synthesis(spark, sf):
     return synth.resize_synthesis(coded_docs(spark, sf), DOCS, 1000).drop("_id")
 
 
+def _independent(table, columns):
+    """Each column shuffled on its own, with donors from the original table."""
+    out = table.df.select("idx")
+    for i, c in enumerate(columns):
+        donor = table.df.select(F.col("idx").alias("_src"), c)
+        out = out.withColumn("_src", index.permuted(F.col("idx"), 20 + i, table.n)).join(donor, "_src").drop("_src")
+    return out
+
+
 @query("generator_sweep")
 def generator_sweep_query(spark, sf):
     """Two tables against what two generators made of them: sequential trees, and columns shuffled one by one."""
@@ -207,10 +214,7 @@ def generator_sweep_query(spark, sf):
     made = {}
     for name, table in real.items():
         made["cart", name] = _as_indexed(synth.sequential_cart_synthesis(table, roles[name]), table.n)
-        mixed = table
-        for i, c in enumerate(roles[name].columns):
-            mixed = index.shuffle_columns(mixed, [c], 20 + i)
-        made["independent", name] = Indexed(materialize(mixed.df, "independent"), mixed.n)
+        made["independent", name] = Indexed(materialize(_independent(table, roles[name].columns), "independent"), table.n)
     return generator_sweep(real, made, roles, models=FAST, reps=2, repeats=2, cross_models=FAST)
 
 

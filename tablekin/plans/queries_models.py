@@ -11,11 +11,13 @@ from ..operators.index import Indexed, holdout_split, train_part
 from ..session import materialize
 from .bindings import (
     CATEGORICAL, CODED_SQL, CONTINUOUS, DOCS, INDEXED_SQL, ITEMS, ITEMS_SQL, NUMBERS, PAIR_SQL, PARTS, PARTS_SQL, RUN_SCORES_SQL,
-    coded_docs, coded_items, coded_pair, coded_parts, correlation_scores, inverse_sql, items, linear_importance_sql, nb_sql,
+    coded_docs, coded_items, coded_pair, coded_parts, coded_rows, correlation_scores, inverse_sql, items, linear_importance_sql, nb_sql,
     number_items, permuted_sql, residual_sql, rnd, rounded, run_scores, shuffled_sql,
 )
 from .registry import query
 
+FAST = ("gaussian_nb", "linear")
+
 # ---------------------------------------------------------------- models
 
 
@@ -69,12 +71,12 @@ def _knn_sql(target: str, classifier: bool) -> str:
 
 @query(
     "knn_per_target",
-    f"WITH {PARTS_SQL} " + " UNION ALL ".join(_knn_sql(t, PARTS.is_categorical(t)) for t in ("kind", "price")),
+    f"WITH {PARTS_SQL} " + " UNION ALL ".join(_knn_sql(t, PARTS.is_categorical(t)) for t in PARTS.columns),
 )
 def knn_per_target(spark, sf):
     parts = coded_parts(spark, sf)
     out = None
-    for target, model in fit_all_targets(parts.df, PARTS, ("knn", "knn"), ["kind", "price"]).items():
+    for target, model in fit_all_targets(parts.df, PARTS, ("knn", "knn")).items():
         rows = model.predict(parts.df).select(F.lit(target).alias("target"), "idx", rnd("prediction", 6).alias("prediction"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -97,13 +99,13 @@ def _coefficients_sql(inverse, columns, targets):
     f"WITH RECURSIVE {CODED_SQL},\n{inverse_sql('coded', ITEMS.columns)}\n{_coefficients_sql('inv', ITEMS.columns, CONTINUOUS)}",
 )
 def linear_per_target(spark, sf):
-    fitted = linear.linear_per_target(coded_items(spark, sf).df, ITEMS.columns, CONTINUOUS)
+    fitted = linear.linear_per_target(coded_rows(spark, sf), ITEMS.columns, CONTINUOUS)
     return fitted.select("target", "feature", rnd("coef", 6).alias("coef"), rnd("r2", 6).alias("r2"))
 
 
 @query("bayesian_ridge_per_target")
 def bayesian_ridge_per_target(spark, sf):
-    fitted = linear.linear_per_target(coded_items(spark, sf).df, ITEMS.columns, CONTINUOUS, solver="bayesian_ridge")
+    fitted = linear.linear_per_target(coded_rows(spark, sf), ITEMS.columns, CONTINUOUS, solver="bayesian_ridge")
     return fitted.select("target", "feature", "coef", "intercept", "r2")
 
 
@@ -127,37 +129,6 @@ def gaussian_nb_per_target(spark, sf):
     return out
 
 
-_SPLIT_SQL = f"""{PAIR_SQL},
-held AS (SELECT *, {permuted_sql('idx', 42)} < ceil(n * 0.2) AS is_test FROM coded),
-train AS (SELECT * FROM held WHERE NOT is_test)"""
-
-
-def _linear_predictions(rows: str, part: str, targets=CONTINUOUS) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{part}' AS part, '{t}' AS target, r.idx, r.{t} - {residual_sql(ITEMS.columns.index(t), ITEMS.columns)} AS prediction"
-        f" FROM {rows} r, inv i"
-        for t in targets
-    )
-
-
-@query(
-    "predict_per_target",
-    f"""WITH RECURSIVE {_SPLIT_SQL}, own AS (SELECT * FROM held WHERE is_test),\n{inverse_sql('train', ITEMS.columns)}
-SELECT part, target, idx, {rounded('prediction', 5, 'prediction')} FROM (
-  {_linear_predictions('own', 'own', ['net', 'quantity'])} UNION ALL {_linear_predictions('mixed', 'other', ['net', 'quantity'])})""",
-)
-def predict_per_target(spark, sf):
-    a, b = coded_pair(spark, sf)
-    split = holdout_split(a)
-    train = split.where(~F.col("is_test"))
-    out = None
-    for target, model in fit_all_targets(train, ITEMS, ("tree", "linear"), ["net", "quantity"]).items():
-        for part, rows in (("own", split.where("is_test").drop("is_test")), ("other", b.df)):
-            p = model.predict(rows).select(F.lit(part).alias("part"), F.lit(target).alias("target"), "idx", rnd("prediction", 5).alias("prediction"))
-            out = p if out is None else out.unionByName(p)
-    return out
-
-
 @query(
     "fit_all_targets",
     f"""WITH RECURSIVE {CODED_SQL}, rows_ AS (SELECT idx AS rid, * FROM coded),\n{inverse_sql('coded', ITEMS.columns)},
@@ -174,7 +145,7 @@ def fit_all(spark, sf):
 
 # ---------------------------------------------------------------- importances
 
-REPS = 3
+REPS = 5
 
 
 def _train_sql(name: str, source: str, rep: int) -> str:
@@ -223,29 +194,28 @@ def linear_reps_sql(name: str, source: str, columns, targets, reps: int) -> tupl
 @query("impurity_importance")
 def impurity_importance(spark, sf):
     docs = coded_docs(spark, sf)
-    return importance.importance(docs, DOCS, ("tree", "tree"), reps=2)
+    return importance.importance(docs, DOCS, ("tree", "tree"), reps=REPS)
 
 
-def _nb_query(source: str, repeats: int) -> str:
+def _nb_query(source: str, roles, reps: int, repeats: int) -> str:
     ctes, selects = [], []
-    for t in CATEGORICAL:
-        c, s = nb_importance_sql(f"k_{t}", source, t, ITEMS.columns, 0, repeats)
-        ctes += c
-        selects.append(s)
+    for r in range(reps):
+        for t in roles.categorical:
+            c, s = nb_importance_sql(f"k_{t}_{r}", source, t, roles.columns, r, repeats)
+            ctes += c
+            selects.append(s)
     return ",\n".join(ctes), " UNION ALL ".join(selects)
 
 
-_NB_CTES, _NB_SELECT = _nb_query("coded", 3)
+_NB_CTES, _NB_SELECT = _nb_query("parts", PARTS, REPS, importance.REPEATS)
 
 
 @query(
     "permutation_importance",
-    f"WITH {CODED_SQL},\n{_NB_CTES}\nSELECT target, feature, pos, rep, {rounded('score', 9, 'score')} FROM ({_NB_SELECT})",
+    f"WITH {PARTS_SQL},\n{_NB_CTES}\nSELECT target, feature, pos, rep, {rounded('score', 9, 'score')} FROM ({_NB_SELECT})",
 )
 def permutation_importance(spark, sf):
-    rows = importance.importance(
-        coded_items(spark, sf), ITEMS, ("gaussian_nb", "linear"), reps=1, repeats=3, targets=list(CATEGORICAL)
-    )
+    rows = importance.importance(coded_parts(spark, sf), PARTS, FAST, REPS, targets=list(PARTS.categorical))
     return rows.withColumn("score", rnd("score", 9))
 
 
@@ -370,14 +340,47 @@ def utility_ctes(name: str, source: str, other: str, columns, categorical) -> tu
 
 _FORTH, _ = utility_ctes("forth", "coded", "mixed", ITEMS.columns, CATEGORICAL)
 _BACK, _ = utility_ctes("back", "mixed", "coded", ITEMS.columns, CATEGORICAL)
-BOTH_SQL = f"""{PAIR_SQL},\n{', '.join(_FORTH)},\n{', '.join(_BACK)},
+
+
+def both_sql(forth: list[str], back: list[str]) -> str:
+    """CTEs of both directions, their rows and the cross values."""
+    return f"""{', '.join(forth)},\n{', '.join(back)},
 cross_rows AS (SELECT 'a' AS train_side, 'b' AS test_side, * FROM forth UNION ALL SELECT 'b', 'a', * FROM back),
 cross_cc AS (SELECT target, max((ratio + own + other) / 3) FILTER (train_side = 'a') / max((ratio + own + other) / 3) FILTER (train_side = 'b') AS cc_reference,
    max(ratio) FILTER (train_side = 'a') / max(ratio) FILTER (train_side = 'b') AS cc_ratio FROM cross_rows GROUP BY target)"""
-FAST = ("gaussian_nb", "linear")
+
+
+BOTH_SQL = f"{PAIR_SQL},\n{both_sql(_FORTH, _BACK)}"
 _UTILITY_COLUMNS = f"target, {rounded('ratio', 5, 'ratio')}, {rounded('own', 5, 'own')}, {rounded('other', 5, 'other')}, higher_is_better"
 
 
+def _predictions_sql() -> str:
+    rows = [
+        f"SELECT '{t}' AS target, rid, prediction FROM forth_n_{t}"
+        if t in CATEGORICAL
+        else f"SELECT '{t}' AS target, r.rid, r.{t} - {residual_sql(i, ITEMS.columns)} AS prediction FROM forth_r r, forth_i i"
+        for i, t in enumerate(ITEMS.columns)
+    ]
+    return (
+        f"WITH RECURSIVE {PAIR_SQL},\n{', '.join(_FORTH)} SELECT CASE WHEN rid % 2 = 0 THEN 'own' ELSE 'other' END AS part, target,"
+        f" rid // 2 AS idx, {rounded('prediction', 5, 'prediction')} FROM ({' UNION ALL '.join(rows)})"
+    )
+
+
+@query("predict_per_target", _predictions_sql())
+def predict_per_target(spark, sf):
+    """All targets on the held-out rows and on the shuffled table."""
+    a, b = coded_pair(spark, sf)
+    split = holdout_split(a)
+    train = split.where(~F.col("is_test"))
+    out = None
+    for target, model in fit_all_targets(train, ITEMS, FAST).items():
+        for part, rows in (("own", split.where("is_test").drop("is_test")), ("other", b.df)):
+            p = model.predict(rows).select(F.lit(part).alias("part"), F.lit(target).alias("target"), "idx", rnd("prediction", 5).alias("prediction"))
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
 def _round_utility(df):
     return df.withColumns({c: rnd(c, 5) for c in ("ratio", "own", "other")})
 
@@ -444,9 +447,9 @@ _PREDICTED_NB = f"WITH {CODED_SQL}, rows_ AS (SELECT idx AS rid, * FROM coded),\
     f"{_PREDICTED_NB} SELECT line, round(avg(CAST(y = prediction AS INTEGER)), 9) AS accuracy FROM nb JOIN coded ON idx = rid GROUP BY line",
 )
 def accuracy(spark, sf):
-    base = coded_items(spark, sf)
-    model = FITTERS["gaussian_nb"](base.df, "linestatus", _others("linestatus"))
-    scored = model.predict(base.df).groupBy("line")
+    rows = coded_rows(spark, sf)
+    model = FITTERS["gaussian_nb"](rows, "linestatus", _others("linestatus"))
+    scored = model.predict(rows).groupBy("line")
     return scored.agg(rnd(utility.accuracy(F.col("linestatus"), F.col("prediction")), 9).alias("accuracy"))
 
 
@@ -456,7 +459,7 @@ def accuracy(spark, sf):
 SELECT line, round(avg(power({residual_sql(ITEMS.columns.index('quantity'), ITEMS.columns)}, 2)), 6) AS mse FROM coded r, inv i GROUP BY line""",
 )
 def mse(spark, sf):
-    base = coded_items(spark, sf)
-    model = FITTERS["linear"](base.df, "quantity", _others("quantity"))
-    scored = model.predict(base.df).groupBy("line")
+    rows = coded_rows(spark, sf)
+    model = FITTERS["linear"](rows, "quantity", _others("quantity"))
+    scored = model.predict(rows).groupBy("line")
     return scored.agg(rnd(utility.mse(F.col("quantity"), F.col("prediction")), 6).alias("mse"))
