@@ -215,7 +215,7 @@ def generator_sweep_query(spark, sf):
     for name, table in real.items():
         made["cart", name] = _as_indexed(synth.sequential_cart_synthesis(table, roles[name]), table.n)
         made["independent", name] = Indexed(materialize(_independent(table, roles[name].columns), "independent"), table.n)
-    return generator_sweep(real, made, roles, models=FAST, reps=2, repeats=2, cross_models=FAST)
+    return generator_sweep(real, made, roles, models=FAST, cross_models=FAST)
 
 
 # ---------------------------------------------------------------- several tables

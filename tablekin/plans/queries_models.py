@@ -256,7 +256,7 @@ def importance_variance(spark, sf):
 
 @query("shap_mean_importance")
 def shap_mean_importance(spark, sf):
-    return importance.shap_mean_importance(coded_docs(spark, sf), DOCS, reps=1, max_depth=6)
+    return importance.shap_mean_importance(coded_docs(spark, sf), DOCS, reps=REPS, max_depth=6)
 
 
 # ---------------------------------------------------------------- rank measures
