@@ -3,7 +3,7 @@
 Words are counted over all texts. The ``words`` most frequent ones form classes of neighbouring frequency, the others
 classes by length; a word's probability is that of its class, given the classes of the two words on either side, times
 its share of the class. The network (one table per neighbour into a tanh layer, then a softmax over classes) is trained
-in numpy inside the tasks: each trains on every ``stride``-th word of its own texts, the means of the weights, by words
+in numpy inside the tasks: each trains on every word of its own texts (``stride`` 1), the means of the weights, by words
 seen, start the next round. Every word of every text is scored.
 
 Defined results: a null or empty text has no words, a sum of 0 and no mean. Places beyond a text's ends are a class of
@@ -150,9 +150,9 @@ class Network:
         return self
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.tables[0][near[0]]
+        total = self.tables[0].take(near[0], 0)
         for k in range(1, len(SIDES)):
-            total += self.tables[k][near[k]]
+            total += self.tables[k].take(near[k], 0)
         return np.tanh(total, out=total)
 
     def log_chance(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -166,22 +166,27 @@ class Network:
     def learn(self, near: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float = 0.05) -> None:
         """One step of Adagrad on the mean of the conditional log probabilities."""
         n = len(target)
-        h = self.hidden(near)
-        score = h @ self.out[:-1] + self.out[-1]
-        score -= score.max(1, keepdims=True)
-        error = np.exp(score)
-        error /= error.sum(1, keepdims=True)
-        error[np.arange(n), target] -= 1
-        error /= n
-        back = (error @ self.out[:-1].T) * (1 - h * h)
-        gradient = np.vstack([h.T @ error, error.sum(0)])
+        h = np.ones((n, len(self.out)), np.float32)
+        h[:, :-1] = self.hidden(near)
+        error = h @ self.out
+        error -= error.max(1, keepdims=True)
+        np.exp(error, out=error)
+        total = error.sum(1)
+        error[np.arange(n), target] -= total
+        part = (1 / (total * n))[:, None]
+        back = error @ self.out[:-1].T
+        back *= (1 - h[:, :-1] ** 2) * part
+        h *= part
+        gradient = h.T @ error
         memory[0] += gradient**2
         self.out -= rate * gradient / np.sqrt(memory[0] + 1e-8)
         for k in range(len(SIDES)):
-            own = np.zeros_like(self.tables[k])
-            np.add.at(own, near[k], back)
-            memory[1][k] += own**2
-            self.tables[k] -= rate * own / np.sqrt(memory[1][k] + 1e-8)
+            order = np.argsort(near[k], kind="stable")
+            found = near[k][order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            used, own = found[first], np.add.reduceat(back.take(order, 0), first, axis=0)
+            memory[1][k, used] += own**2
+            self.tables[k, used] -= rate * own / np.sqrt(memory[1][k, used] + 1e-8)
 
 
 def neighbours(classes: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +207,7 @@ def _train(words: Vocabulary, start: np.ndarray, hidden: int, stride: int, batch
 
         def step() -> int:
             near, target = neighbours(held, words.classes)
-            near, target = near[:, ::stride], target[::stride]
+            near, target = near[:, ::stride].astype(np.int16 if words.classes < 1 << 15 else np.int64), target[::stride]
             for a in range(0, len(target), batch_size):
                 net.learn(near[:, a : a + batch_size], target[a : a + batch_size], memory)
             return len(target)
@@ -236,7 +241,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "weights"])
 
 
-def train(docs: DataFrame, words: Vocabulary, hidden: int = 32, stride: int = 8, rounds: int = 2) -> np.ndarray:
+def train(docs: DataFrame, words: Vocabulary, hidden: int = 32, stride: int = 1, rounds: int = 2) -> np.ndarray:
     """Weights of the network after ``rounds`` rounds over all texts; sums travel through 16 tasks, one row reaches the driver."""
     schema, weights = "seen long, weights binary", Network(words.classes, hidden).vector()
     for _ in range(rounds):
@@ -279,7 +284,7 @@ def _score(words: Vocabulary, weights: np.ndarray, hidden: int):
     return run
 
 
-def score_documents(docs: DataFrame, words: int = 16_384, classes: int = 96, hidden: int = 32, stride: int = 8, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, words: int = 16_384, classes: int = 96, hidden: int = 32, stride: int = 1, rounds: int = 2) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of whole texts under the network that the texts have trained."""
     mine = docs.select("doc_id", "text")
     known = vocabulary(mine, words, classes)

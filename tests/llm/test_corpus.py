@@ -1,10 +1,12 @@
 """Corpus operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import inspect
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -353,6 +355,34 @@ def test_lm_prefers_learned_order(spark, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    texts = [" ".join(f"w{k % 7}" for k in range(a, a + 30)) for a in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known = lm_score.vocabulary(docs, 50, 20)
+    seen = []
+    monkeypatch.setattr(lm_score.Network, "learn", lambda net, near, target, memory: seen.extend(target.tolist()))
+    default = inspect.signature(lm_score.score_documents).parameters["stride"].default
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    list(lm_score._train(known, lm_score.Network(known.classes, 32).vector(), 32, default)(iter([batch])))
+    assert seen == [int(c) for t in texts for c in known.read(t.encode().split())[0]]
+    assert inspect.signature(lm_score.train).parameters["stride"].default == default
+
+
+def test_lm_step_is_adagrad():
+    draw = np.random.default_rng(2)
+    near, target = draw.integers(0, 6, (4, 40)), draw.integers(0, 5, 40)
+    net = lm_score.Network(5, 3)
+    out, tables = net.out.astype(float), net.tables.astype(float)
+    h = np.tanh(sum(tables[k][near[k]] for k in range(4)))
+    chance = np.exp(h @ out[:-1] + out[-1])
+    error = (chance / chance.sum(1, keepdims=True) - np.eye(5)[target]) / 40
+    back = (error @ out[:-1].T) * (1 - h * h)
+    gradients = [np.vstack([h.T @ error, error.sum(0)]), np.stack([np.eye(6)[near[k]].T @ back for k in range(4)])]
+    net.learn(near, target, [np.zeros_like(net.out), np.zeros_like(net.tables)])
+    for was, now, g in zip((out, tables), (net.out, net.tables), gradients, strict=True):
+        assert np.allclose(now, was - 0.05 * g / np.sqrt(g * g + 1e-8), atol=1e-4)
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     bench = spark.createDataFrame([(1, " ".join(corpus()[41][1].split()[:30]))], "item_id long, text string")
