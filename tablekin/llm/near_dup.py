@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import PACKED, group_starts, mix64, pack_rows, shuffle_width, text_bytes, unpack_rows
+from tablekin.llm.common import ASCII_SPACE, PACKED, group_starts, mix64, own_names, pack_rows, plain_names, shuffle_width, text_bytes, unpack_rows
 from tablekin.llm.components import connected_components
 from tablekin.llm.shingles import WordHash, shingle_set
 from tablekin.session import materialize
@@ -114,13 +114,14 @@ def block_of(short: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, dict[bytes, np.ndarray]]]:
-    """(doc_id, size, class) of the rows, and the sets of their classes, in chunks."""
+    """(doc_id, size, class) of the rows, with the key if there is one, and the sets of their classes, in chunks."""
     hashes, rows, sets, total = WordHash(), [], {}, 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
+        carried = [batch.column(c).to_pylist() for c in batch.schema.names if c == "key"]
+        for doc, text, *key in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), *carried, strict=True):
             own = shingle_set(text, hashes, size)
             cls = set_digest(own) if len(own) else None
-            rows.append((doc, len(own), cls))
+            rows.append((doc, len(own), cls, *key))
             if cls is not None and cls not in sets:
                 sets[cls] = own
                 total += len(own)
@@ -139,7 +140,7 @@ def _summary(size: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _chunks(batches, size):
-            doc, n, cls = (list(x) for x in zip(*rows, strict=True))
+            doc, n, cls, *key = (list(x) for x in zip(*rows, strict=True))
             top = np.uint64(int(COUNTED * 2**64))
             low = np.concatenate([np.zeros(0, np.uint64), *(s[: np.searchsorted(s, top)] for s in sets.values())])
             bucket = (low % np.uint64(buckets)).astype(np.int64)
@@ -148,9 +149,10 @@ def _summary(size: int, buckets: int):
             used = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
             payload = [squeeze(low[bounds[b] : bounds[b + 1]], 3) for b in used]
             rest, lead = [None] * len(used), [None] * len(doc)
-            columns = [doc + rest, n + rest, cls + rest, lead + used, lead + payload]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "cls", "bucket", "payload"])
+            columns = [doc + rest, n + rest, cls + rest, lead + used, lead + payload, *(k + rest for k in key)]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), *(pa.binary() for _ in key)]
+            names = ["doc_id", "n", "cls", "bucket", "payload", *("key" for _ in key)]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -434,12 +436,15 @@ def _scan(percent: int):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: documents are linked if their Jaccard similarity is at least ``percent`` %."""
+def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every row, with ``key`` if ``docs`` has one; (cls, least) of the classes; (cls, root) of those
+    that are linked and not the least of their component."""
     limit, width = Threshold(percent), shuffle_width(docs)
     mine = docs.select("doc_id", "text")
-    summary = materialize(mine.mapInArrow(_summary(size, width), SUMMARY), "shingles")
-    members = summary.filter("n is not null").select("doc_id", "n", "cls")
+    key = ["key"] if "key" in docs.columns else []
+    schema = SUMMARY + "".join(f", {k} binary" for k in key)
+    summary = materialize(docs.select("doc_id", "text", *key).mapInArrow(_summary(size, width), schema), "shingles")
+    members = summary.filter("n is not null").select("doc_id", "n", "cls", *key)
     counted = summary.filter("bucket is not null").select("bucket", "payload").repartitionById(width, F.col("bucket"))
     top = counted.mapInArrow(_frequent, "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
     hot = materialize(top, "hot").orderBy(F.desc("seen"), "shingle").toPandas()  # written: a collect would take HOT_MOST rows of each task
@@ -461,9 +466,13 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
     sent = sets.mapInArrow(_send(size, blocks), "block int, role int, cls binary, shingles binary")
     scanned = sent.repartition(width, "block").sortWithinPartitions("block", "role").mapInArrow(_scan(percent), "u binary, v binary")
     links = materialize(scanned, "links")
+    return members, classes, connected_components(links).withColumnRenamed("u", "cls")
 
-    roots = connected_components(links)
-    grouped = classes.join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: documents are linked if their Jaccard similarity is at least ``percent`` %."""
+    members, classes, roots = _linked(docs.select("doc_id", "text"), size, percent)
+    grouped = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.filter(F.col("root") != F.col("cls")).select("root").distinct()
     linked = grouped.join(least, "root", "left_semi")
     component = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -477,9 +486,23 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 75) ->
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Rows of the document that names its component; of rows that share an id, one stays."""
-    groups = near_duplicate_groups(docs, size, percent)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.head(1) else out
+    """One row of each component, and all rows without words.
+
+    The row is that of the least id (null last), then of the least set and text digest. Rows of one id and text differ in
+    other columns only; the least of them stays.
+    """
+    plain = plain_names(docs).withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    members, _, roots = _linked(plain.select("doc_id", "text", "key"), size, percent)
+    texts = members.filter("n > 0")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "key")
+    first = texts.groupBy("cls").agg(F.min(own).alias("first")).join(roots, "cls", "left")
+    first = first.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select("first.doc_id", "first.key").union(members.filter("n = 0").select("doc_id", "key").distinct())
+    kept = kept.toDF("kept_id", "kept_key")
+    out = plain.join(kept, (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if texts.groupBy("doc_id", "key").count().filter("count > 1").head(1):
+        blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(ASCII_SPACE)) == ""
+        ordered = [f.name for f in plain.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+        least = F.min_by(F.struct(*plain.columns), F.struct(*ordered)).alias("least")
+        out = out.filter(blank).union(out.filter(~blank).groupBy("doc_id", "key").agg(least).select("least.*"))
+    return own_names(out, docs)

@@ -149,6 +149,23 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicate_groups(empty).count() == 0
 
 
+def test_keep_first_drops_linked_texts_only(spark):
+    text = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    near = text("a", 59)
+    rows = [(None, text(f"n{k}x"), k) for k in range(8)]  # clean texts without ids
+    rows += [(None, text("n0x"), 20), (None, None, 21), (None, " \n", 22), (None, "", 23)]
+    rows += [(5, text("a"), 30), (5, text("b"), 31), (6, near, 32)]  # two texts under one id
+    rows += [(3, text("c"), 40), (9, text("c", 59), 41), (9, text("d"), 42)]  # a near copy under the id of another text
+    rows += [(10, text("c", 58), 43), (13, text("c", 57), 44)]
+    rows += [(11, text("e"), 51), (11, text("e"), 50), (12, "", 52), (12, "", 53)]
+    want = sorted([*range(8), 21, 22, 23, 30, 31, 40, 42, 50, 52, 53])
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, key long").repartition(parts)
+        kept = near_dup.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r["key"] for r in kept.collect()) == want
+
+
 def test_light_sets_find_all_links():
     draw = random.Random(3)
     limit = near_dup.Threshold(75)
