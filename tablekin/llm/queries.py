@@ -14,6 +14,7 @@ from tablekin.llm import (
     line_dedup,
     lm_score,
     near_dup,
+    prefix_trie,
     quality_rules,
     sentencepiece_bpe,
     substring_dedup,
@@ -173,3 +174,35 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extract")
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+#: CRC-32 of the decimal conv_id, bit by bit (fixed values: the reversed polynomial and the mask of the standard).
+CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda t: CAST(ascii(t) AS BIGINT))),
+ lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH o AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS n_bytes,
+                  md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+           FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, g, n_bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS p FROM o),
+m AS (SELECT conv_id AS c, count(*) AS n, {CRC} % 9 AS h, conv_id - conv_id % 5 AS base FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT m.c, m.h, m.base, least(m.h, coalesce(b.n, 0)) AS taken FROM m LEFT JOIN m b ON m.base = b.c),
+r AS (SELECT k.c, t.p AS d, g, n_bytes FROM k JOIN t ON t.c = k.base WHERE t.p <= k.taken
+      UNION ALL SELECT k.c, t.p - k.h + k.taken, g, n_bytes FROM k JOIN t ON t.c = k.c WHERE t.p > k.h),
+x AS (SELECT c, d, n_bytes, string_agg(g, '') OVER (PARTITION BY c ORDER BY d) AS path FROM r UNION ALL SELECT c, 0, 0, '' FROM k),
+l AS (SELECT *, max(d) OVER (PARTITION BY c) = d AS last FROM x),
+n AS (SELECT path, d, min(c) AS c, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM l GROUP BY path, d),
+u AS (SELECT n.*, p.c AS up FROM n LEFT JOIN n p ON n.d > 0 AND p.d = n.d - 1 AND p.path = left(n.path, 32 * (n.d - 1))),
+f AS (SELECT up, d - 1 AS d, count(*) AS kids FROM u WHERE d > 0 GROUP BY ALL),
+w AS (SELECT u.*, coalesce(f.kids, 0) AS kids FROM u LEFT JOIN f ON u.c = f.up AND u.d = f.d),
+s AS (SELECT a.path, count(*) FILTER (w.kids = 0) AS leaves, sum((w.n_convs - 1) * w.n_bytes) AS saved
+      FROM w JOIN x a ON a.c = w.c AND a.d <= w.d GROUP BY a.path)
+SELECT c AS conv_id, CAST(d AS BIGINT) AS depth, up AS parent_conv_id, n_convs, kids AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM w JOIN s USING (path)""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
