@@ -19,6 +19,7 @@ from tablekin.llm import (
     sentencepiece_bpe,
     substring_dedup,
     suffix_dedup,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +207,8 @@ SELECT c AS conv_id, CAST(d AS BIGINT) AS depth, up AS parent_conv_id, n_convs,
 )
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
