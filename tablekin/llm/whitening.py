@@ -97,7 +97,7 @@ def centre(vectors: DataFrame) -> Centre | None:
     return Centre(int(found[0]["n"]), [(int(r["high"]) << LOW) + int(r["low"]) for r in found])
 
 
-def _add_up(vectors: DataFrame, part: Callable[[Iterator[np.ndarray]], np.ndarray], rows: int, columns: int) -> np.ndarray:
+def _add_up(vectors: DataFrame, part: Callable[[Iterator[np.ndarray]], np.ndarray], width: int, rows: int, columns: int) -> np.ndarray:
     """Sum over tasks of a rows x columns matrix that each task makes from its vectors."""
     names = [f"y{k}" for k in range(columns)]
 
@@ -121,7 +121,7 @@ def covariance_product(vectors: DataFrame, middle: Centre, block: np.ndarray) ->
             total[:, -1] += (c * c).sum(0)
         return total
 
-    return _add_up(vectors, part, middle.width, block.shape[1] + 1) / middle.n
+    return _add_up(vectors, part, middle.width, middle.width, block.shape[1] + 1) / middle.n
 
 
 def orthonormal(block: np.ndarray, against: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def whiten(embeddings: DataFrame, components: int = 32, column: str = "embedding
             total[:, -1] += w.sum(0)
         return total
 
-    sums = _add_up(vectors, second, count, count + 1) / middle.n
+    sums = _add_up(vectors, second, width, count, count + 1) / middle.n
     error = float(np.abs(sums[:, :-1] - np.outer(sums[:, -1], sums[:, -1]) - np.eye(count)).max())
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
