@@ -17,6 +17,7 @@ from tablekin.llm import (
     prefix_trie,
     quality_rules,
     sentencepiece_bpe,
+    simhash,
     substring_dedup,
     suffix_dedup,
     whitening,
@@ -212,3 +213,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(documents(spark, sf_dir))
