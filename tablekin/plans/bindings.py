@@ -284,6 +284,18 @@ def rnd(column, digits: int):
     return F.when(value == 0, 0.0).otherwise(value)
 
 
+def settled_sql(expression: str, digits: int, name: str) -> str:
+    """Rounded in two steps of plain arithmetic: noise goes before the digits are cut, and all engines cut alike."""
+    fine = f"floor(({expression}) * 1e10 + 0.5) / 1e10"
+    return f"floor({fine} * 1e{digits} + 0.5) / 1e{digits} + 0.0 AS {name}"
+
+
+def settled(column, digits: int):
+    """The same as ``settled_sql``."""
+    cut = lambda c, d: F.floor(c * F.lit(10.0**d) + 0.5) / F.lit(10.0**d)
+    return cut(cut(q(column) if isinstance(column, str) else column, 10), digits) + F.lit(0.0)
+
+
 # ---------------------------------------------------------------- smaller tables for the fitted models
 
 DOCS = Roles(("n_chars", "n_words", "n_lines", "lang", "quality", "toxic"), ("n_chars", "n_words", "n_lines"))

@@ -10,7 +10,7 @@ from ..session import materialize
 from .bindings import (
     DOCS, ITEMS, PAIR_SQL, PARTS, PARTS_SQL, SHAPES, SHAPES_SQL,
     coded_docs, coded_pair, coded_parts, correlation_scores, inverse_sql, linear_importance_sql, measures_sql, part_rows,
-    part_shapes, permuted_sql, rnd, rounded, shuffled, shuffled_sql,
+    part_shapes, permuted_sql, rnd, rounded, settled, settled_sql, shuffled, shuffled_sql,
 )
 from .experiment import (
     compare_datasets, generator_sweep, last_repetition, method_sweep, multi_dataset_ratio, repetition_sweep, shuffle_trial,
@@ -163,14 +163,14 @@ SWEEP_REPS = (5, 10, 15, 20, 25, 30, 35)
 @query(
     "repetition_sweep",
     f"""WITH RECURSIVE {_trial_ctes(RUNS, max(SWEEP_REPS), INNER)}, tagged AS ({' UNION ALL '.join(f"SELECT {r} AS n_reps, * FROM trial WHERE rep < {r}" for r in SWEEP_REPS)})
-SELECT n_reps, run, metric, {rounded('avg(value)', 5, 'value')}, {rounded('var_pop(value)', 4, 'variance')} FROM tagged GROUP BY n_reps, run, metric""",
+SELECT n_reps, run, metric, {rounded('avg(value)', 5, 'value')}, {settled_sql('var_pop(value)', 6, 'variance')} FROM tagged GROUP BY n_reps, run, metric""",
 )
 def repetition_sweep_query(spark, sf):
     rows = repetition_sweep(
         part_shapes(spark, sf), SHAPES, SWEEP_REPS, models=("gaussian_nb", "linear"), max_columns=RUNS, inner_reps=INNER, cross_models=FAST
     )
     means = rows.groupBy("n_reps", "run", "metric").agg(rnd(F.avg("value"), 5).alias("value"))
-    variances = report.variance_by_reps(rows).withColumn("variance", rnd("variance", 4))
+    variances = report.variance_by_reps(rows).withColumn("variance", settled("variance", 6))
     return means.join(variances, ["n_reps", "run", "metric"])
 
 

@@ -12,7 +12,7 @@ from ..session import materialize
 from .bindings import (
     CATEGORICAL, CODED_SQL, CONTINUOUS, DOCS, INDEXED_SQL, ITEMS, ITEMS_SQL, NUMBERS, PAIR_SQL, PARTS, PARTS_SQL, RUN_SCORES_SQL,
     coded_docs, coded_items, coded_pair, coded_parts, coded_rows, correlation_scores, inverse_sql, items, linear_importance_sql, nb_sql,
-    number_items, permuted_sql, residual_sql, rnd, rounded, run_scores, shuffled_sql,
+    number_items, permuted_sql, residual_sql, rnd, rounded, run_scores, settled, settled_sql, shuffled_sql,
 )
 from .registry import query
 
@@ -363,7 +363,7 @@ def _predictions_sql() -> str:
     ]
     return (
         f"WITH RECURSIVE {PAIR_SQL},\n{', '.join(_FORTH)} SELECT CASE WHEN rid % 2 = 0 THEN 'own' ELSE 'other' END AS part, target,"
-        f" rid // 2 AS idx, {rounded('prediction', 5, 'prediction')} FROM ({' UNION ALL '.join(rows)})"
+        f" rid // 2 AS idx, {settled_sql('prediction', 5, 'prediction')} FROM ({' UNION ALL '.join(rows)})"
     )
 
 
@@ -376,7 +376,7 @@ def predict_per_target(spark, sf):
     out = None
     for target, model in fit_all_targets(train, ITEMS, FAST).items():
         for part, rows in (("own", split.where("is_test").drop("is_test")), ("other", b.df)):
-            p = model.predict(rows).select(F.lit(part).alias("part"), F.lit(target).alias("target"), "idx", rnd("prediction", 5).alias("prediction"))
+            p = model.predict(rows).select(F.lit(part).alias("part"), F.lit(target).alias("target"), "idx", settled("prediction", 5).alias("prediction"))
             out = p if out is None else out.unionByName(p)
     return out
 
