@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..roles import Roles
 from .bayes import gaussian_nb_all_targets
 from .clean import q
 from .linear import bayesian_ridge, column_means, least_squares, prediction, product_sums, unpack
 from .neighbors import NearestNeighbours
+from .trees import Rule, add_prediction, fit_trees
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,6 @@ class Fitted:
     target: str
     features: tuple[str, ...]
     predict: Callable[[DataFrame], DataFrame]
-    impurity: tuple[float, ...] | None = None  # per feature, trees only
     model: object = None
 
 
@@ -42,34 +43,35 @@ def _ml(estimator, df: DataFrame, target: str, features: Sequence[str], prepare=
     prepare = prepare or (lambda d: assemble(d, features))
     model = estimator.fit(prepare(df).select(q(target).alias("_label"), "_x"))
     drop = ["_x", "rawPrediction", "probability"]
-    importances = getattr(model, "featureImportances", None)
     return Fitted(
         target,
         tuple(features),
         lambda d: model.transform(prepare(d)).drop(*drop),
-        tuple(float(v) for v in importances.toArray()) if importances is not None else None,
-        model,
+        model=model,
     )
 
 
 _COLUMNS = dict(featuresCol="_x", labelCol="_label")
 
 
-def fit_tree(df, target, features, classifier, *, max_depth=30, max_bins=64, min_rows=1, seed=42, **_):
-    kind = C.DecisionTreeClassifier if classifier else R.DecisionTreeRegressor
-    return _ml(
-        kind(maxDepth=max_depth, maxBins=max_bins, minInstancesPerNode=min_rows, seed=seed, maxMemoryInMB=1024, **_COLUMNS),
-        df, target, features,
-    )
+def tree_rule(name: str, *, max_depth=None, min_leaf=1, trees=100, seed=42, **_) -> Rule:
+    return Rule(max_depth, min_leaf, trees if name == "forest" else 0, seed, name == "forest")
 
 
-def fit_forest(df, target, features, classifier, *, trees=100, max_depth=30, max_bins=64, seed=42, **_):
-    kind = C.RandomForestClassifier if classifier else R.RandomForestRegressor
-    subset = "sqrt" if classifier else "all"
-    return _ml(
-        kind(numTrees=trees, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy=subset, seed=seed, maxMemoryInMB=1024, **_COLUMNS),
-        df, target, features,
-    )
+def fit_exact_trees(df: DataFrame, roles: Roles, targets: Sequence[str], name: str, **options) -> dict[str, Fitted]:
+    """Trees (or forests) of all targets from one job."""
+    grown = fit_trees(df, roles, targets, rule=tree_rule(name, **options))
+    one = lambda t, m: Fitted(t, tuple(roles.features(t)), lambda d: add_prediction(d, m), model=m)
+    return {t: one(t, grown.only(t)) for t in targets}
+
+
+def _one_tree(name: str):
+    def fit(df, target, features, classifier, **options):
+        columns = (*features, target)
+        roles = Roles(columns, tuple(c for c in columns if c != target or not classifier))
+        return fit_exact_trees(df, roles, [target], name, **options)[target]
+
+    return fit
 
 
 def _against_rest(single, df: DataFrame, target: str):
@@ -146,8 +148,8 @@ def fit_knn(df, target, features, classifier, *, k=5, **_):
 
 
 FITTERS: dict[str, Callable[..., Fitted]] = {
-    "tree": fit_tree,
-    "forest": fit_forest,
+    "tree": _one_tree("tree"),
+    "forest": _one_tree("forest"),
     "knn": fit_knn,
     "svm": fit_svm,
     "logistic": fit_logistic,
@@ -156,6 +158,9 @@ FITTERS: dict[str, Callable[..., Fitted]] = {
     "bayesian_ridge": _fit_from_moments(bayesian_ridge),
 }
 
+#: Models grown by ``trees``, all targets and repetitions in one job.
+TREES = ("tree", "forest")
+
 # Classifier and regressor behind each method name of the reports.
 METHODS: dict[str, tuple[str, str]] = {
     "dt": ("tree", "linear"),
@@ -182,13 +187,14 @@ def fit_all_targets(df: DataFrame, roles, models: tuple[str, str], targets: Sequ
     if models[0] == "gaussian_nb" and (classes := [t for t in chosen if roles.is_categorical(t)]):
         for t, m in gaussian_nb_all_targets(df, list(roles.columns), classes).items():
             shared[t] = Fitted(t, m.features, m.predict, model=m)
+    for name in TREES:
+        if grown := [t for t in chosen if models[0 if roles.is_categorical(t) else 1] == name]:
+            shared |= fit_exact_trees(df, roles, grown, name, **options)
 
     def one(t: str) -> Fitted:
         if t in shared:
             return shared[t]
         classifier = roles.is_categorical(t)
-        name = models[0] if classifier else models[1]
-        extra = options if name in ("tree", "forest") else {}
-        return FITTERS[name](df, t, roles.features(t), classifier, **extra)
+        return FITTERS[models[0] if classifier else models[1]](df, t, roles.features(t), classifier)
 
     return dict(zip(chosen, run_parallel([lambda t=t: one(t) for t in chosen])))

@@ -5,21 +5,19 @@ Result rows: ``(target, feature, pos, rep, score)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from math import factorial
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import Roles
 from .bayes import NaiveBayes, permutation_drop
 from .clean import q
-from .estimators import FITTERS, METHODS, Fitted, assemble, fit_all_targets, run_parallel
-from .index import Indexed, permuted, replicates, train_part
+from .estimators import METHODS, TREES, Fitted, fit_all_targets, run_parallel, tree_rule
+from .index import Indexed, permuted, replicates, test_size, train_part
 from .linear import SOLVERS, column_means, fit_from_sums, product_sums, subtract_sums
+from .trees import fit_trees, impurity_importance, leaf_boxes, leaf_values, shapley_sums
 
 HELD_OUT = 0.05
 REPEATS = 15
@@ -40,9 +38,12 @@ def permutation_pairs(table: Indexed, columns: Sequence[str], repeats: int = REP
     return table.df.select("idx", *map(q, columns), F.inline(tags)).join(partners, "_src").drop("_src")
 
 
-def impurity_importance(fitted: Fitted) -> list[tuple[str, str, float]]:
-    """Normalised impurity decrease of a tree or forest; it sums to 1, or is all 0 without a split."""
-    return [(fitted.target, f, s) for f, s in zip(fitted.features, fitted.impurity)]
+def importance_by_trees(rows: DataFrame, roles: Roles, targets: Sequence[str], name: str, keys: Sequence[str], **options) -> DataFrame:
+    """Impurity importance ``(target, keys…, feature, pos, score)`` of the trees of every part that ``keys`` tell apart, in one job.
+
+    The shares sum to 1, or are all 0 without a split.
+    """
+    return impurity_importance(fit_trees(rows, roles, targets, keys, tree_rule(name, **options)))
 
 
 def permutation_importance(
@@ -130,18 +131,21 @@ def importance(
     chosen = list(targets or roles.columns)
     spark = table.df.sparkSession
     by_moments = [t for t in chosen if not roles.is_categorical(t)] if models[1] in SOLVERS else []
-    by_fit = [t for t in chosen if t not in by_moments]
+    by_trees = {m: [t for t in chosen if models[0 if roles.is_categorical(t) else 1] == m] for m in TREES}
+    by_fit = [t for t in chosen if t not in by_moments and not any(t in g for g in by_trees.values())]
     parts = []
     if by_moments:
         parts.append(importance_by_moments(table.df, table.n, roles, by_moments, models[1], reps, first_seed))
+    for name, grown in by_trees.items():
+        if grown:
+            kept = replicates(table, reps, HELD_OUT, first_seed).where(~F.col("is_test"))
+            rows = importance_by_trees(kept, roles, grown, name, ["rep"], **options)
+            parts.append(rows.select("target", "feature", "pos", "rep", "score"))
 
     def one(rep: int) -> list[tuple]:
         part = train_part(table, HELD_OUT, first_seed + rep)
         fitted = list(fit_all_targets(part.df, roles, models, by_fit, **options).values())
-        scores = [s for f in fitted if f.impurity is not None for s in impurity_importance(f)]
-        rest = [f for f in fitted if f.impurity is None]
-        if rest:
-            scores += permutation_importance(rest, part, roles, repeats, 100 + 50 * rep)
+        scores = permutation_importance(fitted, part, roles, repeats, 100 + 50 * rep)
         return [(t, f, roles.position(f), rep, s) for t, f, s in scores]
 
     if by_fit:
@@ -159,124 +163,34 @@ def importance_variance(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*keys, "target", "feature", "pos").agg(F.var_pop("score").alias("variance"))
 
 
-def tree_leaves(model) -> list[tuple[int, tuple[tuple[int, int, tuple], ...]]]:
-    """The leaves of a fitted tree in prediction order, each with its path of ``(feature, side, split)``.
+def shap_by_class(table: Indexed, targets: Sequence[str], roles: Roles, reps: int = 1, share: float = 0.25, first_seed: int = 0, **options) -> DataFrame:
+    """Rows ``(target, rep, feature, pos, code, score)``: mean signed path-dependent SHAP value (Lundberg et al. 2018).
 
-    ``split`` is ``("<=", threshold)`` or ``("in", left categories)``; ``side`` 0 is left.
+    Trees of all targets and repetitions are grown on ``1 - share`` of the rows and kept as a table. A leaf is a box with a chance
+    share for each side; blocks of rows meet blocks of leaves and add up one number per leaf and feature. ``code`` is null for a
+    continuous target.
     """
-    leaves: list = []
-
-    def walk(node, path: tuple) -> None:
-        if node.subtreeDepth() == 0:
-            leaves.append((len(leaves), path))
-            return
-        s = node.split()
-        rule = ("<=", float(s.threshold())) if hasattr(s, "threshold") else ("in", tuple(s.leftCategories()))
-        walk(node.leftChild(), (*path, (int(s.featureIndex()), 0, rule)))
-        walk(node.rightChild(), (*path, (int(s.featureIndex()), 1, rule)))
-
-    walk(model._java_obj.rootNode(), ())
-    return leaves
-
-
-def _path_weights(paths: list[tuple], cover: dict[int, float]) -> list[dict[int, float]]:
-    """Per leaf and feature: the share of rows that follow the path's splits on that feature by chance."""
-    below: dict[str, float] = {}
-    sides = ["".join(str(s) for _, s, _ in path) for _, path in paths]
-    for (leaf, _), side in zip(paths, sides):
-        for d in range(len(side) + 1):
-            below[side[:d]] = below.get(side[:d], 0.0) + cover.get(leaf, 0.0)
-    out = []
-    for (_, path), side in zip(paths, sides):
-        share: dict[int, float] = {}
-        for d, (feature, _, _) in enumerate(path):
-            total = below[side[:d]]
-            share[feature] = share.get(feature, 1.0) * (below[side[: d + 1]] / total if total else 0.0)
-        out.append(share)
-    return out
-
-
-def _leaf_effects(x: np.ndarray, path: tuple, share: dict[int, float]) -> dict[int, float]:
-    """Sum over rows of each path feature's Shapley weight for one leaf of value 1."""
-    features = list(share)
-    m = len(features)
-    follows = {f: np.ones(len(x), dtype=bool) for f in features}
-    for f, side, (kind, value) in path:
-        left = x[:, f] <= value if kind == "<=" else np.isin(x[:, f], value)
-        follows[f] &= left if side == 0 else ~left
-    out = {}
-    for j in features:
-        # by_size[k]: sum over k known features of the products of followed splits and chance shares
-        by_size = np.zeros((m, len(x)))
-        by_size[0] = 1.0
-        for f in features:
-            if f != j:
-                grown = by_size * share[f]
-                grown[1:] += by_size[:-1] * follows[f]
-                by_size = grown
-        weight = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-        out[j] = float(((follows[j] - share[j]) * (weight @ by_size)).sum())
-    return out
-
-
-def shap_by_class(table: Indexed, target: str, roles: Roles, share: float = 0.25, seed: int = 0, **options) -> DataFrame:
-    """Rows ``(target, feature, pos, code, score)``: mean signed path-dependent SHAP value (Lundberg et al. 2018).
-
-    A tree is fitted on ``1 - share`` of the rows. Rows are read once in batches; each task adds up one number per
-    leaf and feature, leaf covers and class shares come from grouped counts. ``code`` is null for a continuous target.
-    """
-    classifier, features = roles.is_categorical(target), roles.features(target)
-    part = train_part(table, share, seed)
-    fitted = FITTERS["tree"](part.df, target, features, classifier, **options)
-    paths = tree_leaves(fitted.model)
-    leaf = fitted.model.setLeafCol("_leaf").transform(assemble(part.df, features))
-    leaf = leaf.select(F.col("_leaf").cast("int").alias("leaf"), q(target).alias("y"))
-    code = F.col("y") if classifier else F.lit(None).cast("double")
-    counted = leaf.groupBy("leaf", code.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
-    rows = counted.collect()  # leaves × classes
-    cover: dict[int, float] = {}
-    for r in rows:
-        cover[r["leaf"]] = cover.get(r["leaf"], 0.0) + r["n"]
-    shares = _path_weights(paths, cover)
-
-    def effects(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int], float] = {}
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            for (leaf_no, path), z in zip(paths, shares):
-                for f, v in _leaf_effects(x, path, z).items():
-                    total[leaf_no, f] = total.get((leaf_no, f), 0.0) + v
-        yield pd.DataFrame([(k, f, v) for (k, f), v in total.items()], columns=["leaf", "pos", "effect"])
-
-    summed = (
-        part.df.select(*[q(f).alias(f"_{i}") for i, f in enumerate(features)])
-        .mapInPandas(effects, "leaf int, pos int, effect double")
-        .groupBy("leaf", "pos")
-        .agg((F.sum("effect") / part.n).alias("effect"))
-    )
-    value = (F.col("n") / F.sum("n").over(Window.partitionBy("leaf"))) if classifier else F.col("mean")
-    scored = summed.join(counted.select("leaf", "code", value.alias("value")), "leaf").groupBy("pos", "code").agg(
-        F.sum(F.col("effect") * F.col("value")).alias("score")
-    )
-    codes = counted.select("code").distinct()
-    grid = codes.select("code", F.posexplode(F.array(*[F.lit(f) for f in features])).alias("pos", "feature"))
-    joined = grid.join(
-        scored.select(F.col("pos").alias("_p"), F.col("code").alias("_c"), "score"),
-        (F.col("pos") == F.col("_p")) & F.col("code").eqNullSafe(F.col("_c")),
-        "left",
-    )
-    place = F.when(F.col("pos") >= roles.position(target), F.col("pos") + 1).otherwise(F.col("pos"))
-    return joined.select(
-        F.lit(target).alias("target"), "feature", place.alias("pos"), "code", F.coalesce("score", F.lit(0.0)).alias("score")
+    rows = replicates(table, reps, share, first_seed).where(~F.col("is_test"))
+    grown = fit_trees(rows, roles, targets, ["rep"], tree_rule("tree", **options))
+    n = table.n - test_size(table.n, share)
+    effects = shapley_sums(rows, grown, leaf_boxes(grown), n, ["rep"])
+    valued = effects.join(leaf_values(grown), [*grown.keys, "leaf"])
+    codes = leaf_values(grown).select(*grown.keys, "code").distinct()
+    scored = valued.groupBy(*grown.keys, "f", "code").agg((F.sum(F.col("effect") * F.col("value")) / n).alias("score"))
+    places = F.array(
+        *[
+            F.struct(F.lit(t).alias("_t"), F.lit(j).alias("f"), F.lit(f).alias("feature"), F.lit(roles.position(f)).alias("pos"))
+            for t in targets
+            for j, f in enumerate(roles.features(t))
+        ]
     )
+    grid = codes.select(*grown.keys, "code", F.inline(places)).where("target = _t").drop("_t")
+    same = [F.col(f"g.{k}") == F.col(f"s.{k}") for k in (*grown.keys, "f")] + [F.col("g.code").eqNullSafe(F.col("s.code"))]
+    joined = grid.alias("g").join(scored.alias("s"), same, "left")
+    return joined.select("g.target", "g.rep", "g.feature", "g.pos", "g.code", F.coalesce("s.score", F.lit(0.0)).alias("score"))
 
 
 def shap_mean_importance(table: Indexed, roles: Roles, reps: int = 5, first_seed: int = 0, targets: Sequence[str] | None = None, **options) -> DataFrame:
     """Importance rows by mean signed SHAP value, averaged over the classes of a categorical target."""
-    chosen = [(t, r) for t in (targets or roles.columns) for r in range(reps)]
-    parts = run_parallel([lambda t=t, r=r: shap_by_class(table, t, roles, 0.25, first_seed + r, **options) for t, r in chosen])
-    out = None
-    for (_, rep), part in zip(chosen, parts):
-        rows = part.groupBy("target", "feature", "pos").agg(F.avg("score").alias("score")).withColumn("rep", F.lit(rep))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("target", "feature", "pos", "rep", "score")
+    rows = shap_by_class(table, list(targets or roles.columns), roles, reps, 0.25, first_seed, **options)
+    return rows.groupBy("target", "feature", "pos", "rep").agg(F.avg("score").alias("score"))

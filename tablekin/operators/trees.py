@@ -454,7 +454,7 @@ def _walk(x: np.ndarray, nodes: pa.Table) -> np.ndarray:
 
 
 def land(rows: DataFrame, trees: Trees, per_model: int) -> DataFrame:
-    """``rows`` (keys, x0, x1, … and any others) with the leaf they end in: ``leaf``, ``label``, ``classes`` and ``counts``.
+    """``rows`` (keys, x0, x1, … and any others) with the leaf they end in: ``leaf``, ``leaf_n``, ``label``, ``classes``, ``counts``.
 
     ``per_model`` is about the number of rows of one key. Rows go down the large nodes by joins, then each subtree of a small
     node meets its rows in blocks.
@@ -475,7 +475,7 @@ def land(rows: DataFrame, trees: Trees, per_model: int) -> DataFrame:
     nodes = nodes.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     carried = [c for c in rows.columns if c not in ("_at", "_block")]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
-    found = ["node", "label", "classes", "counts"]
+    found = ["node", "n", "label", "classes", "counts"]
 
     def meet(key: tuple, some: pa.Table, subtree: pa.Table) -> pa.Table:
         if not len(some):
@@ -483,11 +483,11 @@ def land(rows: DataFrame, trees: Trees, per_model: int) -> DataFrame:
         else:
             at = _walk(np.column_stack([some.column(c).to_numpy() for c in xs]), subtree)
         ends = subtree.select(found).take(pa.array(at))
-        return pa.table([*[some.column(c) for c in carried], *ends.columns], [*carried, "leaf", *found[1:]])
+        return pa.table([*[some.column(c) for c in carried], *ends.columns], [*carried, "leaf", "leaf_n", *found[2:]])
 
     group = [*keys, "_at", "_block"]
     both = rows.groupBy(*group).cogroup(nodes.groupBy(*group))
-    return both.applyInArrow(meet, f"{schema}, leaf string, label double, classes array<double>, counts array<long>")
+    return both.applyInArrow(meet, f"{schema}, leaf string, leaf_n long, label double, classes array<double>, counts array<long>")
 
 
 def as_inputs(df: DataFrame, trees: Trees, carry: Sequence[str | Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -495,7 +495,8 @@ def as_inputs(df: DataFrame, trees: Trees, carry: Sequence[str | Column], keys:
     cells = []
     for t in trees.targets:
         xs = [q(f).cast("double").alias(f"x{j}") for j, f in enumerate(trees.roles.features(t))]
-        cells.append(F.struct(F.lit(t).alias("target"), q(t).cast("double").alias("y"), *xs))
+        y = q(t).cast("double") if t in df.columns else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(t).alias("target"), y.alias("y"), *xs))
     out = df.select(*keys, *carry, F.inline(F.array(*cells)))
     if trees.rule.trees:
         out = out.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees.rule.trees - 1))))
@@ -529,3 +530,117 @@ def predict(df: DataFrame, trees: Trees, per_model: int, carry: Sequence[str], k
     best = F.max(F.struct("votes", (-F.col("classes")).alias("c"), "label")).alias("best")
     value = F.when(classifier, -F.col("best.c")).otherwise(in_units(trees, F.col("best.label")))
     return votes.groupBy(*model, *carry, "y").agg(best).select(*model, *carry, "y", value.alias("prediction"))
+
+
+def add_prediction(df: DataFrame, trees: Trees) -> DataFrame:
+    """``df`` with the ``prediction`` of the trees of one target."""
+    names = {c: f"_c{k}" for k, c in enumerate(df.columns)}
+    if trees.rule.trees:  # votes are added up by row, so rows need a number that stays
+        df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    own = [q(c).alias(n) for c, n in names.items()]
+    plain = df.select("*", *own)
+    carry = [*(["_row"] if trees.rule.trees else []), *names.values()]
+    found = predict(plain, trees, df.count(), carry)
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()], "prediction")
+
+
+# ---------------------------------------------------------------- Shapley values
+
+
+def leaf_boxes(trees: Trees) -> DataFrame:
+    """``(keys…, leaf, low, high, share)``: arrays over the features with the leaf's box ``low < x <= high`` and, for rows that are
+    sent left or right by chance, the share that follows the leaf's path at the splits on each feature."""
+    keys = list(trees.keys)
+    split = trees.nodes.where("feature IS NOT NULL").select(*keys, F.col("node").alias("up"), "feature", "threshold", F.col("n").alias("above"))
+    sizes = trees.nodes.select(*keys, F.col("node").alias("step"), "n")
+    leaves = trees.nodes.where("feature IS NULL").select(*keys, F.col("node").alias("leaf"))
+    steps = leaves.select(*keys, "leaf", F.explode(F.sequence(F.lit(0), F.length("leaf"))).alias("d")).where("d > 0")
+    steps = steps.select(*keys, "leaf", F.expr("left(leaf, d)").alias("step"), F.expr("left(leaf, d - 1)").alias("up"))
+    steps = steps.join(split, [*keys, "up"]).join(sizes, [*keys, "step"])
+    goes_left = F.expr("right(step, 1)") == "0"
+    inf = float("inf")
+    sides = steps.groupBy(*keys, "leaf", "feature").agg(
+        F.coalesce(F.max(F.when(~goes_left, F.col("threshold"))), F.lit(-inf)).alias("low"),
+        F.coalesce(F.min(F.when(goes_left, F.col("threshold"))), F.lit(inf)).alias("high"),
+        F.array_sort(F.collect_list(F.struct("step", (F.col("n") / F.col("above")).alias("r")))).alias("r"),  # as many as the path is deep
+    )
+    product = F.aggregate("r", F.lit(1.0), lambda a, s: a * s["r"])
+    by_feature = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("low", "high", product.alias("share")))))
+    free = F.struct(F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.lit(1.0).alias("share"))
+    boxes = leaves.join(sides.groupBy(*keys, "leaf").agg(by_feature.alias("box")), [*keys, "leaf"], "left")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(trees.width - 1)), lambda f: F.coalesce(F.try_element_at("box", f), free))
+    return boxes.select(*keys, "leaf", cells.alias("cells")).select(*keys, "leaf", *[F.col(f"cells.{c}").alias(c) for c in ("low", "high", "share")])
+
+
+def leaf_values(trees: Trees) -> DataFrame:
+    """``(keys…, leaf, code, value)``: the share of each class at a leaf, or its mean with a null code; zeros are left out."""
+    leaves = trees.nodes.where("feature IS NULL").withColumnRenamed("node", "leaf")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    shares = leaves.where("classes IS NOT NULL").withColumn("n", total).select(*trees.keys, "leaf", "n", F.inline(F.arrays_zip("classes", "counts")))
+    shares = shares.select(*trees.keys, "leaf", F.col("classes").alias("code"), (F.col("counts") / F.col("n")).alias("value"))
+    means = leaves.where("classes IS NULL").select(*trees.keys, "leaf", F.lit(None).cast("double").alias("code"), in_units(trees, F.col("label")).alias("value"))
+    return shares.union(means)
+
+
+def shapley_effects(x: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Sum over the rows of ``x`` of each feature's Shapley weight for each leaf (leaves x features).
+
+    The product over the features of (share + t * follows) is extended feature by feature, and unwound by each feature in turn.
+    Features that are not on a leaf's path have share and follows 1 and change nothing.
+    """
+    width = x.shape[1]
+    follows = (x[:, None, :] > low) & (x[:, None, :] <= high)
+    terms = np.zeros((width + 1, *follows.shape[:2]))
+    terms[0] = 1.0
+    for f in range(width):
+        shifted = terms[:-1] * follows[:, :, f]
+        terms *= share[:, f]
+        terms[1:] += shifted
+    weight = [math.factorial(k) * math.factorial(width - k - 1) / math.factorial(width) for k in range(width)]
+    out = np.empty((len(low), width))
+    for f in range(width):
+        z, on = share[:, f], follows[:, :, f]
+        carried, total_on, total_off = terms[width], 0.0, 0.0
+        for k in range(width - 1, -1, -1):
+            total_on = total_on + weight[k] * carried
+            total_off = total_off + weight[k] * terms[k]
+            carried = terms[k] - z * carried
+        out[:, f] = np.where(on, (1.0 - z) * total_on, -total_off).sum(0)
+    return out
+
+
+ROW_BLOCK, LEAF_BLOCK = 256, 1024
+
+
+def shapley_sums(df: DataFrame, trees: Trees, boxes: DataFrame, per_model: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, leaf, f, effect)``: sums over the rows of each model of the Shapley weight of a feature at a leaf.
+
+    Every block of a model's rows meets every block of its leaves.
+    """
+    own, xs = list(trees.keys), [f"x{j}" for j in range(trees.width)]
+    row_blocks = -(-max(per_model, 1) // (ROW_BLOCK * 64))
+    n_leaves = boxes.groupBy(*own).agg(F.count(F.lit(1)).alias("_leaves"))
+    most = n_leaves.agg(F.max("_leaves")).first()[0] or 1
+    leaf_blocks = -(-most // LEAF_BLOCK)
+    rows = as_inputs(df, trees, [], keys).select(*own, *xs, F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).cast("int").alias("_r"))
+    rows = rows.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(leaf_blocks - 1))))
+    leaves = boxes.withColumn("_l", F.pmod(F.xxhash64("leaf"), F.lit(leaf_blocks)).cast("int"))
+    leaves = leaves.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in own)
+
+    def meet(key: tuple, some: pa.Table, there: pa.Table) -> pa.Table:
+        n = len(there)
+        total = np.zeros((n, len(xs)))
+        if n and len(some):
+            x = np.column_stack([some.column(c).to_numpy() for c in xs])
+            low, high, share = (np.array(there.column(c).to_pylist(), float).reshape(n, -1) for c in ("low", "high", "share"))
+            for at in range(0, len(x), ROW_BLOCK):
+                total += shapley_effects(x[at : at + ROW_BLOCK], low, high, share)
+        rows_ = n * len(xs)
+        columns = [pa.array([k.as_py()] * rows_, k.type) for k in key[: len(own)]]
+        leaf = there.column("leaf").combine_chunks().take(pa.array(np.repeat(np.arange(n), len(xs))))
+        return pa.table([*columns, leaf, pa.array(np.tile(np.arange(len(xs), dtype=np.int32), n)), pa.array(total.ravel())], [*own, "leaf", "f", "effect"])
+
+    group = [*own, "_r", "_l"]
+    met = rows.groupBy(*group).cogroup(leaves.groupBy(*group)).applyInArrow(meet, f"{schema}, leaf string, f int, effect double")
+    return met.groupBy(*own, "leaf", "f").agg(F.sum("effect").alias("effect"))

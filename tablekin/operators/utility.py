@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from ..roles import Roles
 from .clean import q
-from .estimators import fit_all_targets, run_parallel
+from .estimators import TREES, fit_all_targets, run_parallel, tree_rule
 from .index import Indexed, holdout_split
 from .linear import SOLVERS, column_means, errors_from_sums, product_sums
+from .trees import Trees, fit_trees, predict
 
 HELD_OUT = 0.2
 
@@ -66,6 +67,18 @@ def linear_utility(
     return _rows(scored, keys, F.lit(False))
 
 
+def tree_scores(held: DataFrame, other: DataFrame, model: Trees, roles: Roles, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(keys…, target, own, other)``: scores of trees on the rows held out and on another table, both with ``idx``."""
+    columns = [*keys, "idx", *map(q, roles.columns)]
+    rows = held.select(F.lit(True).alias("_own"), *columns).unionByName(other.select(F.lit(False).alias("_own"), *columns))
+    scored = predict(rows, model, n, ["_own", "idx"], keys)
+    right = F.when(F.col("y") == F.col("prediction"), 1.0).otherwise(0.0)
+    value = F.when(F.col("target").isin(*roles.categorical), right) if roles.categorical else F.when(F.lit(False), 0.0)
+    value = value.otherwise(F.pow(F.col("prediction") - F.col("y"), 2))
+    of = lambda own: F.avg(F.when(F.col("_own") == own, value))
+    return scored.groupBy(*keys, "target").agg(of(True).alias("own"), of(False).alias("other"))
+
+
 def utility_one_direction(
     x: Indexed,
     y: DataFrame,
@@ -84,12 +97,18 @@ def utility_one_direction(
     columns = list(roles.columns)
     train, held = split.where(~F.col("is_test")), split.where("is_test")
     by_moments = [t for t in columns if not roles.is_categorical(t)] if models[1] in SOLVERS else []
-    by_fit = [t for t in columns if t not in by_moments]
+    by_trees = {m: [t for t in columns if models[0 if roles.is_categorical(t) else 1] == m] for m in TREES}
+    by_fit = [t for t in columns if t not in by_moments and not any(t in g for g in by_trees.values())]
     parts = []
     if by_moments:
         shift = column_means(x.df, columns)
         sums = product_sums(split, columns, ["is_test"], shift)
         parts.append(linear_utility(sums, product_sums(y, columns, (), shift), roles, by_moments, shift, (), models[1]))
+    for name, grown in by_trees.items():
+        if grown:
+            model = fit_trees(train, roles, grown, rule=tree_rule(name, **options))
+            scored = tree_scores(held, y, model, roles, x.n)
+            parts.append(_rows(scored, (), F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)))
     if by_fit:
         rows = held.select(F.lit(True).alias("_own"), *map(q, columns)).unionByName(y.select(F.lit(False).alias("_own"), *map(q, columns)))
         cells = []

@@ -69,14 +69,6 @@ def compare_datasets_query(spark, sf):
     return scores.unionByName(cc).withColumn("value", rnd("value", 5))
 
 
-@query("compare_datasets_tree")
-def compare_datasets_tree(spark, sf):
-    """The published pairing: trees rank the features, a tree and least squares measure utility."""
-    docs = coded_docs(spark, sf)
-    scores, cross = compare_datasets(docs, shuffled(docs, ["n_chars", "toxic"]), DOCS, ("tree", "tree"), reps=COMPARE_REPS)
-    return summary(scores, cross)
-
-
 # ---------------------------------------------------------------- shuffle trials
 
 RUNS, REPS, INNER = 6, 10, 10
@@ -174,12 +166,6 @@ def repetition_sweep_query(spark, sf):
     return means.join(variances, ["n_reps", "run", "metric"])
 
 
-@query("method_sweep")
-def method_sweep_query(spark, sf):
-    """All six methods on labelled documents, with and without one shuffled column."""
-    return method_sweep(coded_docs(spark, sf), DOCS, max_columns=1, reps=1, inner_reps=1, repeats=2, trees=20, max_depth=10)
-
-
 # ---------------------------------------------------------------- synthetic tables
 
 
@@ -187,16 +173,6 @@ def _as_indexed(df, n):
     return Indexed(df.withColumnRenamed("_id", "idx"), n)
 
 
-@query("sequential_cart_synthesis")
-def sequential_cart_synthesis(spark, sf):
-    return synth.sequential_cart_synthesis(coded_parts(spark, sf), PARTS).drop("_id")
-
-
-@query("resize_synthesis")
-def resize_synthesis(spark, sf):
-    return synth.resize_synthesis(coded_docs(spark, sf), DOCS, 1000).drop("_id")
-
-
 def _independent(table, columns):
     """Each column shuffled on its own, with donors from the original table."""
     out = table.df.select("idx")

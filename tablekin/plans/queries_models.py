@@ -36,16 +36,6 @@ def training_scores(table, roles, models, targets=None, **options):
     return out
 
 
-@query("tree_per_target")
-def tree_per_target(spark, sf):
-    return training_scores(coded_docs(spark, sf), DOCS, ("tree", "tree"))
-
-
-@query("forest_per_target")
-def forest_per_target(spark, sf):
-    return training_scores(coded_docs(spark, sf), DOCS, ("forest", "forest"), trees=100, max_depth=30)
-
-
 @query("logistic_per_target")
 def logistic_per_target(spark, sf):
     return training_scores(coded_docs(spark, sf), DOCS, ("logistic", "linear"), list(DOCS.categorical))
@@ -191,12 +181,6 @@ def linear_reps_sql(name: str, source: str, columns, targets, reps: int) -> tupl
     return ctes, " UNION ALL ".join(selects)
 
 
-@query("impurity_importance")
-def impurity_importance(spark, sf):
-    docs = coded_docs(spark, sf)
-    return importance.importance(docs, DOCS, ("tree", "tree"), reps=REPS)
-
-
 def _nb_query(source: str, roles, reps: int, repeats: int) -> str:
     ctes, selects = [], []
     for r in range(reps):
@@ -254,11 +238,6 @@ def importance_variance(spark, sf):
     return importance.importance_variance(_linear_rows(spark, sf)).withColumn("variance", rnd("variance", 6))
 
 
-@query("shap_mean_importance")
-def shap_mean_importance(spark, sf):
-    return importance.shap_mean_importance(coded_docs(spark, sf), DOCS, reps=REPS, max_depth=6)
-
-
 # ---------------------------------------------------------------- rank measures
 
 
@@ -404,15 +383,6 @@ def utility_both_directions(spark, sf):
     return _round_utility(both_directions(spark, sf))
 
 
-@query("utility_both_directions_tree")
-def utility_both_directions_tree(spark, sf):
-    """The published pairing, a tree and least squares, on labelled documents and a shuffled copy."""
-    from .bindings import shuffled
-
-    docs = coded_docs(spark, sf)
-    return utility.utility_both_directions(docs, shuffled(docs, ["n_chars", "toxic"]), DOCS)
-
-
 @query(
     "cross_aggregate",
     f"WITH RECURSIVE {BOTH_SQL} SELECT target, round(cc_reference, 5) AS cc_reference, round(cc_ratio, 5) AS cc_ratio FROM cross_cc",
