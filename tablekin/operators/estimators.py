@@ -54,8 +54,8 @@ def _ml(estimator, df: DataFrame, target: str, features: Sequence[str], prepare=
 _COLUMNS = dict(featuresCol="_x", labelCol="_label")
 
 
-def tree_rule(name: str, *, max_depth=None, min_leaf=1, trees=100, seed=42, **_) -> Rule:
-    return Rule(max_depth, min_leaf, trees if name == "forest" else 0, seed, name == "forest")
+def tree_rule(name: str, *, max_depth=None, min_leaf=1, trees=100, seed=42, draw=(), **_) -> Rule:
+    return Rule(max_depth, min_leaf, trees if name == "forest" else 0, seed, name == "forest", tuple(draw))
 
 
 def fit_exact_trees(df: DataFrame, roles: Roles, targets: Sequence[str], name: str, **options) -> dict[str, Fitted]:

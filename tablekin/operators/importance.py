@@ -139,7 +139,7 @@ def importance(
     for name, grown in by_trees.items():
         if grown:
             kept = replicates(table, reps, HELD_OUT, first_seed).where(~F.col("is_test"))
-            rows = importance_by_trees(kept, roles, grown, name, ["rep"], **options)
+            rows = importance_by_trees(kept, roles, grown, name, ["rep"], draw=["rep"], **options)
             parts.append(rows.select("target", "feature", "pos", "rep", "score"))
 
     def one(rep: int) -> list[tuple]:

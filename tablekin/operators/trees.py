@@ -45,6 +45,7 @@ class Rule:
     trees: int = 0
     seed: int = 42
     subset: bool = False  # classifiers try the root of the number of features
+    draw: tuple[str, ...] = ()  # key columns that change a forest's draws, so that equal tables give equal forests
 
     def tried(self, width: int, classifier: bool) -> int:
         return max(1, math.isqrt(width)) if self.subset and classifier else width
@@ -145,7 +146,7 @@ def samples(df: DataFrame, roles: Roles, targets: Sequence[str], scales, keys: S
     source = df
     if rule.trees:
         source = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(rule.trees - 1))))
-        source = source.withColumn("_u", _uniform(row, "tree", F.lit(rule.seed))).withColumn("w", drawn_weight("_u")).where("w > 0")
+        source = source.withColumn("_u", _uniform(row, "tree", *rule.draw, F.lit(rule.seed))).withColumn("w", drawn_weight("_u")).where("w > 0")
     else:
         source = df.withColumn("w", F.lit(1).cast("long"))
     more = ["tree"] if rule.trees else []
@@ -155,6 +156,11 @@ def samples(df: DataFrame, roles: Roles, targets: Sequence[str], scales, keys: S
 # ---------------------------------------------------------------- small nodes: one task
 
 
+def draw_keys(keys: Sequence[str], rule: Rule) -> list[str]:
+    """The key columns that a forest's draws depend on."""
+    return [k for k in keys if k in ("target", "tree", *rule.draw)]
+
+
 def feature_order(key: str, node: str, features: Sequence[int], seed: int) -> list[int]:
     """The features in the order in which a node of a forest draws them."""
     return sorted(features, key=lambda f: hashlib.md5(f"{key}|{node}|{f}|{seed}".encode()).hexdigest())
@@ -288,11 +294,13 @@ def _grow_groups(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], rule:
     names = [f.split()[0] for f in NODE.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
 
+    drawn = draw_keys(keys, rule)
+
     def grow(key: tuple, group: pa.Table) -> pa.Table:
         *own, root = key
         column = lambda c: group.column(c).to_numpy()
         x = np.column_stack([column(c) for c in xs])
-        text = "|".join(str(k.as_py()) for k in own)
+        text = "|".join(str(k.as_py()) for k, name in zip(own, keys) if name in drawn)
         found = grow_small(x, column("y"), column("s"), column("w"), group.column("cls")[0].as_py(), group.column("tried")[0].as_py(), text, root.as_py(), rule)
         columns = [pa.array([k.as_py()] * len(found), k.type) for k in own]
         return pa.table([*columns, *[pa.array(list(v), t) for v, t in zip(zip(*found), kinds)]], [*keys, *names])
@@ -327,7 +335,7 @@ def _split_level(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], rule:
     upto = running_sums(steps, [*at, "f"], ["v"], ["k", "d", "m", "s", "r"]).select(*at, "f", "v", *[f"{c}_upto" for c in "kdmsr"])
     varied = counted.groupBy(*at, "f").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most").drop("least", "most")
     if rule.subset:
-        digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "node", F.col("f").cast("string"), F.lit(str(rule.seed))))
+        digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in draw_keys(keys, rule)], "node", F.col("f").cast("string"), F.lit(str(rule.seed))))
         turn = F.row_number().over(Window.partitionBy(*at).orderBy(digest))  # a node has as many rows here as there are features
         varied = varied.withColumn("turn", turn).join(whole.select(*at, "tried"), at).where("turn <= tried").drop("turn", "tried")
     n_left, n_right = F.col("k_upto"), F.col("n") - F.col("k_upto")

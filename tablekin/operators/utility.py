@@ -27,7 +27,7 @@ def mse(y: Column, prediction: Column) -> Column:
     return F.avg(F.pow(prediction - y, 2))
 
 
-def _rows(scored: DataFrame, keys: Sequence[str], higher_is_better: Column) -> DataFrame:
+def utility_rows(scored: DataFrame, keys: Sequence[str], higher_is_better: Column) -> DataFrame:
     return scored.select(
         *keys,
         "target",
@@ -64,18 +64,24 @@ def linear_utility(
     own = errors_from_sums(fit, train.where("is_test").drop("is_test"), columns, targets, shift, keys, solver)
     far = errors_from_sums(fit, other, columns, targets, shift, keys, solver)
     scored = own.withColumnRenamed("mse", "own").join(far.withColumnRenamed("mse", "other"), [*keys, "target"])
-    return _rows(scored, keys, F.lit(False))
+    return utility_rows(scored, keys, F.lit(False))
+
+
+def tree_scores_by(rows: DataFrame, model: Trees, roles: Roles, n: int, by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(keys…, by…, target, score)``: accuracy or squared error of trees on rows with ``idx``, for each value of ``by``."""
+    scored = predict(rows, model, n, [*by, "idx"], keys)
+    right = F.when(F.col("y") == F.col("prediction"), 1.0).otherwise(0.0)
+    value = F.when(F.col("target").isin(*roles.categorical), right) if roles.categorical else F.when(F.lit(False), 0.0)
+    value = value.otherwise(F.pow(F.col("prediction") - F.col("y"), 2))
+    return scored.groupBy(*keys, *by, "target").agg(F.avg(value).alias("score"))
 
 
 def tree_scores(held: DataFrame, other: DataFrame, model: Trees, roles: Roles, n: int, keys: Sequence[str] = ()) -> DataFrame:
     """Rows ``(keys…, target, own, other)``: scores of trees on the rows held out and on another table, both with ``idx``."""
     columns = [*keys, "idx", *map(q, roles.columns)]
     rows = held.select(F.lit(True).alias("_own"), *columns).unionByName(other.select(F.lit(False).alias("_own"), *columns))
-    scored = predict(rows, model, n, ["_own", "idx"], keys)
-    right = F.when(F.col("y") == F.col("prediction"), 1.0).otherwise(0.0)
-    value = F.when(F.col("target").isin(*roles.categorical), right) if roles.categorical else F.when(F.lit(False), 0.0)
-    value = value.otherwise(F.pow(F.col("prediction") - F.col("y"), 2))
-    of = lambda own: F.avg(F.when(F.col("_own") == own, value))
+    scored = tree_scores_by(rows, model, roles, n, ["_own"], keys)
+    of = lambda own: F.max(F.when(F.col("_own") == own, F.col("score")))
     return scored.groupBy(*keys, "target").agg(of(True).alias("own"), of(False).alias("other"))
 
 
@@ -108,7 +114,7 @@ def utility_one_direction(
         if grown:
             model = fit_trees(train, roles, grown, rule=tree_rule(name, **options))
             scored = tree_scores(held, y, model, roles, x.n)
-            parts.append(_rows(scored, (), F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)))
+            parts.append(utility_rows(scored, (), F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)))
     if by_fit:
         rows = held.select(F.lit(True).alias("_own"), *map(q, columns)).unionByName(y.select(F.lit(False).alias("_own"), *map(q, columns)))
         cells = []
@@ -119,7 +125,7 @@ def utility_one_direction(
             cells.append(F.struct(F.lit(target).alias("target"), of(True).alias("own"), of(False).alias("other")))
         wide = rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
         better = F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)
-        parts.append(_rows(wide, (), better))
+        parts.append(utility_rows(wide, (), better))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import q
 from ..operators.encode import apply_dictionary, fit_dictionary
-from ..operators.estimators import METHODS, run_parallel
-from ..operators.importance import importance, importance_by_moments, importance_mean
-from ..operators.index import Indexed, column_shuffle_sweep, permuted, sample_columns, shuffle_columns, sweep_seed, test_size
+from ..operators.estimators import METHODS, TREES, run_parallel, tree_rule
+from ..operators.importance import HELD_OUT as IMPORTANCE_HELD_OUT
+from ..operators.importance import importance, importance_by_moments, importance_by_trees, importance_mean
+from ..operators.index import (
+    Indexed, column_shuffle_sweep, holdout_split, permuted, replicates, sample_columns, shuffle_columns, sweep_seed, test_size,
+)
 from ..operators.linear import SOLVERS, column_means, product_sums
 from ..operators.rank import compare_importances, long_scores, pair_scores, score_aggregate, score_ranks
-from ..operators.utility import HELD_OUT, cross_aggregate, linear_utility, utility_both_directions
+from ..operators.trees import fit_trees
+from ..operators.utility import HELD_OUT, cross_aggregate, linear_utility, tree_scores, tree_scores_by, utility_both_directions, utility_rows
 from ..roles import Roles
 from ..session import materialize
 
@@ -81,7 +85,7 @@ def shuffle_trial(
     """Compare the table with copies in which 0 … ``max_columns`` columns are shuffled, ``reps`` times each.
 
     Scores and cross rows are tagged ``(run, rep)``; every repetition is kept. Tables of continuous columns with
-    linear models take the whole trial in a few passes; other models fit table by table.
+    linear models take the whole trial in a few passes; trees of all copies are grown in one job; other models fit table by table.
     """
     if isinstance(models, str):
         models = METHODS[models]
@@ -89,6 +93,9 @@ def shuffle_trial(
     if not roles.categorical and models[1] in SOLVERS and cross_models[1] in SOLVERS:
         return _linear_trial(table, roles, models[1], cross_models[1], max_columns, reps, inner)
     base, _ = encode_pair(table, table, roles)
+    kinds = {m[0 if roles.is_categorical(c) else 1] for m in (models, cross_models) for c in roles.columns}
+    if kinds <= {*TREES, *SOLVERS}:
+        return _grouped_trial(base, roles, models, cross_models, max_columns, reps, inner, **options)
     original = materialize(mean_importances(base, roles, models, inner, repeats, **options), "importance")
 
     def one(run: int, rep: int) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +112,86 @@ def shuffle_trial(
     return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, cross)
 
 
+def _grouped_trial(table: Indexed, roles: Roles, models, cross_models, max_columns: int, reps: int, inner: int, **options):
+    """Trees, forests and linear models of all shuffled copies at once, told apart by ``(run, rep)``; the copies are written once."""
+    columns, keys = list(roles.columns), ["run", "rep"]
+    base = Indexed(table.df.select("idx", *map(q, columns)), table.n)
+    sweep = Indexed(materialize(column_shuffle_sweep(base, columns, max_columns, reps), "sweep"), table.n)
+    tags = [(k, r) for k in range(max_columns + 1) for r in range(reps)]
+    a, b = run_parallel(
+        [
+            lambda: mean_importances(base, roles, models, inner, 0, **options),
+            lambda: importance_mean(_grouped_importance(sweep, roles, models, inner, keys, **options), keys),
+        ]
+    )
+    a_tagged = _with_tags(a, tags)
+    scores = compare_importances(a_tagged, materialize(b, "importance"), keys)
+    by_moments = [t for t in columns if _model_of(cross_models, roles, t) in SOLVERS]
+    parts = []
+    if by_moments:
+        parts.append(_linear_cross(base, sweep, roles, by_moments, cross_models[1], keys))
+    for name in TREES:
+        if grown := [t for t in columns if _model_of(cross_models, roles, t) == name]:
+            parts.append(_tree_cross(base, sweep, roles, grown, name, tags, keys, **options))
+    return scores, materialize(reduce(DataFrame.unionByName, parts), "cross")
+
+
+def _model_of(models: tuple[str, str], roles: Roles, target: str) -> str:
+    return models[0 if roles.is_categorical(target) else 1]
+
+
+def _with_tags(rows: DataFrame, tags: Sequence[tuple[int, int]]) -> DataFrame:
+    """Every row once for each copy."""
+    cells = F.array(*[F.struct(F.lit(k).alias("run"), F.lit(r).alias("rep")) for k, r in tags])
+    return rows.select("*", F.inline(cells))
+
+
+def _grouped_importance(sweep: Indexed, roles: Roles, models, inner: int, keys: Sequence[str], **options) -> DataFrame:
+    parts = []
+    for name in (*SOLVERS, *TREES):
+        if not (chosen := [t for t in roles.columns if _model_of(models, roles, t) == name]):
+            continue
+        if name in SOLVERS:
+            rows = importance_by_moments(sweep.df, sweep.n, roles, chosen, name, inner, 0, keys, "inner")
+        else:
+            kept = replicates(sweep, inner, IMPORTANCE_HELD_OUT, 0, "inner").where(~F.col("is_test"))
+            rows = importance_by_trees(kept, roles, chosen, name, [*keys, "inner"], draw=["inner"], **options)
+        parts.append(rows.select(*keys, "target", "feature", "pos", "inner", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _name_sides(forth: DataFrame, back: DataFrame) -> DataFrame:
+    name = lambda d, x, y: d.select(F.lit(x).alias("train_side"), F.lit(y).alias("test_side"), "*")
+    return name(forth, "a", "b").unionByName(name(back, "b", "a"))
+
+
+def _linear_cross(base: Indexed, sweep: Indexed, roles: Roles, targets: Sequence[str], solver: str, keys: Sequence[str]) -> DataFrame:
+    columns = list(roles.columns)
+    shift = column_means(base.df, columns)
+    is_test = (permuted(F.col("idx"), 42, base.n) < test_size(base.n, HELD_OUT)).alias("is_test")
+    by_split = lambda d, k: materialize(product_sums(d.select(*k, is_test, *map(q, columns)), columns, [*k, "is_test"], shift), "sums")
+    of_a, of_b = by_split(base.df, []), by_split(sweep.df, keys)
+    tags = of_b.select(*keys).distinct()
+    forth = linear_utility(_attach(tags, of_a), _add_sums(of_b, keys), roles, targets, shift, keys, solver)
+    back = linear_utility(of_b, _attach(tags, _add_sums(of_a, [])), roles, targets, shift, keys, solver)
+    return _name_sides(forth, back)
+
+
+def _tree_cross(base: Indexed, sweep: Indexed, roles: Roles, targets: Sequence[str], name: str, tags, keys: Sequence[str], **options) -> DataFrame:
+    rule = tree_rule(name, **options)
+    split_a, split_b = holdout_split(base, HELD_OUT), holdout_split(sweep, HELD_OUT)
+    part = lambda d, flag: d.where(F.col("is_test") == flag).drop("is_test")
+    on_a = fit_trees(part(split_a, False), roles, targets, rule=rule)
+    on_b = fit_trees(part(split_b, False), roles, targets, keys, rule)
+    # the original's own score is the same for every copy; its trees meet the rows of all copies under one key
+    own = tree_scores(part(split_a, True), part(split_a, True).limit(0), on_a, roles, base.n).select("target", "own")
+    far = tree_scores_by(sweep.df, on_a, roles, base.n * len(tags), keys).withColumnRenamed("score", "other")
+    forth = far.join(F.broadcast(own), "target")
+    back = tree_scores(part(split_b, True), _with_tags(base.df, tags), on_b, roles, base.n, keys)
+    better = F.col("target").isin(*roles.categorical) if roles.categorical else F.lit(False)
+    return _name_sides(utility_rows(forth, keys, better), utility_rows(back, keys, better))
+
+
 def _linear_trial(table: Indexed, roles: Roles, solver: str, cross_solver: str, max_columns: int, reps: int, inner: int):
     """The shuffled copies pass by twice, for the sums of their split parts and of the rows held out; only sums are written."""
     columns, keys = list(roles.columns), ["run", "rep"]

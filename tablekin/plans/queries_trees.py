@@ -8,7 +8,7 @@ from ..operators import importance, synth, trees, utility
 from ..operators.estimators import tree_rule
 from ..operators.index import Indexed, row_index
 from ..roles import Roles
-from .bindings import PARTS, PARTS_SQL, coded_parts, measures_sql, part_rows, permuted_sql, rnd, rounded, shuffled, shuffled_sql
+from .bindings import DOCS, PARTS, PARTS_SQL, coded_docs, coded_parts, measures_sql, part_rows, permuted_sql, rnd, rounded, shuffled, shuffled_sql
 from .experiment import compare_datasets, method_sweep, summary
 from .queries_models import REPS, both_sql, utility_ctes
 from .registry import query
@@ -216,6 +216,12 @@ def compare_datasets_tree(spark, sf):
     return summary(scores, cross).select("metric", rnd("value", 5).alias("value"))
 
 
+@query("method_sweep")
+def method_sweep_query(spark, sf):
+    """All six methods on labelled documents, with and without one shuffled column; forests of 100 full trees."""
+    return method_sweep(coded_docs(spark, sf), DOCS, max_columns=1, reps=1, inner_reps=1, repeats=2)
+
+
 # ---------------------------------------------------------------- synthetic tables
 
 
