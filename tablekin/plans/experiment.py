@@ -16,8 +16,9 @@ from ..operators.importance import importance, importance_by_moments, importance
 from ..operators.index import (
     Indexed, column_shuffle_sweep, holdout_split, permuted, replicates, sample_columns, shuffle_columns, sweep_seed, test_size,
 )
-from ..operators.linear import SOLVERS, column_means, product_sums
+from ..operators.linear import SOLVERS, column_means, fit_from_sums, product_sums, subtract_sums
 from ..operators.rank import compare_importances, long_scores, pair_scores, score_aggregate, score_ranks
+from ..operators.rotate import ALL, TEST, shuffled_sums
 from ..operators.trees import fit_trees
 from ..operators.utility import HELD_OUT, cross_aggregate, linear_utility, tree_scores, tree_scores_by, utility_both_directions, utility_rows
 from ..roles import Roles
@@ -193,27 +194,27 @@ def _tree_cross(base: Indexed, sweep: Indexed, roles: Roles, targets: Sequence[s
 
 
 def _linear_trial(table: Indexed, roles: Roles, solver: str, cross_solver: str, max_columns: int, reps: int, inner: int):
-    """The shuffled copies pass by twice, for the sums of their split parts and of the rows held out; only sums are written."""
+    """One pass gives the sums of all copies and their parts; everything else follows from those, and no copy is made.
+
+    Run 0 moves nothing, so its sums are the table's own.
+    """
     columns, keys = list(roles.columns), ["run", "rep"]
     shift = column_means(table.df, columns)
-    sweep = column_shuffle_sweep(Indexed(table.df.select("idx", *map(q, columns)), table.n), columns, max_columns, reps)
-    held = test_size(table.n, HELD_OUT)
-    is_test = (permuted(F.col("idx"), 42, table.n) < held).alias("is_test")
-    by_split = lambda d, k: product_sums(d.select(*k, is_test, *map(q, columns)), columns, [*k, "is_test"], shift)
-    of_a = materialize(by_split(table.df, []), "sums")
-    of_b = materialize(by_split(sweep, keys), "sums")
-    means = lambda d, of, k: importance_mean(
-        importance_by_moments(d, table.n, roles, columns, solver, inner, 0, k, "inner", shift, _add_sums(of, k)), k
-    )
-    a, b = means(table.df, of_a, []), materialize(means(sweep, of_b, keys), "importance")
-    tags = b.select(*keys).distinct()
-    a_tagged = a.join(b.select(*keys, "target", "feature"), ["target", "feature"])
-    scores = compare_importances(a_tagged, b, keys)
-
-    forth = linear_utility(_attach(tags, of_a), _add_sums(of_b, keys), roles, columns, shift, keys, cross_solver)
-    back = linear_utility(of_b, _attach(tags, _add_sums(of_a, [])), roles, columns, shift, keys, cross_solver)
-    name = lambda d, x, y: d.select(F.lit(x).alias("train_side"), F.lit(y).alias("test_side"), "*")
-    return scores, name(forth, "a", "b").unionByName(name(back, "b", "a"))
+    sums = materialize(shuffled_sums(table, columns, max_columns, reps, inner, shift, HELD_OUT, IMPORTANCE_HELD_OUT), "sums")
+    part = lambda p: sums.where(F.col("part") == p).drop("part")
+    whole, test, held = part(ALL), part(TEST), sums.where("part >= 0").withColumnRenamed("part", "inner")
+    fitted = fit_from_sums(subtract_sums(whole, held, keys), columns, columns, shift, [*keys, "inner"], solver)
+    b = materialize(importance_mean(fitted.select(*keys, "target", "feature", "pos", "inner", "score"), keys), "importance")
+    tags = whole.select(*keys)
+    a = b.where("run = 0 AND rep = 0").drop(*keys)
+    scores = compare_importances(a.join(b.select(*keys, "target", "feature"), ["target", "feature"]), b, keys)
+
+    flag = lambda d, f: d.select(*keys, F.lit(f).alias("is_test"), "n", "s", "p")
+    of_b = flag(subtract_sums(whole, test, keys), False).unionByName(flag(test, True))
+    first = lambda d: d.where("run = 0 AND rep = 0").drop(*keys)
+    forth = linear_utility(_attach(tags, first(of_b)), whole, roles, columns, shift, keys, cross_solver)
+    back = linear_utility(of_b, _attach(tags, first(whole)), roles, columns, shift, keys, cross_solver)
+    return scores, _name_sides(forth, back)
 
 
 def _attach(tags: DataFrame, sums: DataFrame) -> DataFrame:

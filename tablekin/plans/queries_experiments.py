@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, report, synth
+from ..operators import index, report, rotate, synth
 from ..operators.index import Indexed
 from ..session import materialize
 from .bindings import (
@@ -16,7 +16,6 @@ from .experiment import (
     compare_datasets, generator_sweep, last_repetition, method_sweep, multi_dataset_ratio, repetition_sweep, shuffle_trial,
     summary, trial_mean,
 )
-from .queries_data import _sweep_sql
 from .queries_models import FAST, both_sql, linear_reps_sql, nb_importance_sql, utility_ctes
 from .registry import query
 
@@ -75,6 +74,26 @@ RUNS, REPS, INNER = 6, 10, 10
 _P = SHAPES.columns
 
 
+def rotated_sql(idx: str, n: str, seed: int) -> str:
+    """Row whose values row ``idx`` takes: a step along its block, around the end."""
+    m = f"CAST(ceil({n} / {float(rotate.BLOCK)}) AS BIGINT)"
+    start = lambda b: f"(({b}) * {n} + {m} - 1) // {m}"
+    block = f"({idx} * {m} // {n})"
+    first, size = start(block), f"({start(f'{block} + 1')} - {start(block)})"
+    return f"{first} + ({idx} - {first} + CASE WHEN {size} > 1 THEN 1 + {index.multiplier(seed)} % ({size} - 1) ELSE 0 END) % {size}"
+
+
+def rotated_sweep_sql(runs: int, reps: int, source: str, columns) -> str:
+    parts = [f"SELECT 0 AS run, {r} AS rep, idx, n, {', '.join(columns)} FROM {source}" for r in range(reps)]
+    for k in range(1, runs + 1):
+        for r in range(reps):
+            moved = index.sample_columns(columns, k, r)
+            picked = ", ".join(f"{'d' if c in moved else 'a'}.{c}" for c in columns)
+            donor = rotated_sql("idx", "n", index.sweep_seed(k, r))
+            parts.append(f"SELECT {k}, {r}, a.idx, a.n, {picked} FROM (SELECT *, {donor} AS donor FROM {source}) a JOIN {source} d ON d.idx = a.donor")
+    return " UNION ALL ".join(parts)
+
+
 def _trial_ctes(runs: int, reps: int, inner: int) -> str:
     held = "CAST(ceil(n * 0.05) AS BIGINT)"
     keys = ("run", "rep", "inner_rep")
@@ -95,7 +114,7 @@ def _trial_ctes(runs: int, reps: int, inner: int) -> str:
         f" JOIN (SELECT i.run, i.rep, avg(power({errors(t)}, 2)) AS other FROM indexed r, inv_tb i GROUP BY i.run, i.rep) v USING (run, rep)"
         for t, c in enumerate(_P)
     )
-    return f"""{SHAPES_SQL}, sweep AS ({_sweep_sql(runs, reps, 'indexed', _P)}),
+    return f"""{SHAPES_SQL}, sweep AS ({rotated_sweep_sql(runs, reps, 'indexed', _P)}),
 train_b AS ({mixed}), train_a AS ({plain}),
 {inverse_sql('train_b', _P, keys, 'inv_b')},
 {inverse_sql('train_a', _P, ('inner_rep',), 'inv_a')},
