@@ -15,29 +15,15 @@ from ..roles import Roles
 from .bayes import NaiveBayes, permutation_drop
 from .clean import q
 from .estimators import METHODS, TREES, Fitted, fit_all_targets, run_parallel, tree_rule
-from .index import Indexed, permuted, replicates, test_size, train_part
+from .index import Indexed, replicates, test_size, train_part
 from .linear import SOLVERS, column_means, fit_from_sums, product_sums, subtract_sums
+from .rotate import shuffled_pairs
 from .trees import fit_trees, impurity_importance, leaf_boxes, leaf_values, shapley_sums
 
 HELD_OUT = 0.05
 REPEATS = 15
 
 
-def permutation_pairs(table: Indexed, columns: Sequence[str], repeats: int = REPEATS, first_seed: int = 100) -> DataFrame:
-    """Each row with a permuted partner row (columns ``_p_<name>``), ``repeats`` times. One equi-join.
-
-    The partner carries all columns, so one permutation per repetition serves every feature.
-    """
-    tags = F.array(
-        *[
-            F.struct(F.lit(k).alias("repeat"), permuted(F.col("idx"), first_seed + k, table.n).alias("_src"))
-            for k in range(repeats)
-        ]
-    )
-    partners = table.df.select(F.col("idx").alias("_src"), *[q(c).alias(f"_p_{c}") for c in columns])
-    return table.df.select("idx", *map(q, columns), F.inline(tags)).join(partners, "_src").drop("_src")
-
-
 def importance_by_trees(rows: DataFrame, roles: Roles, targets: Sequence[str], name: str, keys: Sequence[str], **options) -> DataFrame:
     """Impurity importance ``(target, keys…, feature, pos, score)`` of the trees of every part that ``keys`` tell apart, in one job.
 
@@ -51,11 +37,11 @@ def permutation_importance(
 ) -> list[tuple[str, str, float]]:
     """``(target, feature, score)``: score on the training rows minus the mean score with the feature permuted.
 
-    The score is the accuracy or R². Each row is tagged with one variant per permuted column; every model scores
-    the same variants, so all targets share one join and one pass.
+    The score is the accuracy or R². A row's partner carries all columns, so one shuffle serves every feature. Each row is tagged
+    with one variant per permuted column; every model scores the same variants, so all targets share one exchange and one pass.
     """
     columns = list(roles.columns)
-    pairs = permutation_pairs(table, columns, repeats, first_seed)
+    pairs = shuffled_pairs(table, columns, repeats, first_seed)
     bayes = [f.model for f in fitted if isinstance(f.model, NaiveBayes)]
     out = [(r["target"], r["feature"], r["score"]) for r in permutation_drop(bayes, pairs).collect()] if bayes else []
     others = [f for f in fitted if not isinstance(f.model, NaiveBayes)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..roles import Roles
-from ..session import materialize
+from ..session import deal, materialize
 from .clean import q
 
 LOCAL_ROWS = 1 << 16
@@ -305,7 +305,8 @@ def _grow_groups(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], rule:
         columns = [pa.array([k.as_py()] * len(found), k.type) for k in own]
         return pa.table([*columns, *[pa.array(list(v), t) for v, t in zip(zip(*found), kinds)]], [*keys, *names])
 
-    return rows.select(*keys, "node", "w", "cls", "tried", "y", "s", *xs).groupBy(*keys, "node").applyInArrow(grow, f"{schema}, {NODE}")
+    rows = deal(rows.select(*keys, "node", "w", "cls", "tried", "y", "s", *xs), *keys, "node")
+    return rows.groupBy(*keys, "node").applyInArrow(grow, f"{schema}, {NODE}")
 
 
 # ---------------------------------------------------------------- large nodes: one level at a time
@@ -494,7 +495,7 @@ def land(rows: DataFrame, trees: Trees, per_model: int) -> DataFrame:
         return pa.table([*[some.column(c) for c in carried], *ends.columns], [*carried, "leaf", "leaf_n", *found[2:]])
 
     group = [*keys, "_at", "_block"]
-    both = rows.groupBy(*group).cogroup(nodes.groupBy(*group))
+    both = deal(rows, *group).groupBy(*group).cogroup(deal(nodes, *group).groupBy(*group))
     return both.applyInArrow(meet, f"{schema}, leaf string, leaf_n long, label double, classes array<double>, counts array<long>")
 
 
@@ -650,5 +651,5 @@ def shapley_sums(df: DataFrame, trees: Trees, boxes: DataFrame, per_model: int,
         return pa.table([*columns, leaf, pa.array(np.tile(np.arange(len(xs), dtype=np.int32), n)), pa.array(total.ravel())], [*own, "leaf", "f", "effect"])
 
     group = [*own, "_r", "_l"]
-    met = rows.groupBy(*group).cogroup(leaves.groupBy(*group)).applyInArrow(meet, f"{schema}, leaf string, f int, effect double")
+    met = deal(rows, *group).groupBy(*group).cogroup(deal(leaves, *group).groupBy(*group)).applyInArrow(meet, f"{schema}, leaf string, f int, effect double")
     return met.groupBy(*own, "leaf", "f").agg(F.sum("effect").alias("effect"))

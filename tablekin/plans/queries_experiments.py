@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, report, rotate, synth
+from ..operators import index, report, synth
 from ..operators.index import Indexed
 from ..session import materialize
 from .bindings import (
     DOCS, ITEMS, PAIR_SQL, PARTS, PARTS_SQL, SHAPES, SHAPES_SQL,
     coded_docs, coded_pair, coded_parts, correlation_scores, inverse_sql, linear_importance_sql, measures_sql, part_rows,
-    part_shapes, permuted_sql, rnd, rounded, settled, settled_sql, shuffled, shuffled_sql,
+    part_shapes, permuted_sql, rnd, rotated_sql, rounded, settled, settled_sql, shuffled, shuffled_sql,
 )
 from .experiment import (
     compare_datasets, generator_sweep, last_repetition, method_sweep, multi_dataset_ratio, repetition_sweep, shuffle_trial,
@@ -74,15 +74,6 @@ RUNS, REPS, INNER = 6, 10, 10
 _P = SHAPES.columns
 
 
-def rotated_sql(idx: str, n: str, seed: int) -> str:
-    """Row whose values row ``idx`` takes: a step along its block, around the end."""
-    m = f"CAST(ceil({n} / {float(rotate.BLOCK)}) AS BIGINT)"
-    start = lambda b: f"(({b}) * {n} + {m} - 1) // {m}"
-    block = f"({idx} * {m} // {n})"
-    first, size = start(block), f"({start(f'{block} + 1')} - {start(block)})"
-    return f"{first} + ({idx} - {first} + CASE WHEN {size} > 1 THEN 1 + {index.multiplier(seed)} % ({size} - 1) ELSE 0 END) % {size}"
-
-
 def rotated_sweep_sql(runs: int, reps: int, source: str, columns) -> str:
     parts = [f"SELECT 0 AS run, {r} AS rep, idx, n, {', '.join(columns)} FROM {source}" for r in range(reps)]
     for k in range(1, runs + 1):

@@ -65,3 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to a stated number of tasks.
+
+    For groups whose work is large next to their bytes: without a number, small shuffles are merged into few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
