@@ -57,7 +57,7 @@ STAGES = [
     ("SentencePiece", encode),
 ]
 
-#: The quality stage learns by EM, which SQL cannot express; the tests hold the rows against a brute-force version.
+#: The quality stage learns by EM, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
