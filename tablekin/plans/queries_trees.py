@@ -8,8 +8,12 @@ from ..operators import importance, synth, trees, utility
 from ..operators.estimators import tree_rule
 from ..operators.index import Indexed, row_index
 from ..roles import Roles
-from .bindings import DOCS, PARTS, PARTS_SQL, coded_docs, coded_parts, measures_sql, part_rows, permuted_sql, rnd, rounded, shuffled, shuffled_sql
-from .experiment import compare_datasets, method_sweep, summary
+from .bindings import (
+    DOCS, PARTS, PARTS_SQL, coded_docs, coded_parts, inverse_sql, linear_importance_sql, measures_sql, part_rows, permuted_sql, residual_sql,
+    rnd, rounded, shuffled, shuffled_sql,
+)
+from .experiment import compare_datasets, method_sweep, shuffle_trial, summary
+from .queries_data import _sweep_sql
 from .queries_models import REPS, both_sql, utility_ctes
 from .registry import query
 from .tree_sql import (
@@ -166,7 +170,7 @@ def tree_utility_ctes(name: str, source: str, other: str) -> list[str]:
         f"""{name}_sc AS (SELECT target, avg(CAST(actual = label AS INTEGER)) FILTER (rid % 2 = 0) AS own,
               avg(CAST(actual = label AS INTEGER)) FILTER (rid % 2 = 1) AS other FROM {name}_at GROUP BY target)""",
         f"""{name} AS (SELECT target, ratio, own, other, higher_is_better FROM {name}_ols WHERE target IN ({', '.join(f"'{t}'" for t in PARTS.continuous)})
-              UNION ALL SELECT target, other / own, own, other, true FROM {name}_sc)""",
+              UNION ALL SELECT target, other / nullif(own, 0), own, other, true FROM {name}_sc)""",
     ]
     return ctes
 
@@ -216,6 +220,82 @@ def compare_datasets_tree(spark, sf):
     return summary(scores, cross).select("metric", rnd("value", 5).alias("value"))
 
 
+# ---------------------------------------------------------------- a trial with the published pairing
+
+RUNS, TRIAL_REPS, INNER = 4, 3, 3
+
+
+def _trial_sql() -> str:
+    columns, classes, numbers = PARTS.columns, list(PARTS.categorical), list(PARTS.continuous)
+    keys, every = ["run", "rep"], ["run", "rep", "inner_rep"]
+    held = "CAST(ceil(round(n * 0.05, 6)) AS BIGINT)"
+    kept = " UNION ALL ".join(f"SELECT *, {i} AS inner_rep FROM sweep WHERE {permuted_sql('idx', i)} >= {held}" for i in range(INNER))
+    tested = f"{permuted_sql('idx', 42)} < ceil(round(n * 0.2, 6)) AS is_test"
+    error = lambda t: f"avg(power({residual_sql(columns.index(t), columns)}, 2))"
+    forth = [
+        f"SELECT o.run, o.rep, 'a' AS train_side, '{t}' AS target, (SELECT {error(t)} FROM held_a r, inv_ta i WHERE r.is_test) AS own, o.other"
+        f" FROM (SELECT r.run, r.rep, {error(t)} AS other FROM sweep r, inv_ta i GROUP BY r.run, r.rep) o"
+        for t in numbers
+    ]
+    back = [
+        f"SELECT w.run, w.rep, 'b' AS train_side, '{t}' AS target, w.own, v.other"
+        f" FROM (SELECT r.run, r.rep, {error(t)} AS own FROM held_b r JOIN inv_tb i USING (run, rep) WHERE r.is_test GROUP BY r.run, r.rep) w"
+        f" JOIN (SELECT i.run, i.rep, {error(t)} AS other FROM parts r, inv_tb i GROUP BY i.run, i.rep) v USING (run, rep)"
+        for t in numbers
+    ]
+    score = lambda name, by: f"SELECT {by}target, avg(CAST(actual = label AS INTEGER)) AS score FROM {name} GROUP BY {by}target"
+    trees_forth = (
+        f"SELECT o.run, o.rep, 'a', o.target, w.score, o.score FROM ({score('far_a', 'run, rep, ')}) o JOIN ({score('own_a', '')}) w USING (target)"
+    )
+    trees_back = (
+        f"SELECT o.run, o.rep, 'b', o.target, w.score, o.score FROM ({score('far_b', 'run, rep, ')}) o JOIN ({score('own_b', 'run, rep, ')}) w USING (run, rep, target)"
+    )
+    parts = [
+        f"WITH RECURSIVE {PARTS_SQL}",
+        f"sweep AS ({_sweep_sql(RUNS, TRIAL_REPS, 'parts', columns)})",
+        f"kept AS ({kept})",
+        scales_sql("scales", "parts", []),
+        samples_sql("sampled", "kept", "scales", PARTS, classes, every),
+        grow_sql("g", "sampled", ["target", *every], WIDTH),
+        inverse_sql("kept", columns, every, "inv_k"),
+        f"scored AS (SELECT run, rep, inner_rep, target, feature, pos, score FROM ({importance_sql('g_n', PARTS, classes, every)})"
+        f" UNION ALL SELECT run, rep, inner_rep, target, feature, pos, score FROM ({linear_importance_sql('inv_k', columns, numbers, every)}))",
+        "score_b AS (SELECT run, rep, target, feature, pos, round(avg(score), 12) AS score FROM scored GROUP BY ALL)",
+        "pairs AS (SELECT b.run, b.rep, target, feature, b.pos, a.score AS score_a, b.score AS score_b FROM score_b b"
+        " JOIN (SELECT target, feature, score FROM score_b WHERE run = 0 AND rep = 0) a USING (target, feature))",
+        measures_sql(tuple(keys)),
+        f"held_a AS (SELECT *, {tested} FROM parts), held_b AS (SELECT *, {tested} FROM sweep)",
+        "only_a AS (SELECT * FROM held_a WHERE NOT is_test), only_b AS (SELECT * FROM held_b WHERE NOT is_test)",
+        "rest_a AS (SELECT * FROM held_a WHERE is_test), rest_b AS (SELECT * FROM held_b WHERE is_test)",
+        "spread AS (SELECT p.*, t.run, t.rep FROM parts p, (SELECT DISTINCT run, rep FROM sweep) t)",
+        inverse_sql("only_a", columns, (), "inv_ta"),
+        inverse_sql("only_b", columns, keys, "inv_tb"),
+        samples_sql("sa", "only_a", "scales", PARTS, classes),
+        grow_sql("ga", "sa", ["target"], WIDTH),
+        samples_sql("sb", "only_b", "scales", PARTS, classes, keys),
+        grow_sql("gb", "sb", ["target", *keys], WIDTH),
+    ]
+    for name, source, by, nodes, model in (
+        ("own_a", "rest_a", [], "ga_n", []), ("far_a", "sweep", keys, "ga_n", []), ("own_b", "rest_b", keys, "gb_n", keys), ("far_b", "spread", keys, "gb_n", keys),
+    ):
+        parts += [inputs_sql(f"{name}_in", source, PARTS, classes, ["idx"], by), land_sql(name, f"{name}_in", nodes, ["target", *model], WIDTH)]
+    parts += [
+        f"cross_rows AS (SELECT run, rep, train_side, target, other / nullif(own, 0) AS ratio, own, other FROM ({' UNION ALL '.join([*forth, *back, trees_forth, trees_back])}))",
+        "cross_cc AS (SELECT run, rep, target, max(ratio + own + other) FILTER (train_side = 'a') / nullif(max(ratio + own + other) FILTER (train_side = 'b'), 0) AS cc FROM cross_rows GROUP BY run, rep, target)",
+        "trial AS (SELECT run, rep, metric, avg(value) AS value FROM long_scores GROUP BY run, rep, metric UNION ALL SELECT run, rep, 'cross', avg(cc) FROM cross_cc GROUP BY run, rep)",
+    ]
+    return ",\n".join(parts) + f"\nSELECT run, rep, metric, {rounded('value', 5, 'value')} FROM trial"
+
+
+@query("shuffle_trial_tree", _trial_sql())
+def shuffle_trial_tree(spark, sf):
+    """The published trial: a tree and least squares on copies with 0 to all columns shuffled, all trees grown in one job."""
+    parts = row_index(part_rows(spark, sf), ["p_partkey"])
+    parts = Indexed(parts.df.select("idx", *PARTS.columns), parts.n)
+    scores, cross = shuffle_trial(parts, PARTS, "dt", RUNS, TRIAL_REPS, INNER)
+    return summary(scores, cross, ["run", "rep"]).select("run", "rep", "metric", rnd("value", 5).alias("value"))
+
+
 @query("method_sweep")
 def method_sweep_query(spark, sf):
     """All six methods on labelled documents, with and without one shuffled column; forests of 100 full trees."""
