@@ -54,7 +54,10 @@ def union_tagged(tables: Mapping[str, DataFrame], tag: str = "source") -> DataFr
 
 
 def strip_prefix_cast(df: DataFrame, column: str, prefix: str = "run ") -> DataFrame:
-    return df.withColumn(column, F.regexp_replace(q(column), "^" + prefix, "").cast("int"))
+    """A leading ``prefix`` goes, whatever signs it holds; the rest is a whole number."""
+    value = q(column)
+    rest = F.when(value.startswith(prefix), F.substr(value, F.lit(len(prefix) + 1))).otherwise(value)
+    return df.withColumn(column, rest.cast("int"))
 
 
 def group_mean_var_std(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
