@@ -20,6 +20,7 @@ from ..roles import Roles
 from .bayes import gaussian_nb_all_targets
 from .clean import q
 from .linear import bayesian_ridge, column_means, least_squares, prediction, product_sums, unpack
+from .logistic import logistic_all_targets
 from .neighbors import NearestNeighbours
 from .trees import Rule, add_prediction, fit_trees
 
@@ -80,11 +81,14 @@ def _against_rest(single, df: DataFrame, target: str):
     return single if classes <= 2 else C.OneVsRest(classifier=single, parallelism=min(classes, 8), **_COLUMNS)
 
 
-def fit_logistic(df, target, features, classifier, *, strength=1.0, max_iter=100, **_):
-    """L2 with weight ``1/strength`` on the sum of losses, one class against the rest."""
-    n = df.count()
-    single = C.LogisticRegression(regParam=1.0 / (strength * max(n, 1)), standardization=False, maxIter=max_iter, **_COLUMNS)
-    return _ml(_against_rest(single, df, target), df, target, features)
+def fit_logistic(df, target, features, classifier, *, strength=1.0, **_):
+    """L2 with weight ``1/strength`` on the sum of losses, the intercept included, one class against the rest."""
+    return _logistic(df, [*features, target], [target], strength)[target]
+
+
+def _logistic(df, columns, targets, strength=1.0) -> dict[str, Fitted]:
+    models = logistic_all_targets(df, columns, targets, strength)
+    return {t: Fitted(t, m.features, m.predict, model=m) for t, m in models.items()}
 
 
 def fit_svm(df, target, features, classifier, *, components=64, strength=1.0, seed=42, max_iter=50, tol=1e-3, **_):
@@ -187,6 +191,8 @@ def fit_all_targets(df: DataFrame, roles, models: tuple[str, str], targets: Sequ
     if models[0] == "gaussian_nb" and (classes := [t for t in chosen if roles.is_categorical(t)]):
         for t, m in gaussian_nb_all_targets(df, list(roles.columns), classes).items():
             shared[t] = Fitted(t, m.features, m.predict, model=m)
+    if models[0] == "logistic" and (classes := [t for t in chosen if roles.is_categorical(t)]):
+        shared |= _logistic(df, list(roles.columns), classes, options.get("strength", 1.0))
     for name in TREES:
         if grown := [t for t in chosen if models[0 if roles.is_categorical(t) else 1] == name]:
             shared |= fit_exact_trees(df, roles, grown, name, **options)

@@ -324,6 +324,43 @@ def coded_docs(spark: SparkSession, sf: str) -> Indexed:
     return coded(docs, ["doc_id"], DOCS)
 
 
+#: The same codes: levels in the order of their texts.
+DOCS_SQL = f"""docs AS (SELECT doc_id, n_chars, n_words, n_lines, {', '.join(
+    f'CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}' for c in ('lang', 'quality', 'toxic'))}
+  FROM ({DOC_SELECT.format(s="VARCHAR", d="documents", l="labels")}))"""
+
+
+def newton_sql(source: str, columns, targets, name: str = "newton", rounds: int = 20) -> str:
+    """CTEs ending in ``name``: ``(t, c, w)``, the logistic coefficients of class ``c`` of target ``t`` against the rest.
+
+    Plain Newton steps from zero, each solved by elimination of the curvature, one nested SELECT per column.
+    The intercept is the last coefficient and penalised like the others; targets need three classes or more.
+    """
+    size = len(columns)
+    rows = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, k.c, CAST(r.{t} = k.c AS INT) AS y, [{', '.join(f'r.{c}' for c in columns if c != t)}, 1.0] AS x"
+        f" FROM {source} r, (SELECT DISTINCT {t} AS c FROM {source}) k"
+        for t in targets
+    )
+    every = range(1, size + 1)
+    entries = [f"sum(p * (1 - p) * x[{i}] * x[{j}]) + {int(i == j)} AS a{i}_{j}" for i in every for j in every]
+    entries += [f"sum((y - p) * x[{i}]) - any_value(w[{i}]) AS a{i}_{size + 1}" for i in every]
+    query = (
+        f"SELECT t, c, k, any_value(w) AS w, {', '.join(entries)} FROM (SELECT n.t, n.c, n.k, n.w, r.y, r.x,"
+        f" 1 / (1 + exp(-list_dot_product(n.w, r.x))) AS p FROM {name}_r n JOIN {name}_rows r ON r.t = n.t AND r.c = n.c WHERE n.k < {rounds})"
+        " GROUP BY t, c, k"
+    )
+    for k in every:
+        left = range(k + 1, size + 2)
+        cell = lambda i, j: f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}"  # noqa: E731,B023
+        query = f"SELECT t, c, k, w, {', '.join(f'{cell(i, j)} AS a{i}_{j}' for i in every for j in left)} FROM ({query})"
+    step = ", ".join(f"w[{i}] + a{i}_{size + 1}" for i in every)
+    return f"""{name}_rows AS MATERIALIZED ({rows}),
+{name}_r AS (SELECT DISTINCT t, c, 0 AS k, [{', '.join(['0.0::DOUBLE'] * size)}] AS w FROM {name}_rows
+  UNION ALL SELECT t, c, k + 1, [{step}] FROM ({query})),
+{name} AS (SELECT t, c, w FROM {name}_r WHERE k = {rounds})"""
+
+
 PARTS = Roles(("size", "price", "brand", "kind"), ("size", "price"))
 
 

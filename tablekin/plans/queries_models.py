@@ -8,12 +8,13 @@ from ..operators import bayes, importance, linear, rank, utility
 from ..operators.clean import q
 from ..operators.estimators import FITTERS, fit_all_targets
 from ..operators.index import Indexed, holdout_split, train_part
+from ..operators.logistic import coefficient_rows, logistic_all_targets
 from ..operators.rotate import PAIR_BLOCK
 from ..session import materialize
 from .bindings import (
-    CATEGORICAL, CODED_SQL, CONTINUOUS, DOCS, INDEXED_SQL, ITEMS, ITEMS_SQL, NUMBERS, PAIR_SQL, PARTS, PARTS_SQL, RUN_SCORES_SQL,
+    CATEGORICAL, CODED_SQL, CONTINUOUS, DOCS, DOCS_SQL, INDEXED_SQL, ITEMS, ITEMS_SQL, NUMBERS, PAIR_SQL, PARTS, PARTS_SQL, RUN_SCORES_SQL,
     coded_docs, coded_items, coded_pair, coded_parts, coded_rows, correlation_scores, inverse_sql, items, linear_importance_sql, nb_sql,
-    number_items, permuted_sql, residual_sql, rnd, rotated_sql, rounded, run_scores, settled, settled_sql, shuffled_sql,
+    newton_sql, number_items, permuted_sql, residual_sql, rnd, rotated_sql, rounded, run_scores, settled, settled_sql, shuffled_sql,
 )
 from .registry import query
 
@@ -37,9 +38,35 @@ def training_scores(table, roles, models, targets=None, **options):
     return out
 
 
-@query("logistic_per_target")
+_NEWTON_SQL = f"WITH RECURSIVE {DOCS_SQL},\n{newton_sql('docs', DOCS.columns, DOCS.categorical)}"
+_LOGISTIC_SCORES = " UNION ALL ".join(
+    f"""SELECT '{t}' AS target, {settled_sql('avg(CAST(y = p AS INT))', 6, 'score')}, count(*) AS n FROM (
+  SELECT doc_id, any_value({t}) AS y, min_by(c, [-list_dot_product(w, [{', '.join(c for c in DOCS.columns if c != t)}, 1.0]), c]) AS p
+  FROM docs, newton WHERE t = '{t}' GROUP BY doc_id)"""
+    for t in DOCS.categorical
+)
+
+
+@query("logistic_per_target", f"{_NEWTON_SQL} {_LOGISTIC_SCORES}")
 def logistic_per_target(spark, sf):
-    return training_scores(coded_docs(spark, sf), DOCS, ("logistic", "linear"), list(DOCS.categorical))
+    scores = training_scores(coded_docs(spark, sf), DOCS, ("logistic", "linear"), list(DOCS.categorical))
+    return scores.withColumn("score", settled("score", 6))
+
+
+_LOGISTIC_NAMES = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, unnest([{', '.join(repr(c) for c in (*[c for c in DOCS.columns if c != t], '(intercept)'))}]) AS feature, unnest(range(1, {len(DOCS.columns) + 1})) AS i"
+    for t in DOCS.categorical
+)
+
+
+@query(
+    "logistic_coefficients",
+    f"{_NEWTON_SQL} SELECT t AS target, c AS class, feature, {settled_sql('w[i]', 6, 'coef')} FROM newton JOIN ({_LOGISTIC_NAMES}) USING (t)",
+)
+def logistic_coefficients(spark, sf):
+    models = logistic_all_targets(coded_docs(spark, sf).df, DOCS.columns, DOCS.categorical)
+    rows = spark.createDataFrame(coefficient_rows(models), "target string, class double, feature string, coef double")
+    return rows.withColumn("coef", settled("coef", 6))
 
 
 @query("svm_per_target")
