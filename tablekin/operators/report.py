@@ -18,6 +18,7 @@ def flatten_results(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``results`` has the columns ``run``, ``targets`` (map target → struct with a ``results`` map), and
     ``cross`` (struct with the maps ``real_synth``, ``synth_real`` of triples and the array ``aggregated``).
     The first element of a triple is the ratio; ``aggregated`` gives the metric ``ratio_rs_sr``.
+    A run of the older shape (``lists`` is not null) gives its mean of each measure, without a target.
     """
     cell = "named_struct('metric', {}, 'target', {}, 'value', {})"
     of_target = cell.format("m.key", "t.key", "m.value")
@@ -28,9 +29,30 @@ def flatten_results(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ]
     quotient = cell.format("'ratio_rs_sr'", "CAST(NULL AS STRING)", "v")
     cells = f"concat({metrics}, {', '.join(ratios)}, transform(cross.aggregated, v -> {quotient}))"
+    if "lists" in results.columns:
+        mean = cell.format("m.key", "CAST(NULL AS STRING)", "m.value")
+        cells = f"IF(lists IS NULL, {cells}, transform(map_entries(aggregated), m -> {mean}))"
     return results.select(*keys, "run", F.inline(F.expr(cells)))
 
 
+def explode_lists(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The value lists of runs of the older shape to rows ``(keys…, run, metric, pos, value)``."""
+    lists = results.select(*keys, "run", F.explode("lists").alias("metric", "values"))
+    return lists.select(*keys, "run", "metric", F.posexplode("values").alias("pos", "value"))
+
+
+def extract_vectors(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Score and rank vectors to rows ``(keys…, run, target, pos, true_score, model_score, true_rank, model_rank, true_join, model_join)``."""
+    one = results.select(*keys, "run", F.explode("targets").alias("target", "t"))
+    cells = F.arrays_zip("t.true_score", "t.model_score", "t.true_score_rank", "t.model_score_rank")
+    joins = [F.col("t.true_score_rank_join").alias("true_join"), F.col("t.model_score_rank_join").alias("model_join")]
+    placed = one.select(*keys, "run", "target", *joins, F.posexplode(cells).alias("pos", "c"))
+    return placed.select(
+        *keys, "run", "target", "pos", F.col("c.true_score"), F.col("c.model_score"),
+        F.col("c.true_score_rank").alias("true_rank"), F.col("c.model_score_rank").alias("model_rank"), "true_join", "model_join",
+    )
+
+
 def explode_melt(wide: DataFrame, ids: Sequence[str], lists: Sequence[str]) -> DataFrame:
     """List cells of several columns to rows ``(ids…, variable, value)``; a triple counts by its first element."""
     types = dict(wide.dtypes)
@@ -183,18 +205,25 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     Equal values are counted first, the counts are range-partitioned by (group, value) and summed up per
     partition; only the rows that hold a wanted order statistic go on. No group is gathered in one task.
     """
-    by = list(by)
+    return _quantiles(_ranged_counts(df, by, value), by, probabilities)
+
+
+def _ranged_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Written rows ``(by…, _v, _n, _part)``: counts of equal values, each part a range of (group, value)."""
     counts = df.where(q(value).isNotNull()).groupBy(*map(q, by), q(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    order = [*by, "_v"]
-    ranged = materialize(
-        counts.repartitionByRange(*map(q, order)).withColumn("_part", F.spark_partition_id()), "quantiles"
+    return materialize(
+        counts.repartitionByRange(*map(q, [*by, "_v"])).withColumn("_part", F.spark_partition_id()), "quantiles"
     )
+
+
+def _quantiles(ranged: DataFrame, by: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+    by, order = list(by), [*by, "_v"]
     sums = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
     offsets, total = [], 0
     for part in sorted(sums):
         offsets.append((part, total))
         total += sums[part]
-    start = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _o long")
+    start = ranged.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _o long")
     before = Window.partitionBy("_part").orderBy(*map(q, order)).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_c", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(start), "_part")
     placed = placed.select(*map(q, by), "_v", "_n", (F.col("_c") + F.col("_o")).alias("_c"))
@@ -225,19 +254,22 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges, and the number of points outside, per group."""
-    quartiles = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, whiskers within 1.5 interquartile ranges, and the number of points outside, per group.
+
+    The rows are read once; whiskers and outliers come from the counts of equal values behind the quartiles.
+    """
+    ranged = _ranged_counts(df, by, value)
+    quartiles = _quantiles(ranged, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     span = 1.5 * (F.col("q3") - F.col("q1"))
-    v = q(value)
+    v = F.col("_v")
     inside = (v >= F.col("q1") - span) & (v <= F.col("q3") + span)
     return (
-        df.where(v.isNotNull())
-        .join(quartiles, list(by))
+        ranged.join(quartiles, list(by))
         .groupBy(*map(q, by), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("low"),
             F.max(F.when(inside, v)).alias("high"),
-            F.count_if(~inside).alias("n_outside"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outside"),
         )
     )
 

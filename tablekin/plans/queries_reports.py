@@ -115,6 +115,47 @@ def read_results_json(spark, sf):
     return report.flatten_results(read, ["method", "dataset"]).withColumn("value", rnd("value", 9))
 
 
+@query(
+    "read_score_lists",
+    f"""WITH RECURSIVE {keyed_scores_sql(_KEYS)},
+{measures_sql(_KEYS)}
+SELECT method, 'items' AS dataset, 'run ' || run AS run, metric, CAST(row_number() OVER (PARTITION BY method, run, metric ORDER BY target) - 1 AS INTEGER) AS pos,
+  {rounded('value', 9, 'value')} FROM long_scores
+UNION ALL SELECT method, 'items', 'run ' || run, metric, -1, {rounded('avg(value)', 9, 'value')} FROM long_scores GROUP BY method, run, metric""",
+)
+def read_score_lists(spark, sf):
+    """Result files of the older shape: the lists behind the means, and the means under position -1."""
+    scores = rank.compare_importances(*keyed_scores(spark, sf, list(_KEYS)), list(_KEYS))
+    values = scores.select(
+        F.lit("items").alias("dataset"), "method", F.format_string("run %d", "run").alias("run"), "metric", F.col("target").alias("pos"), "value"
+    )
+    path = scratch_path(spark, "json")
+    src.write_results_json(src.nest_score_lists(values), path)
+    read = src.read_results_json(spark, path)
+    keys = ["method", "dataset"]
+    means = report.flatten_results(read, keys).withColumn("pos", F.lit(-1)).drop("target")
+    return report.explode_lists(read, keys).unionByName(means).withColumn("value", rnd("value", 9))
+
+
+@query(
+    "read_result_vectors",
+    f"""WITH RECURSIVE {keyed_scores_sql(_KEYS)},
+{measures_sql(_KEYS)}
+SELECT r.method, 'items' AS dataset, 'run ' || r.run AS run, r.target, CAST(r.place - 1 AS INTEGER) AS pos, r.score_a AS true_score, r.score_b AS model_score,
+  CAST(r.rank_a AS INTEGER) AS true_rank, CAST(r.rank_b AS INTEGER) AS model_rank, m.rank_join_a AS true_join, m.rank_join_b AS model_join
+FROM ranked r JOIN per_target m USING (method, run, target)""",
+)
+def read_result_vectors(spark, sf):
+    """Score vectors, rank vectors and joined ranks through written result files."""
+    a, b = keyed_scores(spark, sf, list(_KEYS))
+    run = lambda df: df.withColumns({"dataset": F.lit("items"), "run": F.format_string("run %d", "run")})
+    scores = run(rank.compare_importances(a, b, list(_KEYS)))
+    vectors = run(rank.ordinal_rank(rank.pair_scores(a, b, list(_KEYS)), list(_KEYS)))
+    path = scratch_path(spark, "json")
+    src.write_results_json(src.nest_results(scores, cross_long(spark, sf), vectors=vectors), path)
+    return report.extract_vectors(src.read_results_json(spark, path), ["method", "dataset"])
+
+
 @query(
     "extract_cross",
     f"""WITH {CROSS_SQL} SELECT method, dataset, run, type, "column", round(ratio, 9) AS ratio, round(own, 9) AS own, round(other, 9) AS other FROM cross_long""",
