@@ -1,13 +1,19 @@
 """Masked pseudo-likelihood: a small two-sided window network predicts every word from its neighbours.
 
-Words are counted over all texts. The ``words`` most frequent ones form classes of neighbouring frequency, the others
-classes by length; a word's probability is that of its class, given the classes of the two words on either side, times
-its share of the class. The network (one table per neighbour into a tanh layer, then a softmax over classes) is trained
-in numpy inside the tasks: each trains on every word of its own texts (``stride`` 1), the means of the weights, by words
+Words are counted over all texts. The ``words`` most frequent ones (ties in byte order) form classes of neighbouring
+frequency, the others classes by length. A word's probability is that of its class, given the classes of the two words
+on either side, times its own count's share of the class: every word of the corpus keeps its count, in a table that grows
+with the corpus. Texts are cut into words twice, to count and to turn them into classes; the classes are written.
+
+The network (one table per neighbour into a tanh layer, then a softmax over classes) is trained in numpy inside the tasks
+on every word. Documents are dealt by a hash of id and classes to shards of about ``shard_words`` words and sorted inside, so
+the shards, and with them the weights, don't depend on the input's partitions. The means of the shards' weights, by words
 seen, start the next round. Every word of every text is scored.
 
 Defined results: a null or empty text has no words, a sum of 0 and no mean. Places beyond a text's ends are a class of
-their own. Each row gives one row. Sums of weights are exact integers, so that results do not depend on task order.
+their own. Each row gives one row; repeated ids and null ids are rows like others, and rows with one id and one text lie in
+one shard. Other columns are not read. A text is held whole, however long. Sums of weights and of shares are integers, so
+that results do not depend on task order.
 """
 
 from __future__ import annotations
@@ -18,7 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +38,13 @@ LENGTHS = 16
 SIDES = (-2, -1, 1, 2)
 #: Weights are summed as multiples of 1 / FIXED, times thousands of words.
 FIXED = 2.0**24
+#: Log shares are summed as multiples of 1 / SHARES.
+SHARES = 2.0**30
+CHUNK_WORDS, CHUNK_ROWS = 1 << 20, 8192
+
+#: Kinds of coded rows: documents to score, documents to train on, rare words on their way to their counts, and their log counts.
+TO_SCORE, TO_TRAIN, RARE, COUNTED = range(4)
+CODED = "kind int, part long, chunk long, ids array<long>, sizes array<long>, sums array<long>, payload binary"
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -65,71 +80,171 @@ def _counts(buckets: int):
 
 
 def _top(most: int):
-    """The ``most`` most frequent words of a bucket, and how many words of each length the others are."""
+    """The ``most`` most frequent words of a bucket, words and tokens of each length, and the counts of all words by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze = zstandard.ZstdDecompressor().decompress
         counts: Counter[bytes] = Counter()
+        bucket = None
         for batch in batches:
-            for raw in batch.column("payload").to_pylist():
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 n, raw = int.from_bytes(raw[:8], "little"), unsqueeze(raw[8:])
                 for word, k in zip(raw[8 * n :].split(b"\n"), np.frombuffer(raw, "<i8", n).tolist(), strict=True):
                     counts[word] += k
-        rows = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-        types = Counter(min(len(w), LENGTHS) for w in counts)
+        if bucket is None:
+            return
+        rows = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
         total = Counter()
         for w, k in counts.items():
             total[min(len(w), LENGTHS)] += k
-        words = [w for w, _ in rows[:most]] + [None] * len(types)
-        lengths = [None] * min(most, len(rows)) + list(types)
-        n = [k for _, k in rows[:most]] + [total[x] for x in types]
-        kinds = [1] * min(most, len(rows)) + list(types.values())
-        yield pa.record_batch([pa.array(words, pa.binary()), pa.array(lengths, pa.int32()), pa.array(n, pa.int64()), pa.array(kinds, pa.int64())], ["word", "length", "n", "types"])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
+        order = np.argsort(hashes)
+        packed = hashes[order].tobytes() + np.fromiter(counts.values(), np.int64, len(counts))[order].tobytes()
+        words = [w for w, _ in rows] + [None] * len(total) + [None]
+        lengths = [None] * len(rows) + list(total) + [None]
+        n = [k for _, k in rows] + list(total.values()) + [None]
+        last = len(n) - 1
+        columns = [pa.array(words, pa.binary()), pa.array(lengths, pa.int32()), pa.array(n, pa.int64())]
+        columns += [pa.array([None] * last + [bucket], pa.int32()), pa.array([None] * last + [packed], pa.binary())]
+        yield pa.record_batch(columns, ["word", "length", "n", "bucket", "payload"])
 
     return run
 
 
 @dataclass
 class Vocabulary:
-    """Class of each frequent word, and the log share of a word in its class; rare words have classes by length."""
+    """Class of each frequent word, and the log share of a word in its class in units of 1 / SHARES.
+
+    Rare words have classes by length; the share kept here lacks their own log count, which ``counts`` holds:
+    rows ``(bucket, payload)`` of sorted hashes and counts of all words.
+    """
 
     number: dict[bytes, int]
     class_of: np.ndarray
     share: np.ndarray
     classes: int
+    total: int
+    counts: DataFrame | None = None
+
+    def read(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of a text's words; from ``len(number)`` on they are lengths of rare words."""
+        get, rare = self.number.get, len(self.number)
+        return np.fromiter([k if (k := get(w)) is not None else rare + min(len(w), LENGTHS) for w in words], np.int64, len(words))
+
+    def plain(self) -> Vocabulary:
+        """What the tasks need."""
+        return Vocabulary(self.number, self.class_of, self.share, self.classes, self.total)
+
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and log shares of a text's words."""
-        get, rare = self.number.get, len(self.class_of) - LENGTHS - 1
-        ids = np.fromiter([k if (k := get(w)) is not None else rare + min(len(w), LENGTHS) for w in words], np.int64, len(words))
-        return self.class_of[ids], self.share[ids]
+def class_type(classes: int) -> np.dtype:
+    """Smallest kind of number for classes and the place beyond the ends."""
+    return np.dtype(np.min_scalar_type(classes))
 
 
 def vocabulary(docs: DataFrame, words: int, classes: int) -> Vocabulary:
-    """Counts over all texts; at most ``words`` words reach the driver."""
+    """Counts over all texts; at most ``words`` words reach the driver, the counts of all stay in a written table."""
     width = shuffle_width(docs)
     packed = docs.select("text").mapInArrow(_counts(width), PACKED).repartitionById(width, F.col("bucket"))
-    counted = materialize(packed.mapInArrow(_top(words), "word binary, length int, n long, types long"), "words")
+    counted = materialize(packed.mapInArrow(_top(words), "word binary, length int, n long, bucket int, payload binary"), "words")
     best = counted.filter("word is not null").select("word", "n").orderBy(F.desc("n"), "word").limit(words)
     top = sorted(materialize(best, "vocabulary").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    lengths = counted.filter("word is null").groupBy("length").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
+    lengths = counted.filter("length is not null").groupBy("length").agg(F.sum("n").alias("n")).collect()
     n = np.array([r["n"] for r in top], np.int64)
-    tokens, types = np.zeros(LENGTHS + 1, np.int64), np.zeros(LENGTHS + 1, np.int64)
+    tokens = np.zeros(LENGTHS + 1, np.int64)
     for r in lengths:
-        tokens[r["length"]], types[r["length"]] = r["n"], r["types"]
+        tokens[r["length"]] = r["n"]
+    total = int(tokens.sum())
     for r in top:
-        k = min(len(r["word"]), LENGTHS)
-        tokens[k] -= r["n"]
-        types[k] -= 1
+        tokens[min(len(r["word"]), LENGTHS)] -= r["n"]
     before = np.cumsum(n) - n
     own = (before * classes // max(1, int(n.sum()))).astype(np.int64)
     own = np.unique(own, return_inverse=True)[1] if len(own) else own
     used = int(own.max()) + 1 if len(own) else 0
     mass = np.bincount(own, n, minlength=max(1, used))
-    share = np.log(n / mass[own]) if len(n) else np.zeros(0)
-    rare = -np.log(np.maximum(types, 1).astype(float))
+    share = np.concatenate([np.log(n / mass[own]) if len(n) else np.zeros(0), -np.log(np.maximum(tokens, 1).astype(float))])
     class_of = np.concatenate([own, used + np.arange(LENGTHS + 1)])
-    return Vocabulary({bytes(r["word"]): k for k, r in enumerate(top)}, class_of, np.concatenate([share, rare]), used + LENGTHS + 1)
+    counts = counted.filter("bucket is not null").select("bucket", "payload")
+    fixed = np.rint(share * SHARES).astype(np.int64)
+    return Vocabulary({bytes(r["word"]): k for k, r in enumerate(top)}, class_of, fixed, used + LENGTHS + 1, total, counts)
+
+
+def _coded(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = [c.split()[0] for c in CODED.split(", ")]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _encode(words: Vocabulary, shards: int, buckets: int):
+    """Documents as classes, per chunk: whole for scoring, by shard for training, and rare words by bucket of their hash."""
+    kind = class_type(words.classes)
+    class_of = words.class_of.astype(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number = WordHash(), TaskContext.get().partitionId() << 32
+        ids, lines, sums, rare, size = [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sizes = [len(x) for x in lines]
+            rows = [(TO_SCORE, None, number, ids, sizes, sums, b"".join(x.tobytes() for x in lines))]
+            dealt: dict[int, list[tuple[int, bytes]]] = {}
+            for doc_id, line in zip(ids, lines, strict=True):
+                if len(line):
+                    raw = line.tobytes()
+                    h = xxhash.xxh3_64_intdigest(raw, seed=0 if doc_id is None else doc_id & (1 << 64) - 1)
+                    dealt.setdefault(h % shards, []).append((h >> 1, raw))
+            for shard, docs in dealt.items():
+                sized = [len(raw) // kind.itemsize for _, raw in docs]
+                rows.append((TO_TRAIN, shard, number, [h for h, _ in docs], sized, None, b"".join(raw for _, raw in docs)))
+            hashed = np.concatenate([np.zeros(0, np.uint64), *rare])
+            if len(hashed):
+                owner = np.repeat(np.arange(len(rare), dtype=np.int32), [len(x) for x in rare])
+                bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, hashed, owner = bucket[order], hashed[order], owner[order]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                    rows.append((RARE, int(bucket[a]), number, None, None, None, hashed[a:b].tobytes() + owner[a:b].tobytes()))
+            return _coded(rows)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                own = _words(text)
+                numbers = words.read(own)
+                ids.append(doc_id)
+                lines.append(class_of[numbers])
+                sums.append(int(words.share[numbers].sum()))
+                rare.append(hashes.of([own[k] for k in np.flatnonzero(numbers >= len(words.number)).tolist()]))
+                size += len(own)
+                if size >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
+                    yield out()
+                    number += 1
+                    ids, lines, sums, rare, size = [], [], [], [], 0
+        if ids:
+            yield out()
+
+    return run
+
+
+def _log_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rare words of chunks, after their bucket's counts: per chunk, the rows and the sums of their words' log counts."""
+    keys, logs, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for batch in batches:
+        for kind, chunk, raw in zip(*[batch.column(c).to_pylist() for c in ("kind", "chunk", "payload")], strict=True):
+            if kind != RARE:
+                n = len(raw) // 16
+                keys = np.frombuffer(raw, np.uint64, n)
+                logs = np.rint(np.log(np.frombuffer(raw, np.int64, n, 8 * n)) * SHARES).astype(np.int64)
+                continue
+            n = len(raw) // 12
+            hashed, owner = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int32, n, 8 * n)
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sums = np.add.reduceat(logs[np.searchsorted(keys, hashed)], first)
+            rows.append((COUNTED, None, chunk, None, None, None, sums.tobytes() + owner[first].tobytes()))
+        if len(rows) >= 256:
+            yield _coded(rows)
+            rows = []
+    if rows:
+        yield _coded(rows)
 
 
 class Network:
@@ -191,7 +306,7 @@ class Network:
 
 def neighbours(classes: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes beside each word of several texts (one row per side), and the words' own."""
-    gap = np.full(2, outside)
+    gap = np.full(2, outside, classes[0].dtype)
     line = np.concatenate([x for c in classes for x in (gap, c)] + [gap])
     lengths = np.array([len(c) for c in classes])
     begin = np.cumsum(lengths + 2) - lengths
@@ -199,32 +314,48 @@ def neighbours(classes: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.
     return np.stack([line[at + s] for s in SIDES]), line[at]
 
 
-def _train(words: Vocabulary, start: np.ndarray, hidden: int, stride: int, batch_size: int = 2048):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(words.classes, hidden).load(start)
+def _train(classes: int, start: np.ndarray, hidden: int, batch_size: int = 2048):
+    """Every shard of a task trains on its own from the same start; the task adds the shards' weights up."""
+    kind = class_type(classes)
+
+    def shard(docs: list[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+        net = Network(classes, hidden).load(start)
         memory = [np.zeros_like(net.out), np.zeros_like(net.tables)]
         held, size, seen = [], 0, 0
 
         def step() -> int:
-            near, target = neighbours(held, words.classes)
-            near, target = near[:, ::stride].astype(np.int16 if words.classes < 1 << 15 else np.int64), target[::stride]
+            near, target = neighbours(held, classes)
             for a in range(0, len(target), batch_size):
                 net.learn(near[:, a : a + batch_size], target[a : a + batch_size], memory)
             return len(target)
 
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                held.append(words.read(_words(text))[0])
-                size += len(held[-1])
-                if size >= 1 << 17:
-                    seen += step()
-                    held, size = [], 0
+        for _, raw in sorted(docs):
+            held.append(np.frombuffer(raw, kind))
+            size += len(held[-1])
+            if size >= 1 << 17:
+                seen += step()
+                held, size = [], 0
         if size:
             seen += step()
-        if seen:
-            fixed = np.rint(net.vector().astype(np.float64) * FIXED).astype(np.int64)
-            thousands = -(-seen // 1024)
-            yield pa.record_batch([pa.array([thousands], pa.int64()), pa.array([(fixed * thousands).tobytes()], pa.binary())], ["seen", "weights"])
+        thousands = -(-seen // 1024)
+        return thousands, np.rint(net.vector().astype(np.float64) * FIXED).astype(np.int64) * thousands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, part, docs = None, 0, None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "ids", "sizes", "payload")]
+            for number, order, sizes, raw in zip(*columns, strict=True):
+                if number != part and docs:
+                    n, own = shard(docs)
+                    total, seen, docs = own if total is None else total + own, seen + n, []
+                part = number
+                ends = np.cumsum(sizes) * kind.itemsize
+                docs += [(h, raw[b - n * kind.itemsize : b]) for h, n, b in zip(order, sizes, ends.tolist(), strict=True)]
+        if docs:
+            n, own = shard(docs)
+            total, seen = own if total is None else total + own, seen + n
+        if total is not None:
+            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "weights"])
 
     return run
 
@@ -241,11 +372,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "weights"])
 
 
-def train(docs: DataFrame, words: Vocabulary, hidden: int = 32, stride: int = 1, rounds: int = 2) -> np.ndarray:
+def train(coded: DataFrame, classes: int, hidden: int = 32, rounds: int = 2) -> np.ndarray:
     """Weights of the network after ``rounds`` rounds over all texts; sums travel through 16 tasks, one row reaches the driver."""
-    schema, weights = "seen long, weights binary", Network(words.classes, hidden).vector()
+    schema, weights = "seen long, weights binary", Network(classes, hidden).vector()
+    shards = coded.filter(F.col("kind") == TO_TRAIN).select("part", "ids", "sizes", "payload")
     for _ in range(rounds):
-        own = docs.select("text").mapInArrow(_train(words, weights, hidden, stride), schema)
+        dealt = shards.repartition(shuffle_width(coded), "part").sortWithinPartitions("part")
+        own = dealt.mapInArrow(_train(classes, weights, hidden), schema)
         part = F.pmod(F.xxhash64("weights"), F.lit(16)).cast("int")
         total = own.repartitionById(16, part).mapInArrow(_sum, schema).coalesce(1).mapInArrow(_sum, schema).collect()
         if not total:
@@ -254,39 +387,61 @@ def train(docs: DataFrame, words: Vocabulary, hidden: int = 32, stride: int = 1,
     return weights
 
 
-def _score(words: Vocabulary, weights: np.ndarray, hidden: int):
+def _score(classes: int, weights: np.ndarray, hidden: int):
+    """Chunks of documents, each followed by the log counts of its rare words, to a row per document."""
+    kind = class_type(classes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(words.classes, hidden).load(weights)
-        for batch in batches:
-            sizes, sums, held, size = [], [], [], 0
+        net = Network(classes, hidden).load(weights)
+        held: tuple | None = None
 
-            def out() -> list[float]:
-                classes, shares = zip(*held, strict=True)
-                near, target = neighbours(list(classes), words.classes)
-                chance = np.concatenate([np.zeros(0)] + [net.log_chance(near[:, a : a + 8192], target[a : a + 8192]) for a in range(0, len(target), 8192)])
-                chance = chance + np.concatenate(shares)
-                ends = np.cumsum([len(c) for c in classes])
-                total = np.concatenate(([0.0], np.cumsum(chance)))
-                return (total[ends] - total[np.concatenate(([0], ends[:-1]))]).tolist()
+        def out() -> pa.RecordBatch:
+            ids, sizes, shares, raw = held
+            lengths = np.array(sizes)
+            line = np.split(np.frombuffer(raw, kind), np.cumsum(lengths)[:-1])
+            near, target = neighbours(line, classes)
+            chance = np.concatenate([np.zeros(0)] + [net.log_chance(near[:, a : a + 8192], target[a : a + 8192]) for a in range(0, len(target), 8192)])
+            sums = np.bincount(np.repeat(np.arange(len(ids)), lengths), chance, minlength=len(ids)) + shares / SHARES
+            mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes, strict=True)]
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
-            for text in text_bytes(batch.column("text")):
-                held.append(words.read(_words(text)))
-                sizes.append(len(held[-1][0]))
-                size += sizes[-1]
-                if size >= 1 << 17:
-                    sums += out()
-                    held, size = [], 0
-            if held:
-                sums += out()
-            mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = row["payload"]
+                if row["kind"] == TO_SCORE:
+                    if held:
+                        yield out()
+                    held = row["ids"], row["sizes"], np.array(row["sums"], np.int64), raw
+                else:
+                    n = len(raw) // 12
+                    held[2][np.frombuffer(raw, np.int32, n, 8 * n)] += np.frombuffer(raw, np.int64, n)
+        if held:
+            yield out()
 
     return run
 
 
-def score_documents(docs: DataFrame, words: int = 16_384, classes: int = 96, hidden: int = 32, stride: int = 1, rounds: int = 2) -> DataFrame:
+def score_coded(coded: DataFrame, known: Vocabulary, weights: np.ndarray, hidden: int = 32) -> DataFrame:
+    """Scores of coded documents: rare words meet their counts by bucket, then their sums meet their chunk."""
+    width = shuffle_width(coded)
+    counts = known.counts.select(F.lit(TO_SCORE).alias("kind"), F.col("bucket").cast("long").alias("part"), F.lit(None).cast("long").alias("chunk"), "payload")
+    rare = coded.filter(F.col("kind") == RARE).select("kind", "part", "chunk", "payload")
+    met = counts.unionByName(rare).repartitionById(width, F.col("part").cast("int")).sortWithinPartitions("part", "kind")
+    summed = met.mapInArrow(_log_counts, CODED)
+    both = coded.filter(F.col("kind") == TO_SCORE).unionByName(summed).select("kind", "chunk", "ids", "sizes", "sums", "payload")
+    chunks = both.repartition(width, "chunk").sortWithinPartitions("chunk", "kind")
+    return chunks.mapInArrow(_score(known.classes, weights, hidden), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+
+def encode(docs: DataFrame, known: Vocabulary, shard_words: int) -> DataFrame:
+    """Written rows of documents as classes (``CODED``)."""
+    shards = max(1, -(-known.total // shard_words))
+    return materialize(docs.mapInArrow(_encode(known.plain(), shards, shuffle_width(docs)), CODED), "coded")
+
+
+def score_documents(docs: DataFrame, words: int = 16_384, classes: int = 96, hidden: int = 32, rounds: int = 2, shard_words: int = 1 << 21) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of whole texts under the network that the texts have trained."""
-    mine = docs.select("doc_id", "text")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = vocabulary(mine, words, classes)
-    weights = train(mine, known, hidden, stride, rounds)
-    return mine.mapInArrow(_score(known, weights, hidden), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    coded = encode(mine, known, shard_words)
+    return score_coded(coded, known, train(coded, known.classes, hidden, rounds), hidden)

@@ -1,7 +1,6 @@
 """Corpus operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
-import inspect
 import random
 from collections import Counter
 
@@ -365,7 +364,7 @@ def test_lm_prefers_learned_order(spark, empty):
     mixed = texts[0].split()
     draw.shuffle(mixed)
     rows = [*enumerate(texts), (900, " ".join(mixed)), (901, None), (902, ""), (903, "unknown"), (0, texts[0])]
-    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=50, classes=20, stride=1).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=50, classes=20).collect()}
     assert got[0]["mean_log_prob"] > got[900]["mean_log_prob"] + 0.5
     assert (got[901]["n_words"], got[901]["log_prob"], got[901]["mean_log_prob"]) == (0, 0.0, None)
     assert got[903]["n_words"] == 1
@@ -377,12 +376,61 @@ def test_lm_trains_on_every_word(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     known = lm_score.vocabulary(docs, 50, 20)
     seen = []
-    monkeypatch.setattr(lm_score.Network, "learn", lambda net, near, target, memory: seen.extend(target.tolist()))
-    default = inspect.signature(lm_score.score_documents).parameters["stride"].default
-    batch = pa.record_batch([pa.array(texts)], ["text"])
-    list(lm_score._train(known, lm_score.Network(known.classes, 32).vector(), 32, default)(iter([batch])))
-    assert seen == [int(c) for t in texts for c in known.read(t.encode().split())[0]]
-    assert inspect.signature(lm_score.train).parameters["stride"].default == default
+    monkeypatch.setattr(lm_score.Network, "learn", lambda net, near, target, memory: seen.append((near.tolist(), target.tolist())))
+    batch = lm_score.encode(docs, known, 1 << 21).filter("kind = 1").select("part", "ids", "sizes", "payload").toArrow().to_batches()
+    list(lm_score._train(known.classes, lm_score.Network(known.classes, 32).vector(), 32)(iter(batch)))
+    lines = [[int(c) for c in known.class_of[known.read(t.encode().split())]] for t in texts]
+    words = [(x[k - 2] if k > 1 else known.classes, x[k - 1] if k else known.classes, x[k], (*x, known.classes)[k + 1], (*x, *[known.classes] * 2)[k + 2]) for x in lines for k in range(30)]
+    got = [(n[0][k], n[1][k], t[k], n[2][k], n[3][k]) for n, t in seen for k in range(len(t))]
+    assert sorted(got) == sorted(words)
+
+
+LM_WORDS = ["the", "cat", "dog", "sits", "runs", "é", "under", "trees", "ßx", "longer-than-sixteen-letters"] + [f"r{k}" for k in range(40)]
+
+
+def lm_rows():
+    draw = random.Random(8)
+    rows = [(k, " ".join(draw.choices(LM_WORDS, weights=[30] * 5 + [3] * 5 + [1] * 40, k=draw.randint(1, 60)))) for k in range(120)]
+    return rows + [(200, None), (201, ""), (None, "the cat"), (None, "the dog"), (7, "the cat"), (202, "THE  Cat\n"), (203, "the " * 5000)]
+
+
+def test_lm_scores_equal_a_plain_computation(spark):
+    """Counts, shares, contexts and softmax worked out word by word, under the trained weights."""
+    rows = lm_rows()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kind string, part int").repartition(5)
+    known = lm_score.vocabulary(docs.select("doc_id", "text"), 6, 4)
+    coded = lm_score.encode(docs.select("doc_id", "text"), known, 500)
+    weights = lm_score.train(coded, known.classes)
+    net = lm_score.Network(known.classes, 32).load(weights)
+    texts = [(t or "").encode().lower().split() for _, t in rows]
+    count = Counter(w for t in texts for w in t)
+    top = sorted(count, key=lambda w: (-count[w], w))[:6]
+    assert sorted(known.number, key=known.number.get) == top and known.total == sum(count.values())
+    group = {w: int(known.class_of[known.number[w]]) if w in top else known.classes - 17 + min(len(w), 16) for w in count}
+    mass = Counter()
+    for w, n in count.items():
+        mass[group[w]] += n
+    want = []
+    for (doc_id, _), text in zip(rows, texts, strict=True):
+        total = 0.0
+        for k, w in enumerate(text):
+            near = [group[text[k + s]] if 0 <= k + s < len(text) else known.classes for s in (-2, -1, 1, 2)]
+            score = np.tanh(sum(net.tables[i, c].astype(float) for i, c in enumerate(near))) @ net.out[:-1].astype(float) + net.out[-1]
+            total += score[group[w]] - np.log(np.exp(score).sum()) + np.log(count[w] / mass[group[w]])
+        want.append((str(doc_id), len(text), total))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["log_prob"]) for r in lm_score.score_coded(coded, known, weights).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-5)
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["log_prob"])
+    of = lambda n: sorted(key(r) for r in lm_score.score_documents(docs.repartition(n), words=6, classes=4, shard_words=500).collect())
+    one = of(1)
+    for n in (4, 16):
+        assert [a[:2] for a in of(n)] == [a[:2] for a in one]
+        assert [a[2] for a in of(n)] == pytest.approx([a[2] for a in one], rel=1e-6)
 
 
 def test_lm_step_is_adagrad():
