@@ -5,7 +5,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
