@@ -377,7 +377,7 @@ def train(coded: DataFrame, classes: int, hidden: int = 32, rounds: int = 2) ->
     schema, weights = "seen long, weights binary", Network(classes, hidden).vector()
     shards = coded.filter(F.col("kind") == TO_TRAIN).select("part", "ids", "sizes", "payload")
     for _ in range(rounds):
-        dealt = shards.repartition(shuffle_width(coded), "part").sortWithinPartitions("part")
+        dealt = shards.repartitionById(shuffle_width(coded), F.col("part").cast("int")).sortWithinPartitions("part")
         own = dealt.mapInArrow(_train(classes, weights, hidden), schema)
         part = F.pmod(F.xxhash64("weights"), F.lit(16)).cast("int")
         total = own.repartitionById(16, part).mapInArrow(_sum, schema).coalesce(1).mapInArrow(_sum, schema).collect()
