@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 QUICK = [
-    "read_headerless", "read_indexed_csv", "read_results_json", "impute_mean", "impute_most_frequent", "factorize",
+    "read_headerless", "read_indexed_csv", "read_results_json", "read_score_lists", "read_result_vectors", "logistic_per_target", "logistic_coefficients", "impute_mean", "impute_most_frequent", "factorize",
     "ordinal_encode_fit_a_apply_b", "holdout_split", "joint_column_shuffle", "column_shuffle_sweep", "profile_table",
     "compare_univariate", "linear_per_target", "gaussian_nb_per_target", "knn_per_target", "permutation_importance",
     "permutation_importance_linear", "compare_importances", "utility_both_directions", "flatten_results", "pivot_multi_value",
