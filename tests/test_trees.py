@@ -202,3 +202,17 @@ def test_running_sums_of_one_large_group(spark):
     df = spark.range(500).select(F.lit(1).alias("g"), F.col("id").alias("v"), (F.col("id") % 7).alias("k"))
     got = {r["v"]: r["k_upto"] for r in trees.running_sums(df, ["g"], ["v"], ["k"]).collect()}
     assert got == {i: sum(j % 7 for j in range(i + 1)) for i in range(500)}
+
+
+def test_a_node_of_many_rows_is_grown_in_one_task(spark):
+    from pathlib import Path
+
+    n = 70_000
+    table = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") % 251).cast("double").alias("a"), (F.col("id") % 83).cast("double").alias("b"), (F.col("id") % 3).cast("double").alias("k"))
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
+    model = trees.fit_trees(table, Roles(("a", "b", "k"), ("a", "b")), ["k"])
+    assert {p.name.split("-")[1] for p in set(scratch.iterdir()) - before} == {"trees"}
+    ends = model.nodes.where("feature IS NULL").agg(F.sum("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))).first()
+    assert ends[0] == ends[1] == n
+    assert model.nodes.where("feature IS NOT NULL AND (classes IS NOT NULL OR counts IS NOT NULL)").isEmpty()
