@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekin.operators import permute
-from tablekin.operators.index import Indexed, multiplier, offset, sample_columns, sweep_seed
+from tablekin.operators.index import Indexed, column_shuffle_sweep, multiplier, offset, sample_columns, sweep_seed
 from tablekin.operators.linear import column_means
 from tablekin.operators.rotate import ALL, PAIR_BLOCK, TEST, _held
 from tablekin.plans.queries_experiments import _trial_ctes
@@ -63,3 +63,19 @@ def test_products_of_large_row_numbers(monkeypatch):
 def test_sql_permutes_the_whole_table():
     ctes, _ = nb_importance_sql("x", "parts", "brand", ["size", "brand"], 0, 2)
     assert any("ON d.rid = ((a.rid *" in c for c in ctes) and "ON d.idx = ((a.idx *" in _trial_ctes(1, 1, 1)
+
+
+def test_sweep_sends_packed_rows_and_keeps_nulls(spark):
+    n = 300
+    x = [(i, float(i) / 3 if i % 7 else None, float(i), float("nan") if i == 5 else -float(i)) for i in range(n)]
+    table = Indexed(spark.createDataFrame(x, "idx long, a double, b double, c double").repartition(3), n)
+    sweep = column_shuffle_sweep(table, ["a", "b", "c"], 2, 2)
+    plan = sweep._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+    got = {(r["run"], r["rep"], r["idx"]): r for r in sweep.collect()}
+    assert len(got) == 3 * 2 * n
+    for run, rep in itertools.product(range(3), range(2)):
+        moved, there = sample_columns(["a", "b", "c"], run, rep), partner(n, sweep_seed(run, rep))
+        for i in range(n):
+            want = [x[there[i] if c in moved else i][k] for k, c in enumerate("abc", 1)]
+            assert repr([got[run, rep, i][c] for c in "abc"]) == repr(want)
