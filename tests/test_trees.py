@@ -147,6 +147,24 @@ def test_shapley_effects_equal_the_definition():
         assert got[k, f] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("width, most", [(1, 10), (3, 10), (4, 2)])
+def test_shapley_totals_count_rows_by_pattern(monkeypatch, width, most):
+    monkeypatch.setattr(trees, "ROW_BLOCK", 64)
+    monkeypatch.setattr(trees, "LEAVES_AT_ONCE", 16)
+    monkeypatch.setattr(trees, "PATTERN_FEATURES", most)
+    draw = np.random.default_rng(width)
+    x = draw.integers(-5, 6, (150, width)) / 2
+    low = draw.integers(-5, 2, (60, width)) / 2
+    high = low + draw.integers(0, 6, (60, width)) / 2
+    low[draw.random(low.shape) < 0.4], high[draw.random(high.shape) < 0.4] = -np.inf, np.inf
+    share = np.where(np.isfinite(low) | np.isfinite(high), draw.random(low.shape), 1.0)
+    assert trees.shapley_totals(x, low, high, share) == pytest.approx(trees.shapley_effects(x, low, high, share))
+    x[7, 0] = np.nan
+    assert trees.shapley_totals(x, low, high, share) == pytest.approx(trees.shapley_effects(x, low, high, share))
+    counts = trees.pattern_counts(x, low, high)
+    assert counts.min() >= 0 and (counts.sum(0) == len(x)).all()
+
+
 def test_one_leaf_that_holds_all_rows_can_be_drawn_from(spark):
     x = np.c_[np.ones(120), np.arange(120.0)]
     made = sequential_cart_synthesis(Indexed(frame(spark, x, ["a", "b"]), 120), Roles(("a", "b"), ("a", "b"))).toPandas()
