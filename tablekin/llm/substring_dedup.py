@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablekin.llm.common import cover, spans_of
+from tablekin.llm.common import cover, lean, spans_of
 from tablekin.llm.repeats import Windows, merge_spans, repeated_spans
 
 
@@ -77,4 +77,4 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
     """(doc_id, n_words, n_removed, text, kept_sha256): kept words joined by one space."""
     spans = repeated_spans(docs, Windows(True, size, gram), mark_later(size), all_go=False)
-    return spans.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
+    return spans.mapInArrow(lean(_cut), "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

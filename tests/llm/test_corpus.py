@@ -461,3 +461,18 @@ def test_pipeline(spark, docs, tmp_path):
         ids = now
     assert ids
     assert result(corpus_pipeline.run(spark, str(tmp_path))) == result(step)
+
+
+def test_a_task_gives_back_what_it_freed(monkeypatch):
+    from tablekin.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(True))
+    work = common.lean(lambda batches: (b + 1 for b in batches))
+    assert list(work(iter([1, 2]))) == [2, 3] and given == [True]
+    early = work(iter([1, 2]))
+    assert next(early) == 2 and given == [True]
+    early.close()
+    assert given == [True, True]
+    monkeypatch.undo()
+    common.release()
