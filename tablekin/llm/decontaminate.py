@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import cover, own_names, plain_names, spans_of, text_bytes
+from tablekin.llm.common import cover, lean, own_names, plain_names, spans_of, text_bytes
 from tablekin.llm.fm_index import END, MOST_SYMBOLS, FmIndex
 
 # fixed values: bytes that make words; the others part them
@@ -174,7 +174,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """
     field = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {t}" for c, t in field.items()), "n_words long", f"spans {SPANS}", "items array<long>"])
-    parts = [docs.mapInArrow(_search(block, window), schema) for block in item_blocks(benchmark, block_bytes)]
+    parts = [docs.mapInArrow(lean(_search(block, window)), schema) for block in item_blocks(benchmark, block_bytes)]
     if len(parts) == 1:
         return parts[0]
     whole = parts[0]
@@ -222,7 +222,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, sha
     found = find_contamination(plain, benchmark, window)
     hit = n_hit()
     clean = found.filter(~((hit > 0) & (share * hit >= F.col("n_words"))))
-    return own_names(clean.select(*plain.columns, "spans").mapInArrow(_cut, plain.schema), docs)
+    return own_names(clean.select(*plain.columns, "spans").mapInArrow(lean(_cut), plain.schema), docs)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

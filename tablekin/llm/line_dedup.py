@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import ASCII_SPACE, HOT_SHARE, slices
+from tablekin.llm.common import ASCII_SPACE, HOT_SHARE, lean, slices
 from tablekin.session import materialize
 
 PAIRS = "doc_id long, h1 long, h2 long"
@@ -87,7 +87,7 @@ def _clean(min_chars: int):
 
 def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, DataFrame, int]:
     """Distinct lines of each document, lines of at least ``min_docs`` documents, and the number of the former."""
-    pairs = materialize(docs.select("doc_id", "text").mapInArrow(_pairs(min_chars), PAIRS), "lines")
+    pairs = materialize(docs.select("doc_id", "text").mapInArrow(lean(_pairs(min_chars)), PAIRS), "lines")
     counts = pairs.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n"))
     return pairs, materialize(counts.filter(F.col("n") >= min_docs), "frequent"), pairs.count()
 
@@ -109,4 +109,4 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     mine = docs.select("doc_id", "text", *carry)
     joined = mine.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields[2:])
-    return joined.mapInArrow(_clean(min_chars), CLEAN + more)
+    return joined.mapInArrow(lean(_clean(min_chars)), CLEAN + more)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import ASCII_SPACE, PACKED, group_starts, mix64, own_names, pack_rows, plain_names, shuffle_width, text_bytes, unpack_rows
+from tablekin.llm.common import ASCII_SPACE, PACKED, group_starts, lean, mix64, own_names, pack_rows, plain_names, shuffle_width, text_bytes, unpack_rows
 from tablekin.llm.components import connected_components
 from tablekin.llm.shingles import WordHash, shingle_set
 from tablekin.session import materialize
@@ -443,10 +443,10 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     mine = docs.select("doc_id", "text")
     key = ["key"] if "key" in docs.columns else []
     schema = SUMMARY + "".join(f", {k} binary" for k in key)
-    summary = materialize(docs.select("doc_id", "text", *key).mapInArrow(_summary(size, width), schema), "shingles")
+    summary = materialize(docs.select("doc_id", "text", *key).mapInArrow(lean(_summary(size, width)), schema), "shingles")
     members = summary.filter("n is not null").select("doc_id", "n", "cls", *key)
     counted = summary.filter("bucket is not null").select("bucket", "payload").repartitionById(width, F.col("bucket"))
-    top = counted.mapInArrow(_frequent, "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
+    top = counted.mapInArrow(lean(_frequent), "shingle long, seen long").orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
     hot = materialize(top, "hot").orderBy(F.desc("seen"), "shingle").toPandas()  # written: a collect would take HOT_MOST rows of each task
     values, seen = (hot[c].to_numpy(np.int64)[::-1].copy() for c in ("shingle", "seen"))
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -454,17 +454,17 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     boundary = limit.boundary({r["n"]: r["count"] for r in few})
     blocks = -(-total // BLOCK) or 1
 
-    entries = mine.mapInArrow(_enter(size, limit, boundary, values, seen, width, blocks), "bucket int, kind int, payload binary")
+    entries = mine.mapInArrow(lean(_enter(size, limit, boundary, values, seen, width, blocks)), "bucket int, kind int, payload binary")
     routes = (
-        entries.repartitionById(width, F.col("bucket")).mapInArrow(_meet(blocks, percent, width), PACKED)
-        .repartitionById(width, F.col("bucket")).mapInArrow(_class_routes, "short long, blocks array<int>")
+        entries.repartitionById(width, F.col("bucket")).mapInArrow(lean(_meet(blocks, percent, width)), PACKED)
+        .repartitionById(width, F.col("bucket")).mapInArrow(lean(_class_routes), "short long, blocks array<int>")
     )
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     short = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
     candidates = classes.withColumn("short", short).join(routes, "short").select("cls", "blocks", F.col("least").alias("of"))
     sets = mine.join(candidates, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "cls", "blocks")
-    sent = sets.mapInArrow(_send(size, blocks), "block int, role int, cls binary, shingles binary")
-    scanned = sent.repartition(width, "block").sortWithinPartitions("block", "role").mapInArrow(_scan(percent), "u binary, v binary")
+    sent = sets.mapInArrow(lean(_send(size, blocks)), "block int, role int, cls binary, shingles binary")
+    scanned = sent.repartition(width, "block").sortWithinPartitions("block", "role").mapInArrow(lean(_scan(percent)), "u binary, v binary")
     links = materialize(scanned, "links")
     return members, classes, connected_components(links).withColumnRenamed("u", "cls")
 

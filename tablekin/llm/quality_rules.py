@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import ASCII_SPACE, cover, slices, texts
+from tablekin.llm.common import ASCII_SPACE, cover, lean, slices, texts
 from tablekin.session import materialize
 
 # fixed values: characters that count as symbols
@@ -169,7 +169,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rate_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, code), written once."""
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in COUNTS) + ", base_failed boolean, code long"
-    return materialize(docs.select("doc_id", "text").mapInArrow(_features, schema), "ratings")
+    return materialize(docs.select("doc_id", "text").mapInArrow(lean(_features), schema), "ratings")
 
 
 def quality_model(rated: DataFrame) -> dict[int, float]:
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             counts = _rows(batch)
             yield batch.filter(pa.array(~base_failed(counts) & np.isin(vote_codes(counts), good)))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(lean(judge), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tablekin.llm.common import slices, texts
+from tablekin.llm.common import lean, slices, texts
 
 MARK = "▁"
 NONE = 2**31 - 1
@@ -261,4 +261,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, per_che
     About ``per_check`` units are looked up, and new ones checked, at a time.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, with_ids, per_check), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(_encode(path, with_ids, per_check)), schema)
