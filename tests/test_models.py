@@ -168,3 +168,34 @@ def test_synthetic_rows_come_from_real_values(spark, numbers):
     assert len(made) == 400 and set(made["d"]) <= set(numbers[:, 2])
     assert np.corrcoef(made["a"], made["d"])[0, 1] > 0.6
     assert resize_synthesis(table, roles, 57).count() == 57
+
+
+def test_models_of_all_targets_share_one_pass(spark, monkeypatch):
+    from tablekin.operators import estimators
+    from tablekin.roles import Roles
+
+    columns = ("a", "b", "c")
+    df = spark.createDataFrame([(float(i), float(i * i % 7), float(i % 3) + 0.1 * i) for i in range(40)], "a double, b double, c double")
+    passes, sums = [], estimators.product_sums
+    monkeypatch.setattr(estimators, "product_sums", lambda *a, **k: passes.append(1) or sums(*a, **k))
+    together = estimators.fit_all_targets(df, Roles(columns, columns), ("linear", "linear"))
+    assert len(passes) == 1
+    for t in columns:
+        alone = estimators.FITTERS["linear"](df, t, [c for c in columns if c != t], False)
+        want, got = ([r["prediction"] for r in m.predict(df).select("prediction").collect()] for m in (alone, together[t]))
+        assert got == pytest.approx(want)
+
+
+def test_kernel_machine_scores_as_its_spark_model(spark):
+    import numpy as np
+    from tablekin.operators import estimators
+
+    draw = np.random.default_rng(3).normal(size=(60, 2))
+    rows = [(float(a), float(b), float((a > 0) + 2 * (b > 0)) % 3) for a, b in draw]
+    df = spark.createDataFrame(rows, "a double, b double, k double")
+    fitted = estimators.fit_svm(df, "k", ["a", "b"], True, components=8)
+    got = fitted.predict(df)
+    assert "BatchEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["prediction"] for r in got.collect()} <= {0.0, 1.0, 2.0} and got.where("prediction = k").count() > 30
+    with pytest.raises(Exception, match="null cell"):
+        fitted.predict(spark.createDataFrame([(None, 1.0)], "a double, b double")).collect()
