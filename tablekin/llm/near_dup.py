@@ -7,8 +7,10 @@ their prefix, rarest first as far as counted. The boundary between light and hea
 least. Sets that meet under a subset or in a list are routed to blocks of classes, where the inverted lists of the block
 are scanned and the overlaps counted exactly. Linked classes form components.
 
-Every set is sent to the blocks in which it may have a larger partner (by digest), never paired with each of them, and a
-block returns spanning links only. The most frequent shingles come last in every prefix (any order gives the same links;
+Every set is sent to the blocks in which it may have a later partner (by block, then digest), never paired with each of
+them, and a block returns spanning links only. The block of a class is that of the first class it can be linked with in any
+of its lists, so near copies mostly share one block and are sent once each; a list with more shingles than a block should
+hold is cut into ranges of digests first. The most frequent shingles come last in every prefix (any order gives the same links;
 this one keeps lists short); those whose lists would be longer than the number of blocks are not gathered: their sets go
 to all later blocks.
 
@@ -42,7 +44,10 @@ CHUNK, BLOCK = 1 << 21, 1 << 20
 COUNTED, OFTEN, HOT_MOST = 0.3, 3, 1 << 19
 #: Largest size that the cost model considers light.
 LIGHT_MOST = 24
-EVERY_BLOCK, OWN_BLOCK = -1, -2
+#: Shingles that the members of one list bring to a block, about.
+RUN = BLOCK // 2
+#: Codes beside the blocks that a class is sent to: all blocks from its own on; from STAYS_IN down, the block that it stays in.
+EVERY_BLOCK, STAYS_IN = -1, -2
 
 
 class Threshold:
@@ -224,6 +229,8 @@ def _enter(size: int, limit: Threshold, boundary: int, hot: np.ndarray, count: n
 #: Sizes within a factor of STEP fall into one size class.
 STEP, LAST_CLASS = 1.05, 255
 ENTRY = np.dtype([("sig", "u1", 5), ("owner", "<u8"), ("size", "u1"), ("far", "u1")])
+#: Entries with the first owner that theirs can be linked with, and then with their owner's block.
+HEADED, PLACED = (np.dtype([*ENTRY.descr, x]) for x in (("head", "<u8"), ("home", "<i4")))
 
 
 def _size_class(n: int) -> int:
@@ -266,19 +273,127 @@ class Fit:
 ROUTE = np.dtype([("short", "<u8"), ("block", "<i4")])
 
 
-def _meet(blocks: int, percent: int, buckets: int):
+def _in_lists(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries of the lists with two owners and more, by list and owner; where the lists begin, and their sizes."""
+    sig = np.zeros((len(entries), 8), np.uint8)
+    sig[:, 3:] = entries["sig"]
+    sig = sig.view(np.uint64)[:, 0]
+    order = np.lexsort((entries["owner"], sig))
+    sig, entries = sig[order], entries[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (entries["owner"][1:] != entries["owner"][:-1])
+    sig, entries = sig[new], entries[new]
+    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)])
+    sizes = np.diff(np.append(starts, len(sig)))
+    entries, sizes = entries[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    return entries, np.cumsum(sizes) - sizes, sizes
+
+
+def _first_fits(entries: np.ndarray, fit: Fit, few: int = 16) -> np.ndarray:
+    """Entries of lists with owners that may fit each other, headed by the first fitting owner of the ``few`` first of a run.
+
+    A run is a range of owners in a list, so that no head gathers more than RUN shingles of one list. Heads only say where
+    sets meet; the links do not depend on them.
+    """
+    entries, starts, sizes = _in_lists(entries)
+    out = np.zeros(len(entries), HEADED)
+    for name in ENTRY.names:
+        out[name] = entries[name]
+    owner, size, far = (np.ascontiguousarray(entries[c]) for c in ("owner", "size", "far"))
+    weight = np.add.reduceat(STEP ** size.astype(float), starts) if len(starts) else np.zeros(0)
+    bits = np.ceil(np.log2(np.maximum(1, weight / RUN))).astype(np.uint64)
+    run = np.where(np.repeat(bits, sizes) > 0, owner >> (np.uint64(64) - np.maximum(np.repeat(bits, sizes), np.uint64(1))), np.uint64(0))
+    first = np.zeros(len(owner), bool)
+    first[starts] = True
+    first[1:] |= run[1:] != run[:-1]
+    begin = np.flatnonzero(first)
+    length = np.diff(np.append(begin, len(owner)))
+    head, fits_any = owner.copy(), np.repeat((sizes > few) | (bits > 0), sizes)
+    for step in reversed(range(few)):  # the first one is the last to be set
+        long_ = length > step + 1
+        a = np.repeat(begin[long_] + step, length[long_] - step - 1)
+        b = a + 1 + _counting(length[long_] - step - 1)
+        fits = fit(size[a], far[a], size[b], far[b])
+        head[b[fits]] = owner[a[fits]]
+        fits_any[a[fits]] = fits_any[b[fits]] = True
+    out["head"] = head
+    return out[fits_any]
+
+
+LISTS = "bucket int, kind int, list int, payload binary"
+
+
+def _lists(rows: list[tuple[int, int, int | None, bytes]]) -> pa.RecordBatch:
+    bucket, kind, list_, payload = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(list_, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "kind", "list", "payload"])
+
+
+def _head(percent: int, buckets: int):
+    """Headed entries of a bucket of lists, on their way to their owners; owners of the longest lists (kind 1) pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, own, out = [np.zeros(0, ENTRY)], 0, []
+        for batch in batches:
+            for bucket, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
+                if kind == 1:
+                    out.append((bucket, 1, None, raw))
+                else:
+                    own = bucket
+                    entries.append(np.frombuffer(raw, ENTRY))
+        headed = pack_rows_of(_first_fits(np.concatenate(entries), Fit(percent)), buckets)
+        yield _lists(out + [(b, 0, own, raw) for b, raw in headed])
+
+    return run
+
+
+def pack_rows_of(rows: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Entries packed by bucket of their owner."""
+    packed = pack_rows((rows["owner"] % np.uint64(buckets)).astype(np.int64), rows, buckets)
+    return list(zip(*(packed.column(c).to_pylist() for c in ("bucket", "payload")), strict=True))
+
+
+def _place(blocks: int):
+    """Entries of a bucket of owners, back to their lists with the block of the owner's least head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, lists, out = [np.zeros(0, HEADED)], [], []
+        for batch in batches:
+            for bucket, kind, list_, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "list", "payload")), strict=True):
+                if kind == 1:
+                    out.append((bucket, 1, None, raw))
+                else:
+                    parts.append(np.frombuffer(raw, HEADED))
+                    lists.append(list_)
+        sizes, rows = [len(p) for p in parts[1:]], np.concatenate(parts)
+        owners, at = np.unique(rows["owner"], return_inverse=True)
+        least = np.full(len(owners), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, at, rows["head"])
+        placed = np.zeros(len(rows), PLACED)
+        for name in ENTRY.names:
+            placed[name] = rows[name]
+        placed["home"] = block_of(least, blocks)[at]
+        ends = np.cumsum(sizes).tolist()
+        yield _lists(out + [(b, 0, None, placed[end - n : end].tobytes()) for b, n, end in zip(lists, sizes, ends, strict=True)])
+
+    return run
+
+
+ROUTE = np.dtype([("short", "<u8"), ("block", "<i4")])
+
+
+def _meet(percent: int, buckets: int):
     """Routes (class, block) of the classes that stand in one list, on their way to their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, routes = [np.zeros(0, ENTRY)], []
+        entries, routes = [np.zeros(0, PLACED)], []
         for batch in batches:
             for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if kind == 1:
                     owner = np.frombuffer(raw, np.uint64)
                     routes.append((owner, np.full(len(owner), EVERY_BLOCK)))
                 else:
-                    entries.append(np.frombuffer(raw, ENTRY))
-        routes += _routes(np.concatenate(entries), blocks, Fit(percent))
+                    entries.append(np.frombuffer(raw, PLACED))
+        routes += _routes(np.concatenate(entries), Fit(percent))
         rows = np.zeros(sum(len(r[0]) for r in routes), ROUTE)
         rows["short"] = np.concatenate([r[0] for r in routes])
         rows["block"] = np.concatenate([r[1] for r in routes])
@@ -301,21 +416,12 @@ def _class_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array(rows["short"][starts].view(np.int64)), blocks], ["short", "blocks"])
 
 
-def _routes(entries: np.ndarray, blocks: int, fit: Fit, few: int = 16, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each member of a list goes to the blocks of the later members that fit it; these stay in their own block."""
-    sig = np.zeros((len(entries), 8), np.uint8)
-    sig[:, 3:] = entries["sig"]
-    sig = sig.view(np.uint64)[:, 0]
-    order = np.lexsort((entries["owner"], sig))
-    sig, owner, size, far = (x[order] for x in (sig, entries["owner"], entries["size"], entries["far"]))
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-    sig, owner, size, far = sig[new], owner[new], size[new], far[new]
-    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)])
-    sizes = np.diff(np.append(starts, len(sig)))
-    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-    block = block_of(owner, blocks)
-    out, stay = [], np.zeros(len(sig), bool)
+def _routes(entries: np.ndarray, fit: Fit, few: int = 16, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each member of a list goes to the blocks of the later members (by block and owner) that fit it; these stay in their own."""
+    entries, starts, sizes = _in_lists(entries)
+    order = np.lexsort((entries["owner"], entries["home"], np.repeat(np.arange(len(sizes)), sizes)))
+    owner, size, far, block = (entries[c][order] for c in ("owner", "size", "far", "home"))
+    out, stay = [], np.zeros(len(owner), bool)
 
     def meet(a: np.ndarray, b: np.ndarray) -> None:
         fits = fit(size[a], far[a], size[b], far[b])
@@ -328,15 +434,15 @@ def _routes(entries: np.ndarray, blocks: int, fit: Fit, few: int = 16, rows: int
         meet(at, at + step)
     for first, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
         later = np.arange(first, first + n)
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(block[first : first + n]) > 0)))  # blocks ascend, as owners do
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(block[first : first + n]) > 0)))  # blocks ascend
         for a in range(first, first + n, rows):
             own = later[a - first : a - first + rows]
             fits = fit(size[own][:, None], far[own][:, None], size[later], far[later]) & (own[:, None] < later)
             stay[later[fits.any(0)]] = True
             x, b = np.nonzero(np.logical_or.reduceat(fits, heads, axis=1))
             out.append((owner[own[x]], block[later[heads[b]]]))
-    staying = np.unique(owner[stay])
-    return [*out, (staying, np.full(len(staying), OWN_BLOCK))]
+    staying, first = np.unique(owner[stay], return_index=True)
+    return [*out, (staying, STAYS_IN - block[stay][first])]
 
 
 def _counting(sizes: np.ndarray) -> np.ndarray:
@@ -355,10 +461,12 @@ def _send(size: int, blocks: int):
                 shingles = shingle_set(text, hashes, size)
                 if set_digest(shingles) != want:
                     continue  # another text with this id
-                own = int(block_of(_short([want]), blocks)[0])
-                stays, every = OWN_BLOCK in to, EVERY_BLOCK in to
-                asks = range(own, blocks) if every else [b for b in to if b >= 0]
-                roles = {b: ASKS for b in asks}
+                least, every = min(to), EVERY_BLOCK in to
+                stays = least <= STAYS_IN
+                own = STAYS_IN - least if stays else int(block_of(_short([want]), blocks)[0])
+                roles = {b: ASKS for b in to if b >= 0}
+                if every:
+                    roles |= {b: ASKS for b in range(own, blocks)}
                 if stays or every:
                     roles[own] = STAYS_AND_ASKS if own in roles else STAYS
                 block += roles.keys()
@@ -456,7 +564,9 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
 
     entries = mine.mapInArrow(lean(_enter(size, limit, boundary, values, seen, width, blocks)), "bucket int, kind int, payload binary")
     routes = (
-        entries.repartitionById(width, F.col("bucket")).mapInArrow(lean(_meet(blocks, percent, width)), PACKED)
+        entries.repartitionById(width, F.col("bucket")).mapInArrow(lean(_head(percent, width)), LISTS)
+        .repartitionById(width, F.col("bucket")).mapInArrow(lean(_place(blocks)), LISTS)
+        .repartitionById(width, F.col("bucket")).mapInArrow(lean(_meet(percent, width)), PACKED)
         .repartitionById(width, F.col("bucket")).mapInArrow(lean(_class_routes), "short long, blocks array<int>")
     )
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))

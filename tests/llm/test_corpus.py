@@ -164,6 +164,71 @@ def test_keep_first_drops_linked_texts_only(spark):
         assert sorted(r["key"] for r in kept.collect()) == want
 
 
+def test_near_copies_are_sent_few_times(spark, monkeypatch):
+    """Groups of near copies, with blocks far smaller than a group: the same links, and not a row per set and block."""
+    draw = random.Random(8)
+    rows, groups, size = [], 4, 60
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(100)]
+        for m in range(size):
+            words = list(base)
+            words[draw.randrange(100)] = f"new{m}"
+            rows.append((1000 * g + m, " ".join(words)))
+    rows += [(9000 + k, f"alone {k} " + " ".join(str(draw.random()) for _ in range(30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_dup, "BLOCK", 250)
+    want = sorted((d, d - d % 1000 if d < 9000 else d) for d, _ in rows)
+    found = near_dup.near_duplicate_groups(docs).select("doc_id", "component_id")
+    assert sorted(map(tuple, found.collect())) == want
+
+    def unread(percent):
+        def run(batches):
+            for batch in batches:
+                yield batch.select(["cls", "cls"]).rename_columns(["u", "v"])
+
+        return run
+
+    sent, keep = [], near_dup.materialize
+    monkeypatch.setattr(near_dup, "_scan", unread)
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label: (sent.append(df.count()) if label == "links" else None, keep(df, label))[1])
+    near_dup.near_duplicate_groups(docs)
+    assert groups * size <= sent[0] <= 4 * groups * size
+
+
+@pytest.mark.parametrize("most", [1 << 19, 3000])
+def test_every_fitting_pair_meets(monkeypatch, most):
+    """Of two entries of one list that fit, one is sent to the block where the other stays, however lists are cut into runs."""
+    monkeypatch.setattr(near_dup, "RUN", most)
+    draw, fit, blocks = np.random.default_rng(4), near_dup.Fit(75), 50
+    n = 3000
+    owner = draw.integers(0, 1 << 64, n, np.uint64)
+    size = draw.integers(70, 110, n).astype(np.uint8)
+    lists = [draw.choice(n, k, replace=False) for k in (1, 2, 2, 3, 5, 9, 16, 17, 40, 300)] + [draw.choice(n, 4) for _ in range(300)]
+    entries = np.zeros(sum(map(len, lists)), near_dup.ENTRY)
+    entries["sig"] = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists]).view(np.uint8).reshape(-1, 8)[:, :5]
+    at = np.concatenate(lists)
+    entries["owner"], entries["size"], entries["far"] = owner[at], size[at], draw.integers(0, 60, len(at))
+    packed = near_dup._lists([(0, 0, None, entries.tobytes())])
+    headed = list(near_dup._head(75, 7)(iter([packed])))
+    placed = list(near_dup._place(blocks)(iter(headed)))
+    routes = near_dup.unpack_rows(near_dup._meet(75, 5)(iter(placed)), near_dup.ROUTE)
+    to, home = {}, {}
+    for short, block in zip(routes["short"].tolist(), routes["block"].tolist(), strict=True):
+        if block >= 0:
+            to.setdefault(short, set()).add(block)
+        else:
+            assert home.setdefault(short, near_dup.STAYS_IN - block) == near_dup.STAYS_IN - block
+    pairs = 0
+    for k in range(len(lists)):
+        own = entries[(entries["sig"] == entries["sig"][sum(map(len, lists[:k]))]).all(1)]
+        for i in range(len(own)):
+            for j in np.flatnonzero(fit(own["size"][i], own["far"][i], own["size"][i + 1 :], own["far"][i + 1 :])) + i + 1:
+                a, b = int(own["owner"][i]), int(own["owner"][j])
+                pairs += a != b
+                assert a == b or home.get(b, -1) in to.get(a, ()) or home.get(a, -1) in to.get(b, ())
+    assert pairs > 1000
+
+
 def test_light_sets_find_all_links():
     draw = random.Random(3)
     limit = near_dup.Threshold(75)
