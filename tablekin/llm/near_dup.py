@@ -44,8 +44,8 @@ CHUNK, BLOCK = 1 << 21, 1 << 20
 COUNTED, OFTEN, HOT_MOST = 0.3, 3, 1 << 19
 #: Largest size that the cost model considers light.
 LIGHT_MOST = 24
-#: Shingles that the members of one list bring to a block, about.
-RUN = BLOCK // 2
+#: Shingles that the members of one list bring to a block, about, and that times the number of these members.
+RUN, RUN_WORK = BLOCK // 2, 1 << 28
 #: Codes beside the blocks that a class is sent to: all blocks from its own on; from STAYS_IN down, the block that it stays in.
 EVERY_BLOCK, STAYS_IN = -1, -2
 
@@ -292,8 +292,8 @@ def _in_lists(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _first_fits(entries: np.ndarray, fit: Fit, few: int = 16) -> np.ndarray:
     """Entries of lists with owners that may fit each other, headed by the first fitting owner of the ``few`` first of a run.
 
-    A run is a range of owners in a list, so that no head gathers more than RUN shingles of one list. Heads only say where
-    sets meet; the links do not depend on them.
+    A run is a range of owners in a list, so that a head gathers about RUN shingles of one list at most, and sets that cost
+    a block RUN_WORK to scan. Heads only say where sets meet; the links do not depend on them.
     """
     entries, starts, sizes = _in_lists(entries)
     out = np.zeros(len(entries), HEADED)
@@ -301,7 +301,7 @@ def _first_fits(entries: np.ndarray, fit: Fit, few: int = 16) -> np.ndarray:
         out[name] = entries[name]
     owner, size, far = (np.ascontiguousarray(entries[c]) for c in ("owner", "size", "far"))
     weight = np.add.reduceat(STEP ** size.astype(float), starts) if len(starts) else np.zeros(0)
-    bits = np.ceil(np.log2(np.maximum(1, weight / RUN))).astype(np.uint64)
+    bits = np.ceil(np.log2(np.maximum(1, np.maximum(weight / RUN, np.sqrt(weight * sizes / RUN_WORK))))).astype(np.uint64)
     run = np.where(np.repeat(bits, sizes) > 0, owner >> (np.uint64(64) - np.maximum(np.repeat(bits, sizes), np.uint64(1))), np.uint64(0))
     first = np.zeros(len(owner), bool)
     first[starts] = True
@@ -481,11 +481,37 @@ def _send(size: int, blocks: int):
 STAYS, STAYS_AND_ASKS, ASKS = 0, 1, 2
 
 
+class Lists:
+    """Inverted lists of some sets, by their numbers in the block."""
+
+    def __init__(self, sets: list[np.ndarray], numbers: np.ndarray):
+        every = np.concatenate([*(sets[k] for k in numbers), np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(numbers, [len(sets[k]) for k in numbers])[order]
+        self.values, self.start = np.unique(every[order], return_index=True)
+        self.stop = np.append(self.start[1:], len(every))
+
+    def overlaps(self, shingles: np.ndarray, sets: int) -> np.ndarray:
+        """Shingles shared with each set of the block."""
+        if not len(self.values):
+            return np.zeros(sets, np.int64)
+        at = np.minimum(np.searchsorted(self.values, shingles), len(self.values) - 1)
+        at = at[self.values[at] == shingles]
+        length = self.stop[at] - self.start[at]
+        return np.bincount(self.owner[np.repeat(self.start[at], length) + _counting(length)], minlength=sets)
+
+
 class Block:
-    """Inverted lists of the sets that stay in a block."""
+    """Inverted lists of the sets that stay in a block.
+
+    In a block of MANY sets, those linked with a pilot are one group from the start. A set that is linked with the pilot
+    then searches the lists of the others only, so a group of near copies does not cost the square of its size.
+    """
+
+    MANY, PILOTS = 32, 4
 
     def __init__(self, limit: Threshold):
-        self.limit, self.sets, self.asks, self.values = limit, {}, {}, None
+        self.limit, self.sets, self.asks, self.every = limit, {}, {}, None
 
     def add(self, cls: bytes, shingles: np.ndarray, asks: bool) -> None:
         self.sets[cls] = shingles
@@ -493,32 +519,40 @@ class Block:
             self.asks[cls] = shingles
 
     def close(self) -> list[tuple[bytes, bytes]]:
-        """Make the lists; links of the sets that stay and ask."""
-        self.cls = list(self.sets)
-        self.sizes = np.array([len(s) for s in self.sets.values()], np.int64)
-        every = np.concatenate([*self.sets.values(), np.zeros(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.owner = np.repeat(np.arange(len(self.cls)), self.sizes)[order]
-        self.values, self.start = np.unique(every[order], return_index=True)
-        self.stop = np.append(self.start[1:], len(every))
-        self.group = np.arange(len(self.cls))
+        """Make the lists; links of the sets that stay and ask, and those of the pilot."""
+        self.cls, sets = list(self.sets), list(self.sets.values())
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.group = np.arange(len(sets))
+        self.every, self.others, self.pilot = Lists(sets, self.group), None, None
+        found: list[tuple[bytes, bytes]] = []
+        if len(sets) >= self.MANY:
+            near = [self._linked(self.every, sets[k]) for k in range(0, len(sets), -(-len(sets) // self.PILOTS))]
+            best = int(np.argmax([len(x) for x in near]))
+            first, near = best * -(-len(sets) // self.PILOTS), near[best]
+            if 4 * len(near) >= len(sets):
+                self.group[near] = first
+                self.pilot, self.others = (self.cls[first], sets[first]), Lists(sets, np.flatnonzero(self.group != first))
+                found += [(self.cls[k], self.cls[first]) for k in near if k != first]
         self.sets = {}
-        return [x for cls, shingles in self.asks.items() for x in self.links(cls, shingles)]
+        return found + [x for cls, shingles in self.asks.items() for x in self.links(cls, shingles)]
+
+    def _linked(self, lists: Lists, shingles: np.ndarray) -> np.ndarray:
+        both = lists.overlaps(shingles, len(self.cls))
+        return np.flatnonzero((both > 0) & self.limit.linked(both, len(shingles), self.sizes))
 
     def links(self, cls: bytes, shingles: np.ndarray) -> list[tuple[bytes, bytes]]:
         """Links of a set to one member of each group that it is linked with; the groups become one."""
-        if not len(self.values):
-            return []
-        at = np.minimum(np.searchsorted(self.values, shingles), len(self.values) - 1)
-        at = at[self.values[at] == shingles]
-        length = self.stop[at] - self.start[at]
-        both = np.bincount(self.owner[np.repeat(self.start[at], length) + _counting(length)], minlength=len(self.cls))
-        found = np.flatnonzero((both > 0) & self.limit.linked(both, len(shingles), self.sizes))
+        out, lists = [], self.every
+        if self.pilot is not None:
+            name, own = self.pilot
+            if self.limit.linked(len(np.intersect1d(own, shingles, assume_unique=True)), len(shingles), len(own)):
+                out, lists = [(cls, name)] if cls != name else [], self.others
+        found = self._linked(lists, shingles)
         found = found[[self.cls[k] != cls for k in found]] if len(found) else found
         groups, first = np.unique(self.group[found], return_index=True)
         if len(groups) > 1:
             self.group[np.isin(self.group, groups)] = groups[0]
-        return [(cls, self.cls[k]) for k in found[first]]
+        return out + [(cls, self.cls[k]) for k in found[first]]
 
 
 def _scan(percent: int):
@@ -530,15 +564,15 @@ def _scan(percent: int):
             found: list[tuple[bytes, bytes]] = []
             for b, role, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "role", "cls", "shingles")), strict=True):
                 if b != now:
-                    found += block.close() if block.values is None else []
+                    found += block.close() if block.every is None else []
                     now, block = b, Block(limit)
                 if role == ASKS:
-                    found += block.close() if block.values is None else []
+                    found += block.close() if block.every is None else []
                     found += block.links(cls, unsqueeze(raw, 2))
                 else:
                     block.add(cls, unsqueeze(raw, 2), role == STAYS_AND_ASKS)
             yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
-        if block.values is None and (found := block.close()):
+        if block.every is None and (found := block.close()):
             yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"])
 
     return run
