@@ -41,6 +41,8 @@ FIXED = 2.0**24
 #: Log shares are summed as multiples of 1 / SHARES.
 SHARES = 2.0**30
 CHUNK_WORDS, CHUNK_ROWS = 1 << 20, 8192
+#: Scores of at most this size need not be shifted before their exponentials are taken and added up.
+SAFE = 60.0
 
 #: Kinds of coded rows: documents to score, documents to train on, rare words on their way to their counts, and their log counts.
 TO_SCORE, TO_TRAIN, RARE, COUNTED = range(4)
@@ -254,6 +256,13 @@ class Network:
         draw = np.random.default_rng(7)
         self.tables = draw.normal(0, 0.1, (len(SIDES), classes + 1, hidden)).astype(np.float32)
         self.out = draw.normal(0, 0.1, (hidden + 1, classes)).astype(np.float32)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, rows: int, width: int) -> np.ndarray:
+        """Space that every step uses again; new arrays of this size cost as much as what is done with them."""
+        if name not in self.rooms or len(self.rooms[name]) < rows:
+            self.rooms[name] = np.empty((rows, width), np.float32)
+        return self.rooms[name][:rows]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.tables.ravel(), self.out.ravel()])
@@ -265,32 +274,44 @@ class Network:
         return self
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.tables[0].take(near[0], 0)
+        """The hidden layer, in a room that the next call overwrites."""
+        n, width = len(near[0]), self.tables.shape[2]
+        total, more = self.room("total", n, width), self.room("more", n, width)
+        self.tables[0].take(near[0], 0, total, "clip")
         for k in range(1, len(SIDES)):
-            total += self.tables[k].take(near[k], 0)
+            total += self.tables[k].take(near[k], 0, more, "clip")
         return np.tanh(total, out=total)
 
+    def small(self) -> bool:
+        """Whether no score can exceed SAFE, as hidden values lie between -1 and 1."""
+        return np.abs(self.out).sum(0).max() <= SAFE
+
     def log_chance(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target class given the neighbours' classes."""
-        score = self.hidden(near) @ self.out[:-1]
+        score = np.matmul(self.hidden(near), self.out[:-1], out=self.room("score", len(target), self.out.shape[1]))
         score += self.out[-1]
-        score -= score.max(1, keepdims=True)
+        if not self.small():
+            score -= score.max(1, keepdims=True)
         own = score[np.arange(len(target)), target]
-        return own - np.log(np.exp(score, out=score).sum(1))
+        return own - np.log(np.exp(score, out=score) @ np.ones(score.shape[1], np.float32))
 
     def learn(self, near: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float = 0.05) -> None:
         """One step of Adagrad on the mean of the conditional log probabilities."""
-        n = len(target)
-        h = np.ones((n, len(self.out)), np.float32)
-        h[:, :-1] = self.hidden(near)
-        error = h @ self.out
-        error -= error.max(1, keepdims=True)
+        n, width = len(target), self.tables.shape[2]
+        flat, h = self.hidden(near), self.room("h", n, width + 1)
+        h[:, :-1], h[:, -1] = flat, 1
+        error = np.matmul(h, self.out, out=self.room("error", n, self.out.shape[1]))
+        if not self.small():
+            error -= error.max(1, keepdims=True)
         np.exp(error, out=error)
-        total = error.sum(1)
+        total = error @ np.ones(error.shape[1], np.float32)
         error[np.arange(n), target] -= total
         part = (1 / (total * n))[:, None]
-        back = error @ self.out[:-1].T
-        back *= (1 - h[:, :-1] ** 2) * part
+        back = np.matmul(error, self.out[:-1].T, out=self.room("back", n, width))
+        flat *= flat
+        np.subtract(1, flat, out=flat)
+        flat *= part
+        back *= flat
         h *= part
         gradient = h.T @ error
         memory[0] += gradient**2
@@ -299,7 +320,7 @@ class Network:
             order = np.argsort(near[k], kind="stable")
             found = near[k][order]
             first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-            used, own = found[first], np.add.reduceat(back.take(order, 0), first, axis=0)
+            used, own = found[first], np.add.reduceat(back.take(order, 0, self.room("more", n, width), "clip"), first, axis=0)
             memory[1][k, used] += own**2
             self.tables[k, used] -= rate * own / np.sqrt(memory[1][k, used] + 1e-8)
 
@@ -400,7 +421,7 @@ def _score(classes: int, weights: np.ndarray, hidden: int):
             lengths = np.array(sizes)
             line = np.split(np.frombuffer(raw, kind), np.cumsum(lengths)[:-1])
             near, target = neighbours(line, classes)
-            chance = np.concatenate([np.zeros(0)] + [net.log_chance(near[:, a : a + 8192], target[a : a + 8192]) for a in range(0, len(target), 8192)])
+            chance = np.concatenate([np.zeros(0)] + [net.log_chance(near[:, a : a + 1024], target[a : a + 1024]) for a in range(0, len(target), 1024)])
             sums = np.bincount(np.repeat(np.arange(len(ids)), lengths), chance, minlength=len(ids)) + shares / SHARES
             mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes, strict=True)]
             return pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])

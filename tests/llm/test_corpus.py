@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -497,6 +498,26 @@ def test_lm_does_not_depend_on_partitions(spark):
         assert [a[2] for a in of(n)] == pytest.approx([a[2] for a in one], rel=1e-6)
 
 
+def test_lm_step_uses_its_rooms_again(monkeypatch):
+    """A step makes no arrays of the batch's size anew, and scores that need no shift give what shifted ones give."""
+    draw = np.random.default_rng(6)
+    near, target = draw.integers(0, 114, (4, 2048)).astype(np.uint8), draw.integers(0, 113, 2048).astype(np.uint8)
+    found = []
+    for safe in (lm_score.SAFE, -1.0):
+        monkeypatch.setattr(lm_score, "SAFE", safe)
+        net = lm_score.Network(113, 32)
+        memory = [np.zeros_like(net.out), np.zeros_like(net.tables)]
+        assert net.small() == (safe > 0)
+        net.learn(near, target, memory)
+        tracemalloc.start()
+        net.learn(near, target, memory)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 500_000
+        found.append((net.vector(), net.log_chance(near, target)))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-5) and np.allclose(found[0][1], found[1][1], atol=1e-5)
+
+
 def test_lm_step_is_adagrad():
     draw = np.random.default_rng(2)
     near, target = draw.integers(0, 6, (4, 40)), draw.integers(0, 5, 40)
