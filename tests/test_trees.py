@@ -234,3 +234,47 @@ def test_a_node_of_many_rows_is_grown_in_one_task(spark):
     ends = model.nodes.where("feature IS NULL").agg(F.sum("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     assert ends[0] == ends[1] == n
     assert model.nodes.where("feature IS NOT NULL AND (classes IS NOT NULL OR counts IS NOT NULL)").isEmpty()
+
+
+@pytest.mark.parametrize("values", [1, 2, 5, 64, 1000])
+def test_rows_in_boxes_of_two_features_are_counted_without_meeting(values):
+    draw = np.random.default_rng(values)
+    x = draw.integers(0, values, (400, 2)).astype(float)
+    low, high = draw.integers(-2, values + 1, (2, 90, 2)) + 0.5
+    low[draw.random(low.shape) < 0.3], high[draw.random(high.shape) < 0.3] = -np.inf, np.inf
+    want = ((x[:, None] > low) & (x[:, None] <= high)).all(2).sum(0)
+    assert trees.box_counts(x, low, high).tolist() == want.tolist()
+    rows, boxes = np.tile(x, (500, 1)), [np.tile(v, (2000, 1)) for v in (low, high)]  # 200 000 x 180 000: too many pairs to look at
+    assert trees.box_counts(rows, *boxes).tolist() == np.tile(500 * want, 2000).tolist()
+
+
+def test_leaves_are_cut_from_the_boxes_above(spark):
+    x = numbers(60)
+    model = trees.fit_trees(frame(spark, x), ROLES, ["y"])
+    nodes = model.nodes.toArrow()
+    at, low, high, share = trees.leaf_boxes(nodes, 3)
+    rows = {r["node"]: r for r in nodes.to_pylist()}
+    assert {nodes.column("node")[int(k)].as_py() for k in at} == {n for n, r in rows.items() if r["feature"] is None}
+    for k, a, b, z in zip(at, low, high, share):
+        node = nodes.column("node")[int(k)].as_py()
+        assert ((x[:, :3] > a) & (x[:, :3] <= b)).all(1).sum() == rows[node]["n"]
+        want = np.ones(3)
+        for d in range(len(node)):
+            want[rows[node[:d]]["feature"]] *= rows[node[: d + 1]]["n"] / rows[node[:d]]["n"]
+        assert z == pytest.approx(want)
+
+
+def test_shapley_values_send_neither_steps_nor_leaves_to_joins(spark, monkeypatch):
+    from tablekin.operators.importance import shap_mean_importance
+
+    x = numbers(90)
+    table, roles = Indexed(frame(spark, x, ["a", "b", "d", "k"]), 90), Roles(("a", "b", "d", "k"), ("a", "b", "d"))
+    scores = lambda: {(r["target"], r["feature"], r["rep"]): r["score"] for r in shap_mean_importance(table, roles, 2).collect()}
+    want = scores()
+    model = trees.fit_trees(table.df, roles)
+    plan = trees.shapley_sums(table.df, model, 90)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    monkeypatch.setattr(trees, "MOST_ROWS", 25)
+    monkeypatch.setattr(trees, "MOST_LEAVES", 7)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 30)
+    assert scores() == pytest.approx(want)
