@@ -278,3 +278,20 @@ def test_shapley_values_send_neither_steps_nor_leaves_to_joins(spark, monkeypatc
     monkeypatch.setattr(trees, "MOST_LEAVES", 7)
     monkeypatch.setattr(trees, "LOCAL_ROWS", 30)
     assert scores() == pytest.approx(want)
+
+
+def test_a_forest_is_asked_where_it_is_grown(spark, monkeypatch):
+    from dataclasses import replace
+    from pathlib import Path
+
+    df = frame(spark, numbers(70)).withColumn("copy", (F.col("idx") % 2).cast("int"))
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
+    model = trees.fit_trees(df, ROLES, ["y", "x0"], ["copy"], tree_rule("forest", trees=5))
+    monkeypatch.setattr(trees, "VOTERS", 16)
+    found = trees.predict(df, model, 35, ["idx"], ["copy"]).collect()
+    assert {p.name.split("-")[1] for p in set(scratch.iterdir()) - before} == {"blocks"}  # neither drawn rows nor nodes are written
+    of = lambda rows: {(r["target"], r["copy"], r["idx"]): (r["y"], r["prediction"]) for r in rows}
+    slow = of(trees.predict(df, replace(model, rows=None), 35, ["idx"], ["copy"]).collect())
+    assert len(found) == 140 and of(found).keys() == slow.keys()
+    assert all(v == pytest.approx(slow[k]) for k, v in of(found).items())
